@@ -72,7 +72,7 @@ def release(spark: SparkSession) -> None:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df; for file sources this is the size of the files read."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(size))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe_encoding
 from .chat import op6_chat_formatting
 from .decontamination import op10_benchmark_decontamination
+from .near_duplicates import op7_minhash_near_dedup
 from .quality_rules import op9_quality_rules
+from .suffix_dedup import op3_suffix_array_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_token_counts": op5_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
@@ -25,6 +29,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_array_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(generate_series(0, n - 50)) AS i FROM h WHERE n >= 50)
+), m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) <> max(doc_id)
+), r AS (SELECT DISTINCT w.doc_id, i FROM w JOIN m USING (g) WHERE least < w.doc_id
+), l AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r
+), s AS (SELECT doc_id, i, sum(CASE WHEN i - p <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l
+), spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM s GROUP BY doc_id, k
+), cuts AS (
+  SELECT doc_id, a, substr(x, 2 * coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS piece, e, x, n
+  FROM spans JOIN h USING (doc_id)
+), left_over AS (
+  SELECT doc_id, sum(e - a) AS removed, count(*) AS spans, string_agg(piece, '' ORDER BY a) || substr(any_value(x), 2 * max(e) + 1) AS x FROM cuts GROUP BY doc_id
+)
+SELECT h.doc_id, CAST(h.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(left_over.x, h.x))) AS kept_sha256
+FROM h LEFT JOIN left_over USING (doc_id)
+""",
     "op6_chat_formatting": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -38,6 +60,21 @@ WITH c AS (
          CAST(sum(n) AS BIGINT) AS formatted_chars
   FROM e GROUP BY conv_id
 ) SELECT * FROM g
+""",
+    "op7_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 75 * (nx.n + ny.n - i)
+), b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), r AS (SELECT doc_id AS a, doc_id AS z FROM w UNION SELECT r.a, b.y FROM r JOIN b ON r.z = b.x
+), c AS (SELECT a, min(z) AS c FROM r GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id, w.doc_id = c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.a = w.doc_id
 """,
     "op10_benchmark_decontamination": rf"""
 WITH d AS (
