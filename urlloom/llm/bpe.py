@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, with_text
 
 #: Entries that each of the cache's two generations may hold, and the longest piece kept.
 CACHED = 150_000
@@ -321,13 +320,13 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     prepare(docs.sparkSession)
     kinds = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     carried = [c for c in dict.fromkeys([id_col, *keep]) if c not in outputs]
-    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), *(f"{o} {kinds[o]}" for o in outputs)])
+    picked, source = with_text(docs, carried, text_col)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in carried), *(f"{o} {kinds[o]}" for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            ids = bpe.encode_many([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+            ids = bpe.encode_many([t or "" for t in batch.column(batch.schema.get_field_index(source)).to_pylist()])
             made = {}
             if {"decoded", "decoded_sha256"} & {*outputs}:
                 decoded = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
@@ -337,7 +336,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 made["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
             made["n_tokens"] = pa.array([len(x) // 4 for x in ids], pa.int64())
             made["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(made[o] for o in outputs)], names=[*carried, *outputs])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *(made[o] for o in outputs)], names=[*carried, *outputs])
 
     return picked.mapInArrow(run, schema)
 

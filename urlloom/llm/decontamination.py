@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import columns_of, plan_bytes, prepare
+from .common import columns_of, prepare, with_text
 
 K = 5
 BLOCK_BYTES = 16 << 20
@@ -99,8 +99,8 @@ class Member:
         return maybe[self.keys[at] == found]
 
 
-def read_words(batch: pa.RecordBatch) -> tuple:
-    data, at = columns_of(batch, "__text")
+def read_words(batch: pa.RecordBatch, source: str = "__text") -> tuple:
+    data, at = columns_of(batch, source)
     data = tk.LOWER[data]
     starts, ends, first = tk.words(data, at, tk.ALNUM)
     return data, starts, ends, first, tk.word_hashes(data, starts, ends)
@@ -127,7 +127,7 @@ def corpus_counts(docs: DataFrame, windows: Windows) -> dict[int, int]:
     return dict(zip(np.asarray(rows["token"].to_numpy()).view(np.uint64).tolist(), rows["n"].to_pylist(), strict=True))
 
 
-def match(docs: DataFrame, windows: Windows, prefixes: tuple, last_block: bool) -> DataFrame:
+def match(docs: DataFrame, windows: Windows, prefixes: tuple, source: str, last_block: bool) -> DataFrame:
     """Adds what the windows hit to __hits (words' numbers, as 32-bit integers) and __items; after the last block texts go."""
     names = [c for c in docs.columns if c != "__text" or not last_block]
     shared = docs.sparkSession.sparkContext.broadcast((prefixes, windows.joined, windows.items, windows.size, windows.lengths))
@@ -136,7 +136,7 @@ def match(docs: DataFrame, windows: Windows, prefixes: tuple, last_block: bool)
         (token, where, order), joined, items, size, lengths = shared.value
         member = Member(np.unique(token))
         for batch in batches:
-            data, starts, ends, first, h = read_words(batch)
+            data, starts, ends, first, h = read_words(batch, source)
             last = np.repeat(first[1:], np.diff(first))
             begin = np.repeat(first[:-1], np.diff(first))
             hit_in, found = np.zeros(len(h) + 1, np.int32), defaultdict(set)
@@ -177,7 +177,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     prepare(spark)
     new = RESULT.replace(",", "").split()[::2]
     carried = [c for c in dict.fromkeys([id_col, *keep]) if c not in new]
-    now = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__text"), F.lit(0).cast("long").alias("__n"), F.lit(None).cast("binary").alias("__hits"), F.array().cast("array<string>").alias("__items"))
+    now, source = with_text(docs, carried, text_col)
+    now = now.select("*", F.lit(0).cast("long").alias("__n"), F.lit(None).cast("binary").alias("__hits"), F.array().cast("array<string>").alias("__items"))
     texts = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("t"))
     total = texts.agg(F.sum(F.octet_length("t") + F.octet_length("id"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes))
@@ -185,7 +186,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         part = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == i)
         windows = Windows([(r.id, r.t) for r in part.toLocalIterator()], window)
         often = corpus_counts(docs.select(F.col(f"`{text_col}`").cast("string").alias("__text")), windows)
-        now = match(now, windows, windows.prefixes(often), i == blocks - 1)
+        now = match(now, windows, windows.prefixes(often), source, i == blocks - 1)
     ids = F.array_sort("__items")
     return now.select(
         *[F.col(f"`{c}`") for c in carried],

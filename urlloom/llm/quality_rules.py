@@ -19,10 +19,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import columns_of, prepare
+from .common import columns_of, prepare, with_text
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -115,13 +114,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(spark)
     names = RESULT.replace(",", "").split()[::2]
     carried = [c for c in dict.fromkeys([id_col, *keep]) if c not in names]
-    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), RESULT])
+    picked, source = with_text(docs, carried, text_col)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in carried), RESULT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
         for batch in batches:
-            data, at = columns_of(batch, "__text")
+            data, at = columns_of(batch, source)
             out = base_counts(data, at)
             n, rep = out["n_words"], out["n_repeat_words"]
             failed = (n < 10) | (100 * rep > 20 * n)
@@ -129,7 +128,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             judged = [bands_of(raw[a:b], pack, bands) for a, b in zip(at[:-1], at[1:], strict=True)]
             cols = list(zip(*judged, strict=True)) or [[]] * 6
             kept = ~failed & np.array([v in ("ok", "short") for v in cols[5]], bool)
-            arrays = [*batch.columns[:-1], *(pa.array(out[c], pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))]
+            arrays = [*batch.columns[: len(carried)], *(pa.array(out[c], pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))]
             arrays += [pa.array(failed), pa.array(kept), *(pa.array(cols[i], pa.float64()) for i in range(3)), *(pa.array(cols[i], pa.int64()) for i in (3, 4)), pa.array(cols[5], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
 

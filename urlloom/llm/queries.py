@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe_encoding
 from .chat import op6_chat_formatting
+from .cotraining import op2_quality_classifier
 from .decontamination import op10_benchmark_decontamination
 from .near_duplicates import op7_minhash_near_dedup
+from .passage_dedup import op1_substring_dedup
 from .quality_rules import op9_quality_rules
 from .suffix_dedup import op3_suffix_array_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_token_counts": op5_token_counts,

@@ -25,7 +25,7 @@ id take nothing from each other; an empty table gives an empty result. Other col
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +79,11 @@ def anchor_runs(data: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def stretches(cut: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The ranges that begin at `cut` and together reach to n."""
+    return list(zip(cut.tolist(), [*cut[1:].tolist(), n], strict=False))
+
+
 class Block:
     """The documents of one packed block and what its anchors are."""
 
@@ -105,7 +110,7 @@ class Block:
     def bounds(self) -> list[tuple[int, int, int]]:
         """(bucket, first, end) of the distinct anchors of each bucket."""
         cut = np.flatnonzero(np.diff(self.bucket, prepend=-1))
-        return list(zip(self.bucket[cut].tolist(), cut.tolist(), np.append(cut[1:], len(self.bucket)).tolist(), strict=True))
+        return [(int(self.bucket[a]), a, b) for a, b in stretches(cut, len(self.bucket))]
 
     def marked(self, notes: dict[int, bytes]) -> np.ndarray:
         """Which distinct anchors other documents have."""
@@ -188,8 +193,17 @@ def unpack(packed: bytes) -> list[bytes]:
     return out
 
 
-def packed_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK) -> DataFrame:
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+def packed_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK, keep: Sequence[str] = ()) -> DataFrame:
+    """Blocks of documents: compressed text, ids, sizes, and the columns in keep as an Arrow stream."""
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"), *[F.col(f"`{c}`") for c in keep])
+
+    def extra(batch: pa.RecordBatch) -> bytes | None:
+        if not keep:
+            return None
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        return zstandard.compress(sink.getvalue().to_pybytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,10 +215,10 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + block_bytes, side="right")) - 1)
                 sizes = np.diff(at[i : j + 1]).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (zstandard.compress(raw[at[i] : at[j]], 1), ids[i:j].tobytes(), sizes.tobytes())], names=["packed", "ids", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (zstandard.compress(raw[at[i] : at[j]], 1), ids[i:j].tobytes(), sizes.tobytes(), extra(batch.select(list(keep)).slice(i, j - i)))], names=["packed", "ids", "sizes", "extra"])
                 i = j
 
-    return picked.mapInArrow(run, "packed binary, ids binary, sizes binary").withColumn("block", F.monotonically_increasing_id())
+    return picked.mapInArrow(run, "packed binary, ids binary, sizes binary, extra binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def notes_of(table: pa.Table, kind: int) -> dict[int, bytes]:
@@ -257,7 +271,7 @@ def substrings_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             _, _, texts, least, part = b.candidates(notes_of(notes, 1), parts)
             order = np.argsort(part, kind="stable")
             cut = np.flatnonzero(np.diff(part[order], prepend=-1))
-            for x, y in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist(), strict=True):
+            for x, y in stretches(cut, len(order)):
                 own = order[x:y]
                 mine = [texts[o] for o in own.tolist()]
                 rows["part"].append(int(part[own[0]]))
