@@ -101,7 +101,7 @@ ORACLE_SQL: dict[str, str] = {
         (7, chr(768) || 'a.de', NULL, NULL), (8, 'xn--a', 'xn--a', 'xn--a'), (9, '%41.com', 'a.com', 'a.com')) t(i, domain, ascii, readable)""",
     "dns_lengths": """SELECT p_partkey, p_partkey % 70 BETWEEN 1 AND 63 AND p_partkey % 6 > 0 AND (p_partkey % 70) + 1 + greatest(0, 61 * (p_partkey % 6) - 1) + 4 <= 253 AS ok FROM part""",
     "file_urls": f"SELECT p_partkey, 'file:///data/' || {_path_encoded('p_brand')} || '/x%3F' || p_partkey || '%23' AS href FROM part",
-    "opaque_urls": "SELECT c_custkey, 'data:text/plain, ' || c_name || ' %20?q#' || c_custkey AS href, 'text/plain, ' || c_name || ' %20' AS pathname, 'null' AS origin, true AS opaque FROM customer",
+    "opaque_urls": "SELECT c_custkey, 'data:text/plain, ' || c_mktsegment || ' %20?q#' || c_custkey AS href, 'text/plain, ' || c_mktsegment || ' %20' AS pathname, 'null' AS origin, true AS opaque FROM customer",
     "length_limit": "SELECT page_id, strlen(url) <= 40 AS fits, CASE WHEN strlen(url) <= 40 THEN url END AS href FROM pages",
     "line_parts": f"""SELECT CASE WHEN {_VALID} THEN CASE o_orderkey % 8 WHEN 0 THEN 'h' || o_orderkey || '.example' WHEN 3 THEN '' WHEN 5 THEN '1.2.3.' || (o_orderkey % 300) ELSE 'h' || CASE WHEN o_orderkey = 80 THEN '' ELSE ':' || o_orderkey END END ELSE 'Invalid URL: ' || t END AS value, count(*) AS n
         FROM {_ORDER} GROUP BY 1""",

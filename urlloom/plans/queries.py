@@ -300,7 +300,7 @@ def file_urls(spark, sf_dir):
 
 @query
 def opaque_urls(spark, sf_dir):
-    t = text("data:text/plain, ", F.col("c_name"), "  ?q#", F.col("c_custkey"))
+    t = text("data:text/plain, ", F.col("c_mktsegment"), "  ?q#", F.col("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", urls.url_part(t, "href").alias("href"), urls.url_part(t, "pathname").alias("pathname"), urls.url_part(t, "origin").alias("origin"), urls.url_part(t, "has_opaque_path").alias("opaque"))
 
 
