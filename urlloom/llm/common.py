@@ -102,10 +102,10 @@ def columns_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray
 
 
 def with_text(docs: DataFrame, carried: list[str], text_col: str) -> tuple[DataFrame, str]:
-    """The columns carried and, if it is not one of them, the text as __text; and which column has the text."""
+    """The columns carried and, if it is not one of them, the text as __loom_text; and which column has the text."""
     if text_col in carried and dict(docs.dtypes)[text_col] == "string":
         return docs.select(*[F.col(f"`{c}`") for c in carried]), text_col
-    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__text")), "__text"
+    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__loom_text")), "__loom_text"
 
 
 def components(edges: DataFrame, tag: str = "components", rounds: int = 40) -> DataFrame:

@@ -81,8 +81,8 @@ class Views:
 
     def __call__(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         n = batch.num_rows
-        x = np.asarray(batch.column(batch.schema.get_field_index("__c")).flatten()).reshape(n, -1)
-        m = np.asarray(batch.column(batch.schema.get_field_index("__m")).flatten()).reshape(n, -1)
+        x = np.asarray(batch.column(batch.schema.get_field_index("__loom_c")).flatten()).reshape(n, -1)
+        m = np.asarray(batch.column(batch.schema.get_field_index("__loom_m")).flatten()).reshape(n, -1)
         a, b, rows = np.zeros((n, self.widths[0])), np.zeros((n, self.widths[1])), np.arange(n)
         a[:, 0] = b[:, 0] = 1
         for j, cut in enumerate(self.cuts):
@@ -149,7 +149,7 @@ def newton(table: DataFrame, views: Views, state: State, schedule: Schedule, ste
         sizes = [d + d * d for d in views.widths]
 
         def sums(batch: pa.RecordBatch, state=state) -> np.ndarray:
-            x, y = views(batch), np.asarray(batch.column(batch.schema.get_field_index("__y")))
+            x, y = views(batch), np.asarray(batch.column(batch.schema.get_field_index("__loom_y")))
             parts = []
             for w, xs, (target, weight) in zip(state.weights, x, targets(x, y, state, schedule), strict=True):
                 use = weight > 0
@@ -182,20 +182,20 @@ def limits_of(histogram: np.ndarray, positive: float, share: float) -> tuple[flo
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, metadata: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """The columns carried, with features of the text (__c) and buckets of the metadata (__m)."""
+    """The columns carried, with features of the text (__loom_c) and buckets of the metadata (__loom_m)."""
     lang, source, length = metadata
     bucket = lambda c, n: F.pmod(F.xxhash64(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000"))), F.lit(n)).cast("int")
     size = F.least(F.floor(F.log2(F.greatest(F.coalesce(F.col(f"`{length}`").cast("double"), F.lit(0.0)), F.lit(0.0)) + 1)).cast("int"), F.lit(METADATA[2] - 1))
-    carried = [c for c in dict.fromkeys([id_col, *keep]) if not c.startswith("__")]
-    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.array(bucket(lang, METADATA[0]), bucket(source, METADATA[1]), size).alias("__m"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "__c array<double>"])
+    carried = [c for c in dict.fromkeys([id_col, *keep]) if not c.startswith("__loom_")]
+    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.array(bucket(lang, METADATA[0]), bucket(source, METADATA[1]), size).alias("__loom_m"), F.col(f"`{text_col}`").cast("string").alias("__loom_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "__loom_c array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1, write_content_size=False)
         for batch in batches:
-            x = content_features(*columns_of(batch, "__text"), pack)
+            x = content_features(*columns_of(batch, "__loom_text"), pack)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(CONTENT), pa.int32()), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "__c"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "__loom_c"])
 
     return picked.mapInArrow(run, schema)
 
@@ -206,41 +206,41 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
     prepare(spark)
     new = ("held_out", "content_score", "metadata_score", "score", "predicted")
     keep = [c for c in keep if c not in new]
-    known = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("y")).where("y IN (0, 1)").groupBy("__id").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = hi").select("__id", F.col("lo").alias("__label"))
+    known = labels.select(F.col(f"`{id_col}`").alias("__loom_id"), F.col(f"`{label}`").cast("int").alias("y")).where("y IN (0, 1)").groupBy("__loom_id").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = hi").select("__loom_id", F.col("lo").alias("__loom_label"))
     fold = F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(4)), F.lit(0))
-    joined = described(docs, id_col, text_col, metadata, keep).join(known, F.col(f"`{id_col}`") == F.col("__id"), "left").drop("__id")
+    joined = described(docs, id_col, text_col, metadata, keep).join(known, F.col(f"`{id_col}`") == F.col("__loom_id"), "left").drop("__loom_id")
     # -1: unlabelled; -2: for calibration; -3: held out, which is only scored
-    y = F.when(fold == 2, -3).when(F.col("__label").isNull(), -1).when(fold == 1, -2).otherwise(F.col("__label"))
-    table = saved(joined.withColumn("__y", y.cast("int")).withColumn("held_out", fold == 2).withColumn("__label", F.coalesce("__label", F.lit(-1))), "features")
-    cuts = table.select(*[F.percentile_approx(F.col("__c")[j], [i / BINS for i in range(1, BINS)], 2000).alias(f"q{j}") for j in range(len(CONTENT))]).first()
+    y = F.when(fold == 2, -3).when(F.col("__loom_label").isNull(), -1).when(fold == 1, -2).otherwise(F.col("__loom_label"))
+    table = saved(joined.withColumn("__loom_y", y.cast("int")).withColumn("held_out", fold == 2).withColumn("__loom_label", F.coalesce("__loom_label", F.lit(-1))), "features")
+    cuts = table.select(*[F.percentile_approx(F.col("__loom_c")[j], [i / BINS for i in range(1, BINS)], 2000).alias(f"q{j}") for j in range(len(CONTENT))]).first()
     views = Views([list(c or [0.0]) for c in cuts])
-    lab = dict(table.where("__y IN (0, 1)").groupBy("__y").count().collect())
+    lab = dict(table.where("__loom_y IN (0, 1)").groupBy("__loom_y").count().collect())
     zeros, ones = lab.get(0, 0), lab.get(1, 0)
     prior = ones / max(1, zeros + ones)
-    narrow = table.select("__c", "__m", "__y", "__label")
+    narrow = table.select("__loom_c", "__loom_m", "__loom_y", "__loom_label")
     state, calibrated = None, None
     if zeros and ones:
-        state = newton(narrow.where("__y >= 0"), views, State(tuple(np.zeros(d) for d in views.widths)), schedule, schedule.first_steps)
+        state = newton(narrow.where("__loom_y >= 0"), views, State(tuple(np.zeros(d) for d in views.widths)), schedule, schedule.first_steps)
         for r in range(1, schedule.rounds + 1):
 
             def histograms(batch: pa.RecordBatch, state=state) -> np.ndarray:
-                free = np.asarray(batch.column(batch.schema.get_field_index("__y"))) == -1
+                free = np.asarray(batch.column(batch.schema.get_field_index("__loom_y"))) == -1
                 return np.concatenate([np.bincount(binned(sigmoid(x[free] @ w)), minlength=SCORE_BINS) for x, w in zip(views(batch), state.weights, strict=True)]).astype(float)
 
-            h = summed(narrow.where("__y = -1"), histograms, 2 * SCORE_BINS)
+            h = summed(narrow.where("__loom_y = -1"), histograms, 2 * SCORE_BINS)
             limits = tuple(limits_of(part, prior, schedule.share * r) for part in (h[:SCORE_BINS], h[SCORE_BINS:]))
-            state = newton(narrow.where("__y >= -1"), views, State(state.weights, state.weights, limits), schedule, schedule.steps)
+            state = newton(narrow.where("__loom_y >= -1"), views, State(state.weights, state.weights, limits), schedule, schedule.steps)
 
         def calibration(batch: pa.RecordBatch, state=state) -> np.ndarray:
-            label_ = np.asarray(batch.column(batch.schema.get_field_index("__label")))
+            label_ = np.asarray(batch.column(batch.schema.get_field_index("__loom_label")))
             return np.concatenate([np.bincount(binned(sigmoid(x[label_ == v] @ w)), minlength=SCORE_BINS) for x, w in zip(views(batch), state.weights, strict=True) for v in (0, 1)]).astype(float)
 
-        h = summed(narrow.where("__y = -2"), calibration, 4 * SCORE_BINS).reshape(2, 2, SCORE_BINS)
+        h = summed(narrow.where("__loom_y = -2"), calibration, 4 * SCORE_BINS).reshape(2, 2, SCORE_BINS)
         calibrated = [curve(neg, pos, prior) for neg, pos in h]
 
     shared = spark.sparkContext.broadcast((views, state.weights if state else None, calibrated, prior))
     carried = [id_col, *keep, "held_out"]
-    scoring = table.select(*[F.col(f"`{c}`") for c in carried], "__c", "__m")
+    scoring = table.select(*[F.col(f"`{c}`") for c in carried], "__loom_c", "__loom_m")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scoring.schema.fields[:-2]), "content_score double, metadata_score double, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

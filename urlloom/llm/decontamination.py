@@ -99,7 +99,7 @@ class Member:
         return maybe[self.keys[at] == found]
 
 
-def read_words(batch: pa.RecordBatch, source: str = "__text") -> tuple:
+def read_words(batch: pa.RecordBatch, source: str = "__loom_text") -> tuple:
     data, at = columns_of(batch, source)
     data = tk.LOWER[data]
     starts, ends, first = tk.words(data, at, tk.ALNUM)
@@ -123,13 +123,13 @@ def corpus_counts(docs: DataFrame, windows: Windows) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(total[some])], names=["token", "n"])
 
-    rows = docs.select("__text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("__loom_text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     return dict(zip(np.asarray(rows["token"].to_numpy()).view(np.uint64).tolist(), rows["n"].to_pylist(), strict=True))
 
 
 def match(docs: DataFrame, windows: Windows, prefixes: tuple, source: str, last_block: bool) -> DataFrame:
-    """Adds what the windows hit to __hits (words' numbers, as 32-bit integers) and __items; after the last block texts go."""
-    names = [c for c in docs.columns if c != "__text" or not last_block]
+    """Adds what the windows hit to __loom_hits (words' numbers, as 32-bit integers) and __loom_items; after the last block texts go."""
+    names = [c for c in docs.columns if c != "__loom_text" or not last_block]
     shared = docs.sparkSession.sparkContext.broadcast((prefixes, windows.joined, windows.items, windows.size, windows.lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,23 +178,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     new = RESULT.replace(",", "").split()[::2]
     carried = [c for c in dict.fromkeys([id_col, *keep]) if c not in new]
     now, source = with_text(docs, carried, text_col)
-    now = now.select("*", F.lit(0).cast("long").alias("__n"), F.lit(None).cast("binary").alias("__hits"), F.array().cast("array<string>").alias("__items"))
+    now = now.select("*", F.lit(0).cast("long").alias("__loom_n"), F.lit(None).cast("binary").alias("__loom_hits"), F.array().cast("array<string>").alias("__loom_items"))
     texts = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("t"))
     total = texts.agg(F.sum(F.octet_length("t") + F.octet_length("id"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes))
     for i in range(blocks):
         part = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == i)
         windows = Windows([(r.id, r.t) for r in part.toLocalIterator()], window)
-        often = corpus_counts(docs.select(F.col(f"`{text_col}`").cast("string").alias("__text")), windows)
+        often = corpus_counts(docs.select(F.col(f"`{text_col}`").cast("string").alias("__loom_text")), windows)
         now = match(now, windows, windows.prefixes(often), source, i == blocks - 1)
-    ids = F.array_sort("__items")
+    ids = F.array_sort("__loom_items")
     return now.select(
         *[F.col(f"`{c}`") for c in carried],
-        F.col("__n").alias("n_words"),
-        (F.octet_length("__hits") / 4).cast("long").alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
+        F.col("__loom_n").alias("n_words"),
+        (F.octet_length("__loom_hits") / 4).cast("long").alias("n_hit"),
+        F.size("__loom_items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (F.octet_length("__hits") > 0).alias("contaminated"),
+        (F.octet_length("__loom_hits") > 0).alias("contaminated"),
     )
 
 

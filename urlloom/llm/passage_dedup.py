@@ -52,7 +52,7 @@ class Rules:
     #: Chains of fewer words or matches are not aligned.
     least_words: int = 12
     least_seeds: int = 2
-    #: How far the score may drop where an alignment is extended; equal words count 1, others -2.
+    #: How far the score may drop where an alignment is extended; equal words count 1, others -1.
     drop: int = 8
 
 
@@ -190,7 +190,7 @@ def extended(a: np.ndarray, b: np.ndarray, drop: int) -> tuple[int, int]:
     if not n:
         return 0, 0
     same = a[:n] == b[:n]
-    score = np.cumsum(np.where(same, 1, -2))
+    score = np.cumsum(np.where(same, 1, -1))
     fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > drop)
     upto = fallen[0] if len(fallen) else n
     if not upto:

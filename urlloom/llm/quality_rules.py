@@ -47,8 +47,8 @@ class Bands:
     least: int = 200
     unit: int = 256
     low: float = 1.05
-    low_slope: float = 0.08
-    low_most: float = 1.45
+    low_slope: float = 0.12
+    low_most: float = 1.5
     base: float = 2.6
     slope: float = 0.42
     chunk: int = 2048

@@ -190,12 +190,12 @@ def counted(docs: DataFrame, path: str, pattern: str, rule: Callable[[str], list
     prepare(docs.sparkSession)
     new = RESULT.replace(",", "").split()[::2]
     carried = [c for c in dict.fromkeys([id_col, *keep]) if c not in new]
-    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__loom_text"))
     if edits is not None:
-        listed = edits.select(F.col(f"`{id_col}`").alias("__id"), F.struct(F.col("begin").cast("long"), F.col("end").cast("long"), F.col("replacement").cast("string")).alias("e")).groupBy("__id").agg(F.collect_list("e").alias("__edits"))
-        picked = picked.join(listed, F.col(f"`{id_col}`") == F.col("__id"), "left").drop("__id")
+        listed = edits.select(F.col(f"`{id_col}`").alias("__loom_id"), F.struct(F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), F.col("replacement").cast("string").alias("replacement")).alias("e")).groupBy("__loom_id").agg(F.collect_list("e").alias("__loom_edits"))
+        picked = picked.join(listed, F.col(f"`{id_col}`") == F.col("__loom_id"), "left").drop("__loom_id")
     else:
-        picked = picked.withColumn("__edits", F.lit(None).cast("array<struct<begin:bigint,end:bigint,replacement:string>>"))
+        picked = picked.withColumn("__loom_edits", F.lit(None).cast("array<struct<begin:bigint,end:bigint,replacement:string>>"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2]), RESULT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
