@@ -35,7 +35,8 @@ _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ORACLE_SQL: dict[str, str] = {
     "op3_suffix_array_dedup": """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
-), w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(generate_series(0, n - 50)) AS i FROM h WHERE n >= 50)
+), pieces AS (SELECT doc_id, b, substr(x, 2 * b + 1, 1098) AS y FROM (SELECT doc_id, x, unnest(generate_series(0, n - 50, 500)) AS b FROM h WHERE n >= 50)
+), w AS (SELECT doc_id, b + j AS i, substr(y, 2 * j + 1, 100) AS g FROM (SELECT doc_id, b, y, unnest(generate_series(0, least(500, length(y) // 2 - 49) - 1)) AS j FROM pieces)
 ), m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) <> max(doc_id)
 ), r AS (SELECT DISTINCT w.doc_id, i FROM w JOIN m USING (g) WHERE least < w.doc_id
 ), l AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r
