@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from pathlib import Path
 
@@ -45,20 +47,34 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     A lost executor then costs only the tasks since this table, and the shuffle files behind it can go.
     """
     spark = df.sparkSession
+    release(spark)  # what the caller has let go of since the last table
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    release(spark)
+    _left.add(path)
     return out
 
 
+#: Scratch tables that are still there.
+_left: set[str] = set()
+
+
+@atexit.register
+def _tidy() -> None:
+    """What is left in a local scratch folder goes when the driver ends; in a shared store the folder's owner decides."""
+    for path in _left:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more."""
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _left.discard(table._scratch)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,7 +1,7 @@
 """Fuzzy passages that repeat across documents, by collinear chaining of shared seeds.
 
 1. Documents are packed into blocks. Of every `SPREAD` neighbouring five-word shingles the one with the smallest hash is a
-   seed, so equal stretches of words have equal seeds.
+   seed, so equal stretches of words have equal seeds. Where a few words repeat again and again, seeds are numbered.
 2. Seeds are joined: each block sends its distinct seeds, with their place in the smallest id that has them; each
    bucket finds the smallest id of all and answers the blocks that have a larger one. A seed in n documents
    makes at most n matches, all with its first document, and one message for each block.
@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import dealt, dropped, plan_bytes, prepare, saved
+from .common import dealt, dropped, plan_bytes, prepare, release, saved
 from .suffix_dedup import BLOCK, TOP, pack, packed_blocks, stretches, unpack
 
 U = np.uint64
 K = 5
 SPREAD = 6
+#: Seeds of one document that repeat within so many words are told apart by number; less than a passage's least length.
+NEAR = 40
 #: Words of context that are sent with a chain, on each side.
 FLANK = 24
 
@@ -90,7 +92,7 @@ class Block:
         few = np.repeat(np.diff(self.first) < SPREAD - 1 + K, np.diff(self.first))
         self.place = np.flatnonzero((taken | few) & whole)
         self.owner = np.searchsorted(self.first, self.place, side="right") - 1
-        z = tk.mix(sh[self.place] + U(77))
+        z = self.numbered(tk.mix(sh[self.place] + U(77)))
         own = self.ids[self.owner]
         order = np.lexsort((self.place, own, z))
         new = np.ones(len(order), bool)
@@ -106,6 +108,22 @@ class Block:
         #: The place of each distinct seed in the block's smallest id that has it.
         self.lead, self.z, self.bucket = lead[sort], z[lead][sort], bucket[sort]
 
+    def numbered(self, z: np.ndarray) -> np.ndarray:
+        """Seeds that repeat within NEAR words are numbered, so that the places of a periodic stretch differ.
+
+        A copy of a passage is further away, so the seeds of a second copy equal those of the first.
+        """
+        order = np.lexsort((self.place, self.owner, z))
+        near = np.zeros(len(order), bool)
+        a, b = order[:-1], order[1:]
+        near[1:] = (z[a] == z[b]) & (self.owner[a] == self.owner[b]) & (self.place[b] - self.place[a] <= NEAR)
+        if not near.any():
+            return z
+        at = np.arange(len(order))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = at - np.maximum.accumulate(np.where(near, 0, at))
+        return np.where(rank > 0, tk.mix(z + rank.astype(U) * U(0x9E3779B97F4A7C15)), z)
+
     def bounds(self) -> list[tuple[int, int, int]]:
         cut = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         return [(int(self.bucket[a]), a, b) for a, b in stretches(cut, len(self.bucket))]
@@ -442,6 +460,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return out
 
     dropped(answers)
+    release(spark)
     return by_block.cogroup(found.where("kind = 3").unionByName(replies).groupBy("block")).applyInArrow(cut, result)
 
 
