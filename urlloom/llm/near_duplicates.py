@@ -7,8 +7,9 @@
 3. `bands` keys of `rows` signature places each. In each bucket every member is paired with the bucket's smallest id
    only, so pairs grow with members. Pairs whose signatures agree in too few places go; the others are
    verified on full sets. Links make components.
-4. Buckets whose members are still in several components are compared in cells of bounded size, across components
-   alone, with the same two tests. So every pair that shares a bucket is either in one component or was judged.
+4. Buckets whose members are still in several components form clusters. These are compared in cells of bounded size, across
+   components alone, with the same two tests, and give out only links that join components. So every pair that shares a
+   bucket is either in one component or was judged.
 
 With 32 bands of 4 a pair of similarity 0.75 shares no bucket with probability 5e-6, and one at 0.75 with an
 estimate under `estimate` is 4 standard deviations away (SuperMinHash has less variance than independent minima). There is no
@@ -30,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import columns_of, components, dropped, prepare, saved
+from .common import columns_of, components, dropped, prepare, release, saved
 
 U = np.uint64
 K = 5
 #: Elements whose permutations are in memory at once.
 ELEMENTS = 100_000
-#: Members of a bucket's cell side.
-CELL = 1500
+#: Members of a cluster's block; a cell holds two blocks.
+CELL = 500
 
 
 @dataclass(frozen=True)
@@ -129,13 +130,13 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketched(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str], b: Banding) -> DataFrame:
     """Set size, set fingerprint, band keys and one byte of each signature place, for each row."""
     carried = [c for c in dict.fromkeys([id_col, *keep])]
-    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "__n long, __f1 long, __f2 long, __keys array<long>, __sig binary"])
+    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__loom_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "__loom_n long, __loom_f1 long, __loom_f2 long, __loom_keys array<long>, __loom_sig binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            owner, sh = shingle_sets(*columns_of(batch, "__text"))
+            owner, sh = shingle_sets(*columns_of(batch, "__loom_text"))
             size = np.bincount(owner, minlength=n).astype(np.int64)
             f1, f2 = np.zeros(n, U), np.zeros(n, U)
             at = np.concatenate([[0], np.cumsum(size)])
@@ -149,7 +150,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str], b
             bytes_ = tk.mix(sig).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, pa.array([x.tobytes() for x in bytes_], pa.binary())],
-                names=[*carried, "__n", "__f1", "__f2", "__keys", "__sig"],
+                names=[*carried, "__loom_n", "__loom_f1", "__loom_f2", "__loom_keys", "__loom_sig"],
             )
 
     return picked.mapInArrow(run, schema)
@@ -170,10 +171,15 @@ def likely(pairs: DataFrame, reps: DataFrame, b: Banding) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t) of the documents named. A merge join at every size: what it shuffles is in proportion to the input."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, b: Banding) -> DataFrame:
     """Pairs that are links, judged on full sets. The texts of ids in pairs are gathered once."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = saved(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).join(ids, "id", "left_semi"), "texts")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    texts = saved(texts_of(ids, docs, id_col, text_col), "texts")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "t": "tb"}), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,31 +200,69 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, b: Ban
     return out
 
 
-def across(members: DataFrame, b: Banding) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree enough: members are (key, rep, comp, sig).
+def cell_links(rep: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, owner: np.ndarray, sets: np.ndarray, b: Banding) -> list[tuple[int, int]]:
+    """Links that join components of a cell: likeliest pairs first, and none between components that are joined already."""
+    n = len(rep)
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    size = np.diff(bounds)
+    parent = {c: c for c in set(comp.tolist())}
+
+    def find(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i in left.tolist():
+        own = find(int(comp[i]))
+        roots = np.array([find(c) for c in comp[right].tolist()], np.int64)
+        other = right[(roots != own) & (rep[right] != rep[i])]
+        if not len(other):
+            continue
+        same = (sig[other] == sig[i]).mean(1)
+        # sizes alone may rule a link out
+        small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+        likely_ = np.flatnonzero((same >= b.estimate) & (100 * small >= b.similarity * large))
+        other = other[likely_[np.argsort(-same[likely_], kind="stable")]]
+        mine = np.sort(sets[bounds[i] : bounds[i + 1]])
+        for j in range(0, len(other), 64):
+            part = [o for o in other[j : j + 64].tolist() if find(int(comp[o])) != find(int(comp[i]))]
+            if not part:
+                continue
+            theirs = np.concatenate([sets[bounds[o] : bounds[o + 1]] for o in part])
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            common = np.bincount(np.repeat(np.arange(len(part)), size[part])[mine[at] == theirs], minlength=len(part))
+            for o, k in zip(part, common.tolist(), strict=True):
+                if k and 100 * k >= b.similarity * (size[i] + size[o] - k):
+                    x, y = find(int(comp[i])), find(int(comp[o]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((int(rep[i]), int(rep[o])))
+    return out
+
+
+def across(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, b: Banding) -> DataFrame:
+    """Links between different components of a cluster: members are (cluster, rep, comp, sig).
 
-    A bucket of more than CELL members is cut into blocks, and each pair of blocks is a cell of its own.
+    A cluster of more than CELL members is cut into blocks, and each pair of blocks is a cell of its own, with its members' texts.
+    A cell gives out only links that join components, so fewer than it has members.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cells = placed.select("key", "rep", "comp", "sig", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    cells = cells.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("own"), "rep", "comp", "sig")
+    texts = texts_of(members.select(F.col("rep").alias("id")), docs, id_col, text_col)
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    placed = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(texts.withColumnRenamed("id", "rep").hint("merge"), "rep")
+    cells = placed.select("cluster", "rep", "comp", "sig", "t", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    cells = cells.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("own"), "rep", "comp", "sig", "t")
 
     def run(table: pa.Table) -> pa.Table:
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         own, rep, comp = (np.asarray(table[c].to_numpy()) for c in ("own", "rep", "comp"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out_a, out_b = [], []
-        for i in left.tolist():
-            other = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) if x == y else True)]
-            good = other[(sig[other] == sig[i]).mean(1) >= b.estimate] if len(other) else other
-            out_a.append(np.full(len(good), rep[i]))
-            out_b.append(rep[good])
-        a, c = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pa.table({"a": np.maximum(a, c), "b": np.minimum(a, c)})
+        owner, sets = shingle_sets(*columns_of(table.select(["t"]).combine_chunks().to_batches()[0], "t"))
+        found = cell_links(rep, comp, np.flatnonzero(own == x), np.flatnonzero(own == y), sig, owner, sets, b)
+        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
 
-    return cells.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return cells.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), banding: Banding | None = None) -> DataFrame:
@@ -228,10 +272,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keep = [c for c in keep if c not in (id_col, "n_shingles", "component_id", "kept")]
     rows = saved(sketched(docs, id_col, text_col, keep, b), "sketches")
     node = F.col(f"`{id_col}`").cast("long")
-    real = rows.where(node.isNotNull() & (F.col("__n") > 0))
-    classes = saved(real.groupBy("__n", "__f1", "__f2").agg(F.min(F.struct(node.alias("rep"), F.col("__keys").alias("keys"), F.col("__sig").alias("sig"))).alias("s")).select("__n", "__f1", "__f2", "s.rep", "s.keys", "s.sig"), "classes")
+    real = rows.where(node.isNotNull() & (F.col("__loom_n") > 0))
+    classes = saved(real.groupBy("__loom_n", "__loom_f1", "__loom_f2").agg(F.min(F.struct(node.alias("rep"), F.col("__loom_keys").alias("keys"), F.col("__loom_sig").alias("sig"))).alias("s")).select("__loom_n", "__loom_f1", "__loom_f2", "s.rep", "s.keys", "s.sig"), "classes")
     # an id that is repeated with different texts stands for several classes
-    copies = real.join(classes.select("__n", "__f1", "__f2", "rep"), ["__n", "__f1", "__f2"]).select(node.alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    copies = real.join(classes.select("__loom_n", "__loom_f1", "__loom_f2", "rep"), ["__loom_n", "__loom_f1", "__loom_f2"]).select(node.alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     keyed = saved(classes.select(F.explode("keys").alias("key"), "rep"), "keys")
     pivots = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b <> top").select("key", "b")
     stars = keyed.join(pivots, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
@@ -241,18 +285,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets that are not settled: members in more than one component
     named = keyed.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    members = named.join(open_keys, "key", "left_semi").join(classes.select("rep", "sig"), "rep")
-    more = saved(across(members, b).join(near, ["a", "b"], "left_anti"), "more")
-    extra = linked(more, docs, id_col, text_col, b)
+    unsettled = saved(named.join(open_keys, "key", "left_semi"), "unsettled")
+    ties = unsettled.join(pivots, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    clusters = components(ties, "clusters")
+    members = unsettled.select("rep", "comp").distinct().join(clusters.withColumnsRenamed({"node": "rep", "root": "cluster"}), "rep").join(classes.select("rep", "sig"), "rep")
+    extra = saved(across(members, docs, id_col, text_col, b), "links")
     groups = saved(components(links.unionByName(extra).unionByName(copies)), "groups")
-    dropped(keyed, near, more, first, links, extra, classes)
-    out = rows.join(groups.withColumnsRenamed({"node": "__node", "root": "__root"}), node == F.col("__node"), "left")
+    dropped(keyed, near, unsettled, first, links, extra, classes)
+    release(spark)
+    out = rows.join(groups.withColumnsRenamed({"node": "__loom_node", "root": "__loom_root"}), node == F.col("__loom_node"), "left")
     return out.select(
         F.col(f"`{id_col}`"),
         *[F.col(f"`{c}`") for c in keep],
-        F.col("__n").alias("n_shingles"),
-        F.coalesce("__root", node).alias("component_id"),
-        F.coalesce(node == F.coalesce("__root", node), F.lit(True)).alias("kept"),
+        F.col("__loom_n").alias("n_shingles"),
+        F.coalesce("__loom_root", node).alias("component_id"),
+        F.coalesce(node == F.coalesce("__loom_root", node), F.lit(True)).alias("kept"),
     )
 
 
