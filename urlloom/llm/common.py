@@ -170,9 +170,9 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 40) -> D
         down = both.groupBy("a").agg(F.min("b").alias("m"))
         step = both.join(down.withColumnRenamed("a", "k"), F.col("b") == F.col("k"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         after = saved(step, tag)
-        roots = after.select("b").distinct().join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1)
-        many = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-        done = not roots.unionByName(many.select(F.col("a").alias("b"))).take(1)
+        ends = after.select(F.col("a").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(after.select(F.col("b").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        # settled: every node points at one other, and nothing points at a node that points on
+        done = not ends.groupBy("k").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").take(1)
         dropped(now)
         now = after
         if done:
