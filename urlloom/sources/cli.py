@@ -1,4 +1,7 @@
-"""python -m urlloom.sources.cli: query the URLs of files, or one URL."""
+"""python -m urlloom.sources.cli: query the URLs of files, of standard input, or one URL.
+
+Files go through Spark. Standard input is a pipe of lines on one machine, so the kernel reads it line by line.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,25 @@ import json
 import sys
 
 from ..functions.types import PARTS, getters, record
-from ..kernel.url import parse
+from ..kernel.url import Url, parse
+
+
+def diagram(url: Url) -> str:
+    """The href, and under it a bar at each offset with its name."""
+    marks = sorted((at, name) for name, at in url.offsets().items() if at is not None and name != "port")
+    lines = [url.href, "".join("|" if any(at == i for at, _ in marks) else " " for i in range(len(url.href) + 1)).rstrip()]
+    for at, name in reversed(marks):
+        before = "".join("|" if any(a == i for a, _ in marks) else " " for i in range(at))
+        lines.append(f"{before}`-- {name}")
+    return "\n".join(lines)
+
+
+def line(text: str, part: str | None) -> str | None:
+    """What is printed for a line of input: one part, or without any only lines that are no URLs."""
+    url = parse(text)
+    if url is None:
+        return f"Invalid URL: {text}"
+    return getters(url)[part] if part else None
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
@@ -16,6 +37,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     a.add_argument("-g", "--get", choices=PARTS, metavar="PART", help="print one part: " + ", ".join(PARTS))
     a.add_argument("-p", "--path", help="a file of lines, or a folder of such files")
     a.add_argument("-o", "--output", help="a folder for the lines that come out")
+    a.add_argument("-d", "--diagram", action="store_true", help="print a diagram of one URL's offsets")
     a.add_argument("-b", "--benchmark", action="store_true", help="tell how fast all lines are validated")
     return a.parse_args(argv)
 
@@ -38,6 +60,15 @@ def main(argv: list[str] | None = None) -> int:
         if args.benchmark:
             print(throughput(lines))
         return 0
+    if args.url is None and not sys.stdin.isatty():
+        sink = open(args.output, "w") if args.output else sys.stdout
+        for text in sys.stdin:
+            out = line(text.rstrip("\n"), args.get)
+            if out is not None:
+                print(out, file=sink)
+        if args.output:
+            sink.close()
+        return 0
     if args.url is None:
         print("a URL or --path is needed", file=sys.stderr)
         return 2
@@ -45,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
     if url is None:
         print("Invalid URL", file=sys.stderr)
         return 1
-    print(getters(url)[args.get] if args.get else json.dumps(record(url), indent=2))
+    print(getters(url)[args.get] if args.get else diagram(url) if args.diagram else json.dumps(record(url), indent=2))
     return 0
 
 
