@@ -29,7 +29,9 @@ from . import textkernel as tk
 from .common import columns_of, prepare
 
 U = np.uint64
-SAMPLE = 8000
+SAMPLE = 6000
+#: Texts whose features are computed at once on the driver.
+TOGETHER = 200
 FOLDS = 4
 #: Fixed word lists.
 INSULTS = "asshole bastard bitch clown creep cretin crap cunt damn dick disgusting dumb dumbass fool freak fuck fucking garbage hate idiot idiotic imbecile jerk kill loser moron moronic nasty pathetic pig rat retard scum shit shut sick slut stupid suck trash ugly useless vermin whore worthless arschloch dumm dreck idiotin scheisse trottel abruti connard imbécile merde salaud stupide basura cabron estúpido idiota imbécil inútil mierda".split()
@@ -313,7 +315,9 @@ def fit(texts: Sequence[bytes], y: np.ndarray) -> Model:
     for k in range(FOLDS):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         lexicon = learned_lexicon(*joined([texts[i] for i in rest]), toxic[rest])
-        x[own] = features(*joined([texts[i] for i in own]), lexicon, fixed, persons)
+        for i in range(0, len(own), TOGETHER):
+            part = own[i : i + TOGETHER]
+            x[part] = features(*joined([texts[j] for j in part]), lexicon, fixed, persons)
     raw = np.zeros(len(y))
     for k in range(FOLDS):
         raw[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
@@ -338,12 +342,12 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("held_out", "score", "predicted")]
-    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__loom_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(*columns_of(batch, "__text")), pa.float64())], names=[*carried, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(*columns_of(batch, "__loom_text")), pa.float64())], names=[*carried, "score"])
 
     out = picked.mapInArrow(run, schema)
     return out.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(held_out(F.col(f"`{id_col}`")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
