@@ -139,6 +139,17 @@ def test_passages(spark, block_bytes):
         assert got[i].kept_sha256 == fx.sha(got[i].kept)
 
 
+def test_copies_of_a_revised_passage(spark):
+    rng, words = random.Random(12), fx.vocabulary(12, 8000)
+    plain = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = plain(60)
+    revised = passage[:21] + plain(18) + passage[39:]
+    rows = [" ".join(plain(40) + (revised if i == 0 else passage) + plain(40)) for i in range(6)]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i].n_removed_words for i in range(6)] == [0, 0, 60, 60, 60, 60]
+    assert all(1 in got[i].source_ids for i in range(2, 6))
+
+
 def test_passages_of_odd_rows(spark):
     df = fx.docs(spark)
     rows = repeated_passages(df, keep=["lang", "block", "kept"], with_kept=True, block_bytes=3000).collect()

@@ -263,8 +263,11 @@ def align(here: np.ndarray, there: np.ndarray, x: np.ndarray, y: np.ndarray, rul
 
 
 def passages(stretches: list[tuple[int, int, int, int]], rules: Rules) -> list[tuple[int, int, list[int]]]:
-    """(first word, end, earlier ids) of a document's passages, from stretches (first word, end, equal words, earlier id)."""
-    out, now = [], None
+    """(first word, end, earlier ids) of a document's passages, from stretches (first word, end, equal words, earlier id).
+
+    A stretch that is a passage by itself is always cut, whatever weaker stretches overlap it.
+    """
+    merged, now = [], None
     for a, e, equal, ref in sorted(stretches):
         if now and a <= now[1] + rules.join_gap:
             if e > now[1]:
@@ -273,8 +276,17 @@ def passages(stretches: list[tuple[int, int, int, int]], rules: Rules) -> list[t
                 now[1] = e
             now[3].add(ref)
         else:
-            out.append(now := [a, e, float(equal), {ref}])
-    return [(a, e, sorted(refs)) for a, e, equal, refs in out if e - a >= rules.min_words and equal >= rules.identity * (e - a)]
+            merged.append(now := [a, e, float(equal), {ref}])
+    out: list[list] = []
+    for a, e, equal, refs in sorted([*merged, *([a, e, equal, {ref}] for a, e, equal, ref in stretches)], key=lambda v: v[:2]):
+        if e - a < rules.min_words or equal < rules.identity * (e - a):
+            continue
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+            out[-1][2] |= refs
+        else:
+            out.append([a, e, set(refs)])
+    return [(a, e, sorted(refs)) for a, e, refs in out]
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules | None = None, with_kept: bool = False, keep: Sequence[str] = (), block_bytes: int = BLOCK) -> DataFrame:
