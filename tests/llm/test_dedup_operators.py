@@ -7,7 +7,7 @@ import pytest
 
 from urlloom.llm import near_duplicates as nd
 from urlloom.llm.near_duplicates import Banding, near_duplicates, signatures
-from urlloom.llm.passage_dedup import Rules, chains, repeated_passages
+from urlloom.llm.passage_dedup import Rules, chains, passages, qualifying, repeated_passages
 from urlloom.llm.suffix_dedup import refined, substrings_removed
 
 from . import fixtures as fx
@@ -150,6 +150,42 @@ def test_copies_of_a_revised_passage(spark):
     assert all(1 in got[i].source_ids for i in range(2, 6))
 
 
+@pytest.mark.parametrize("shape", ["slot", "slots"])
+def test_exact_passages_beside_weak_ones(spark, shape):
+    rng, words = random.Random(13), fx.vocabulary(13, 8000)
+    plain = lambda n: [rng.choice(words) for _ in range(n)]
+    fixed, near = [f"fix{i}" for i in range(60)], [plain(30), plain(30)]
+    page = {
+        "slot": lambda: plain(40) + fixed + plain(40) + near[0][:9] + plain(40),
+        "slots": lambda: plain(40) + fixed + plain(rng.randint(20, 26)) + near[0] + plain(rng.randint(20, 26)) + near[1] + plain(40),
+    }[shape]
+    rows = [" ".join(page()) for _ in range(12)]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), with_kept=True).collect()}
+    assert got[0].n_removed_words == 0
+    for i in range(1, 12):
+        assert "fix" not in got[i].kept and got[i].source_ids[0] == 0, i
+
+
+def test_parts_of_a_passage():
+    rules = Rules()
+    equal = np.array([1] * 50 + [0] * 40 + [1] * 6, bool)
+    assert passages([(7, 103, equal, 3)], rules) == [(7, 57, [3])]
+    equal = np.array([1] * 50 + [0] * 20 + [1] * 30 + [0] * 20 + [1] * 30, bool)
+    found = passages([(0, 150, equal, 3)], rules)
+    assert all(e - a >= 50 and equal[a:e].mean() >= 0.75 for a, e, _ in found) and found[0][0] == 0
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        equal = np.repeat(rng.random(12) < 0.6, rng.integers(1, 70, 12)) & (rng.random() < 0.5) | (rng.random(1) < 0.2)
+        equal = np.concatenate([equal, np.ones(50, bool), rng.random(40) < 0.5])
+        found = qualifying(equal, rules)
+        gone = np.zeros(len(equal), bool)
+        for a, e in found:
+            assert e - a >= 50 and equal[a:e].mean() >= 0.75 and equal[a] and equal[e - 1] and not gone[a:e].any()
+            gone[a:e] = True
+        runs = np.flatnonzero(np.diff(np.concatenate([[0], equal, [0]])))
+        assert all(gone[a:e].all() for a, e in runs.reshape(-1, 2) if e - a >= 50)
+
+
 def test_passages_of_odd_rows(spark):
     df = fx.docs(spark)
     rows = repeated_passages(df, keep=["lang", "block", "kept"], with_kept=True, block_bytes=3000).collect()

@@ -10,8 +10,8 @@
 4. Chains go to the block of the earlier document with the words around them, and are aligned: between matches,
    and beyond the ends as far as the score does not drop.
 5. Aligned stretches that follow each other closely in a document are one passage, even where different earlier
-   documents have its parts. Passages of `min_words` words with `identity` or more equal words are cut from the
-   document; their first occurrence stays.
+   documents have its parts. Its parts of `min_words` words with `identity` or more equal words are cut from the
+   document, an equal run of `min_words` always; their first occurrence stays.
 
 Defined cases: words are runs of letters, digits and characters beyond ASCII, with A-Z in lower case. Null texts have none; a
 document without id takes and loses nothing; rows of the same id do not match each other; an empty table gives an
@@ -185,43 +185,54 @@ def chains(x: np.ndarray, y: np.ndarray, rules: Rules) -> list[np.ndarray]:
     return out
 
 
-def gap_matches(a: np.ndarray, b: np.ndarray) -> int:
-    """Words that an alignment of two short stretches can make equal: the longest common subsequence."""
+def gap_matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which words of a an alignment of two short stretches can make equal: a longest common subsequence."""
+    taken = np.zeros(len(a), bool)
     if not len(a) or not len(b):
-        return 0
+        return taken
     if len(a) == len(b):
-        same = int((a == b).sum())
-        if 2 * same >= len(a) or len(a) * len(b) > 40_000:
+        same = a == b
+        if 2 * same.sum() >= len(a) or len(a) * len(b) > 40_000:
             return same
     if len(a) * len(b) > 40_000:
-        return 0
-    row = np.zeros(len(b) + 1, np.int64)
-    for w in a:
-        diagonal = np.where(b == w, row[:-1] + 1, 0)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], diagonal))
-    return int(row[-1])
+        return taken
+    table = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+    for k, w in enumerate(a):
+        diagonal = np.where(b == w, table[k, :-1] + 1, 0)
+        table[k + 1, 1:] = np.maximum.accumulate(np.maximum(table[k, 1:], diagonal))
+    i, j = len(a), len(b)
+    while table[i, j]:
+        if table[i - 1, j] == table[i, j]:
+            i -= 1
+        elif table[i, j - 1] == table[i, j]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            taken[i] = True
+    return taken
 
 
-def extended(a: np.ndarray, b: np.ndarray, drop: int) -> tuple[int, int]:
-    """How many words two stretches go on together from their start, and how many of them are equal."""
+def extended(a: np.ndarray, b: np.ndarray, drop: int) -> np.ndarray:
+    """Which words are equal as far as two stretches go on together from their start."""
     n = min(len(a), len(b))
-    if not n:
-        return 0, 0
     same = a[:n] == b[:n]
+    if not n:
+        return same
     score = np.cumsum(np.where(same, 1, -1))
     fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > drop)
     upto = fallen[0] if len(fallen) else n
     if not upto:
-        return 0, 0
+        return same[:0]
     at = int(score[:upto].argmax())
-    return (at + 1, int(same[: at + 1].sum())) if score[at] > 0 else (0, 0)
+    return same[: at + 1] if score[at] > 0 else same[:0]
 
 
-def align(here: np.ndarray, there: np.ndarray, x: np.ndarray, y: np.ndarray, rules: Rules) -> list[tuple[int, int, int]]:
-    """Stretches (first word, end, equal words) of `here` that match `there` along a chain of seeds (x, y).
+def align(here: np.ndarray, there: np.ndarray, x: np.ndarray, y: np.ndarray, rules: Rules) -> list[tuple[int, int, np.ndarray]]:
+    """Stretches (first word, end, which words are equal) of `here` that match `there` along a chain of seeds (x, y).
 
-    Neighbouring seeds on one diagonal are compared word by word; between diagonals the gap is aligned. The chain
-    is cut where a gap brings the equal words of its stretch under half.
+    Neighbouring seeds on one diagonal are compared word by word; between diagonals the gap is aligned, and the
+    chain is cut where less than half of a gap and what follows it is equal. Gaps on one diagonal need no cut, as
+    passages() takes the parts of a stretch that are equal enough.
     """
     runs: list[list[int]] = []
     for a, b in zip(x.tolist(), y.tolist(), strict=True):
@@ -236,56 +247,93 @@ def align(here: np.ndarray, there: np.ndarray, x: np.ndarray, y: np.ndarray, rul
                 runs.append([a, b, a + K - over])
                 continue
             runs.append([a, b, a + K])
-    out: list[list[int]] = []
-    end_there = 0
+    out: list[list] = []
     for a, b, e in runs:
-        equal = int((here[a:e] == there[b : b + e - a]).sum())
+        equal = here[a:e] == there[b : b + e - a]
         if out:
-            gap = (a - out[-1][1], b - end_there)
-            inside = gap_matches(here[out[-1][1] : a], there[end_there:b])
-            if max(gap) <= 2 * FLANK and (max(gap) <= 3 or 2 * inside + (e - a) >= max(gap)):
-                out[-1][2] += inside + equal
-                out[-1][1], end_there = e, b + e - a
+            gap = (a - out[-1][1], b - out[-1][4])
+            inside = gap_matches(here[out[-1][1] : a], there[out[-1][4] : b])
+            if max(gap) <= 2 * FLANK and (max(gap) <= 3 or 2 * inside.sum() + (e - a) >= max(gap)):
+                out[-1][2] += [inside, equal]
+                out[-1][1], out[-1][4] = e, b + e - a
                 continue
-        out.append([a, e, equal, b])
-        end_there = b + e - a
-    done = []
-    for k, (a, e, equal, b) in enumerate(out):
-        stop = out[k + 1][0] if k + 1 < len(out) else len(here)
-        begin = done[-1][1] if done else 0
-        end = b + (e - a) if len(runs) == 1 else None
-        more, same = extended(here[begin:a][::-1], there[:b][::-1], rules.drop)
-        # the other side's end is known for the last stretch, and for those of a single diagonal
-        tail = there[end_there:] if k + 1 == len(out) else there[end:] if end is not None else there[:0]
-        more2, same2 = extended(here[e:stop], tail, rules.drop)
-        done.append((a - more, e + more2, equal + same + same2))
+        out.append([a, e, [equal], b, b + e - a])
+    done: list[tuple[int, int, np.ndarray]] = []
+    for k, (a, e, equal, b, end) in enumerate(out):
+        stop, stop_there = (out[k + 1][0], out[k + 1][3]) if k + 1 < len(out) else (len(here), len(there))
+        begin, begin_there = (done[-1][1], out[k - 1][4]) if done else (0, 0)
+        before = extended(here[begin:a][::-1], there[begin_there:b][::-1], rules.drop)
+        after = extended(here[e:stop], there[end:stop_there], rules.drop)
+        done.append((a - len(before), e + len(after), np.concatenate([before[::-1], *equal, after])))
     return done
 
 
-def passages(stretches: list[tuple[int, int, int, int]], rules: Rules) -> list[tuple[int, int, list[int]]]:
-    """(first word, end, earlier ids) of a document's passages, from stretches (first word, end, equal words, earlier id).
+def qualifying(equal: np.ndarray, rules: Rules) -> list[tuple[int, int]]:
+    """Parts [a, e) of min_words words with identity or more equal ones that begin and end with an equal word.
 
-    A stretch that is a passage by itself is always cut, whatever weaker stretches overlap it.
+    The longest is taken first, then what lies before and after it. A run of min_words equal words is always
+    taken: a part that overlapped it would be longer with it.
     """
-    merged, now = [], None
-    for a, e, equal, ref in sorted(stretches):
-        if now and a <= now[1] + rules.join_gap:
-            if e > now[1]:
-                fresh = e - max(a, now[1])
-                now[2] += equal * fresh / (e - a)
-                now[1] = e
-            now[3].add(ref)
-        else:
-            merged.append(now := [a, e, float(equal), {ref}])
-    out: list[list] = []
-    for a, e, equal, refs in sorted([*merged, *([a, e, equal, {ref}] for a, e, equal, ref in stretches)], key=lambda v: v[:2]):
-        if e - a < rules.min_words or equal < rules.identity * (e - a):
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        s, t = todo.pop()
+        if t - s < rules.min_words:
+            continue
+        at = s + np.flatnonzero(equal[s:t])
+        if len(at) < rules.identity * rules.min_words:
             continue
+        # equal words up to and with the i-th of them, less what identity asks for
+        upto = np.arange(1, len(at) + 1) - rules.identity * (at + 1)
+        ahead = np.arange(len(at)) - rules.identity * at
+        best = np.maximum.accumulate(upto[::-1])[::-1]
+        # for each begin, the last end that is good enough: best falls, so it is found by bisection
+        last = len(at) - 1 - np.searchsorted(best[::-1], ahead - 1e-9)
+        size = np.where(last >= np.arange(len(at)), at[np.maximum(last, 0)] + 1 - at, 0)
+        k = int(size.argmax())
+        if size[k] < rules.min_words:
+            continue
+        a, e = int(at[k]), int(at[last[k]]) + 1
+        out.append((a, e))
+        todo += [(s, a), (e, t)]
+    return sorted(out)
+
+
+def passages(stretches: list[tuple[int, int, np.ndarray, int]], rules: Rules) -> list[tuple[int, int, list[int]]]:
+    """(first word, end, earlier ids) of a document's passages, from stretches (first word, end, which words are equal, earlier id).
+
+    A word counts as equal if it is in any stretch. Of stretches that follow each other the parts that are equal
+    enough are cut; a stretch that is a passage by itself is always cut, whatever lies around it.
+    """
+    stretches = sorted(stretches, key=lambda v: (v[0], v[1], v[3]))
+    parts: list[tuple[int, int]] = []
+    s = 0
+    while s < len(stretches):
+        begin, end, t = stretches[s][0], stretches[s][1], s + 1
+        while t < len(stretches) and stretches[t][0] <= end + rules.join_gap:
+            end = max(end, stretches[t][1])
+            t += 1
+        if end - begin >= rules.min_words:
+            union = np.zeros(end - begin, bool)
+            for a, e, equal, _ in stretches[s:t]:
+                union[a - begin : e - begin] |= equal
+                if e - a >= rules.min_words and equal.sum() >= rules.identity * (e - a):
+                    parts.append((a, e))
+            parts += [(begin + a, begin + e) for a, e in qualifying(union, rules)]
+        s = t
+    out: list[list] = []
+    for a, e in sorted(parts):
         if out and a < out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
-            out[-1][2] |= refs
         else:
-            out.append([a, e, set(refs)])
+            out.append([a, e, set()])
+    k = 0
+    for a, e, _, ref in stretches:
+        while k < len(out) and out[k][1] <= a:
+            k += 1
+        for p in range(k, len(out)):
+            if out[p][0] >= e:
+                break
+            out[p][2].add(ref)
     return [(a, e, sorted(refs)) for a, e, refs in out]
 
 
@@ -426,7 +474,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     there = b.words[b.first[doc] + low : min(b.first[doc + 1], b.first[doc] + int(y[-1]) + K + FLANK)]
                     result += [(number, *v) for v in align(here, there, x, y - low, rules)]
                 if result:
-                    out.append((int(np.frombuffer(source, "<i8")[0]), 4, pack(np.array([row["block"][0].as_py()], "<i8"), *(np.array(v, "<i8") for v in zip(*result, strict=True)))))
+                    *places, equal = zip(*result, strict=True)
+                    out.append((int(np.frombuffer(source, "<i8")[0]), 4, pack(np.array([row["block"][0].as_py()], "<i8"), *(np.array(v, "<i8") for v in places), np.packbits(np.concatenate(equal)))))
         return rows_of(out)
 
     replies = saved(by_block.cogroup(found.where("kind = 2").groupBy("block")).applyInArrow(aligned, schema), "aligned")
@@ -446,9 +495,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             got: dict[tuple[int, int], list] = {}
             for kind, note in zip(kinds, raw_notes, strict=True):
                 if kind == 4:
-                    target, number, a, e, equal = (np.frombuffer(v, "<i8").tolist() for v in unpack(note))
-                    for i, *v in zip(number, a, e, equal, strict=True):
-                        got.setdefault((target[0], i), []).append(v)
+                    *places, bits = unpack(note)
+                    target, number, a, e = (np.frombuffer(v, "<i8").tolist() for v in places)
+                    equal, at = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool), 0
+                    for i, low, high in zip(number, a, e, strict=True):
+                        got.setdefault((target[0], i), []).append((low, high, equal[at : at + high - low]))
+                        at += high - low
             for kind, note in zip(kinds, raw_notes, strict=True):
                 if kind == 3:
                     for target, number, doc, low, ref in zip(*(np.frombuffer(v, "<i8").tolist() for v in unpack(note)), strict=True):
