@@ -166,6 +166,23 @@ def test_exact_passages_beside_weak_ones(spark, shape):
         assert "fix" not in got[i].kept and got[i].source_ids[0] == 0, i
 
 
+@pytest.mark.parametrize("core", [0, 15])
+def test_passages_whose_phrases_have_other_holders(spark, core):
+    rng, words = random.Random(14), fx.vocabulary(14, 8000)
+    plain = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = [f"p{i}" for i in range(200)]
+    low = 100 if core else 200
+    # every five words of the passage but for its core are an older document by themselves
+    phrases = [passage[i : i + 5] for i in range(196) if i + 5 <= low or i >= low + core]
+    older = [" ".join(p) for p in phrases]
+    rows = older + [" ".join(plain(40) + part + plain(40)) for part in (passage, passage, passage[20:75])]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), block_bytes=20000).collect()}
+    n = len(older)
+    assert [got[n + i].n_removed_words for i in range(3)] == [0, 200, 55]
+    assert all(got[i].n_removed_words == 0 for i in range(n))
+    assert got[n + 1].source_ids == [n] and got[n + 2].source_ids == [n]
+
+
 def test_parts_of_a_passage():
     rules = Rules()
     equal = np.array([1] * 50 + [0] * 40 + [1] * 6, bool)

@@ -2,10 +2,14 @@
 
 1. Documents are packed into blocks. Of every `SPREAD` neighbouring five-word shingles the one with the smallest hash is a
    seed, so equal stretches of words have equal seeds. Where a few words repeat again and again, seeds are numbered.
+   Of every `LONG_SPREAD` neighbouring shingles of `LONG` words, one is a long seed. Five words may have an unrelated older
+   holder; a long seed's first holder has at least `LONG` words of the passage. Every equal stretch of `min_words` words
+   has a long seed, two long seeds that follow each other in it leave one word between them at most, and `FLANK`
+   reaches from the first and the last of them to its ends.
 2. Seeds are joined: each block sends its distinct seeds, with their place in the smallest id that has them; each
    bucket finds the smallest id of all and answers the blocks that have a larger one. A seed in n documents
    makes at most n matches, all with its first document, and one message for each block.
-3. A document's matches with one earlier document are chained: matches in the order of their places here, a Fenwick tree
+3. A document's matches with one earlier document, of a long seed its first and last K words, are chained: matches in the order of their places here, a Fenwick tree
    over places there for the best chain to append to, and a cost for the gaps on both sides.
 4. Chains go to the block of the earlier document with the words around them, and are aligned: between matches,
    and beyond the ends as far as the score does not drop.
@@ -37,10 +41,15 @@ from .suffix_dedup import BLOCK, TOP, pack, packed_blocks, stretches, unpack
 U = np.uint64
 K = 5
 SPREAD = 6
+#: Words of a long seed, and shingles of which one is taken: together one word more than a passage's least length.
+LONG = 25
+LONG_SPREAD = 26
 #: Seeds of one document that repeat within so many words are told apart by number; less than a passage's least length.
 NEAR = 40
-#: Words of context that are sent with a chain, on each side.
-FLANK = 24
+#: Words of context that are sent with a chain, on each side: as far as an end of an equal stretch can be from a long seed.
+FLANK = 26
+#: Words that an alignment bridges at most.
+BRIDGE = 48
 
 
 @dataclass(frozen=True)
@@ -72,27 +81,20 @@ class Block:
 
     def seeds(self, buckets: int) -> None:
         sh, whole = tk.shingles(self.hash, self.first, K)
-        n = len(sh) - SPREAD + 1
-        if n > 0:
-            m = sh.copy()
-            size = 1
-            while 2 * size <= SPREAD:
-                m = np.minimum(m[:-size], m[size:])
-                size *= 2
-            m = np.minimum(m[: len(m) - (SPREAD - size)], m[SPREAD - size :]) if size < SPREAD else m
-            # windows must be inside one document: the last shingle of each is a whole one, as are those before it
-            last = np.repeat(self.first[1:], np.diff(self.first))
-            windows = np.flatnonzero(np.arange(n) + SPREAD - 1 + K <= last[:n])
-            taken = np.zeros(len(sh), bool)
-            for j in range(SPREAD):
-                taken[windows[sh[windows + j] == m[windows]] + j] = True
-        else:
-            taken = np.zeros(len(sh), bool)
         # documents of fewer shingles than a window: all of theirs
         few = np.repeat(np.diff(self.first) < SPREAD - 1 + K, np.diff(self.first))
-        self.place = np.flatnonzero((taken | few) & whole)
+        short = np.flatnonzero((self.smallest(sh, K, SPREAD) | few) & whole)
+        long_sh = np.zeros(len(sh), U)
+        n = max(0, len(sh) - LONG + 1)
+        for j in range(0, LONG, K):
+            long_sh[:n] = tk.mix(long_sh[:n] * U(0x9E3779B97F4A7C15) + sh[j : n + j])
+        long_ = np.flatnonzero(self.smallest(long_sh, LONG, LONG_SPREAD))
+        place = np.concatenate([short, long_])
+        z = np.concatenate([tk.mix(sh[short] + U(77)), tk.mix(long_sh[long_] + U(78))])
+        order = np.argsort(place, kind="stable")
+        self.place, self.long = place[order], order >= len(short)
         self.owner = np.searchsorted(self.first, self.place, side="right") - 1
-        z = self.numbered(tk.mix(sh[self.place] + U(77)))
+        z = self.numbered(z[order])
         own = self.ids[self.owner]
         order = np.lexsort((self.place, own, z))
         new = np.ones(len(order), bool)
@@ -108,6 +110,25 @@ class Block:
         #: The place of each distinct seed in the block's smallest id that has it.
         self.lead, self.z, self.bucket = lead[sort], z[lead][sort], bucket[sort]
 
+    def smallest(self, sh: np.ndarray, k: int, spread: int) -> np.ndarray:
+        """Which shingles of k words have the smallest hash of `spread` neighbours inside one document."""
+        taken = np.zeros(len(sh), bool)
+        n = len(sh) - spread + 1
+        if n <= 0:
+            return taken
+        m = sh.copy()
+        size = 1
+        while 2 * size <= spread:
+            m = np.minimum(m[:-size], m[size:])
+            size *= 2
+        m = np.minimum(m[: len(m) - (spread - size)], m[spread - size :]) if size < spread else m
+        # windows must be inside one document: the last shingle of each is a whole one, as are those before it
+        last = np.repeat(self.first[1:], np.diff(self.first))
+        windows = np.flatnonzero(np.arange(n) + spread - 1 + k <= last[:n])
+        for j in range(spread):
+            taken[windows[sh[windows + j] == m[windows]] + j] = True
+        return taken
+
     def numbered(self, z: np.ndarray) -> np.ndarray:
         """Seeds that repeat within NEAR words are numbered, so that the places of a periodic stretch differ.
 
@@ -236,7 +257,7 @@ def align(here: np.ndarray, there: np.ndarray, x: np.ndarray, y: np.ndarray, rul
     """
     runs: list[list[int]] = []
     for a, b in zip(x.tolist(), y.tolist(), strict=True):
-        if runs and a - runs[-1][0] == b - runs[-1][1] and a - runs[-1][2] <= 2 * FLANK:
+        if runs and a - runs[-1][0] == b - runs[-1][1] and a - runs[-1][2] <= BRIDGE:
             runs[-1][2] = a + K
         else:
             if runs and (a < runs[-1][2] or b < runs[-1][1] + runs[-1][2] - runs[-1][0]):
@@ -253,7 +274,7 @@ def align(here: np.ndarray, there: np.ndarray, x: np.ndarray, y: np.ndarray, rul
         if out:
             gap = (a - out[-1][1], b - out[-1][4])
             inside = gap_matches(here[out[-1][1] : a], there[out[-1][4] : b])
-            if max(gap) <= 2 * FLANK and (max(gap) <= 3 or 2 * inside.sum() + (e - a) >= max(gap)):
+            if max(gap) <= BRIDGE and (max(gap) <= 3 or 2 * inside.sum() + (e - a) >= max(gap)):
                 out[-1][2] += [inside, equal]
                 out[-1][1], out[-1][4] = e, b + e - a
                 continue
@@ -301,40 +322,36 @@ def qualifying(equal: np.ndarray, rules: Rules) -> list[tuple[int, int]]:
 def passages(stretches: list[tuple[int, int, np.ndarray, int]], rules: Rules) -> list[tuple[int, int, list[int]]]:
     """(first word, end, earlier ids) of a document's passages, from stretches (first word, end, which words are equal, earlier id).
 
-    A word counts as equal if it is in any stretch. Of stretches that follow each other the parts that are equal
-    enough are cut; a stretch that is a passage by itself is always cut, whatever lies around it.
+    A word counts as equal if it is in any stretch, and is the smallest such id's. Of stretches that follow each other the parts that
+    are equal enough are cut; a stretch that is a passage by itself is always cut, whatever lies around it.
     """
     stretches = sorted(stretches, key=lambda v: (v[0], v[1], v[3]))
-    parts: list[tuple[int, int]] = []
+    out: list[tuple[int, int, list[int]]] = []
     s = 0
     while s < len(stretches):
         begin, end, t = stretches[s][0], stretches[s][1], s + 1
         while t < len(stretches) and stretches[t][0] <= end + rules.join_gap:
             end = max(end, stretches[t][1])
             t += 1
-        if end - begin >= rules.min_words:
-            union = np.zeros(end - begin, bool)
-            for a, e, equal, _ in stretches[s:t]:
-                union[a - begin : e - begin] |= equal
-                if e - a >= rules.min_words and equal.sum() >= rules.identity * (e - a):
-                    parts.append((a, e))
-            parts += [(begin + a, begin + e) for a, e in qualifying(union, rules)]
-        s = t
-    out: list[list] = []
-    for a, e in sorted(parts):
-        if out and a < out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([a, e, set()])
-    k = 0
-    for a, e, _, ref in stretches:
-        while k < len(out) and out[k][1] <= a:
-            k += 1
-        for p in range(k, len(out)):
-            if out[p][0] >= e:
-                break
-            out[p][2].add(ref)
-    return [(a, e, sorted(refs)) for a, e, refs in out]
+        near, s = stretches[s:t], t
+        if end - begin < rules.min_words:
+            continue
+        union, holder = np.zeros(end - begin, bool), np.zeros(end - begin, np.int64)
+        parts: list[tuple[int, int]] = []
+        for a, e, equal, ref in sorted(near, key=lambda v: v[3]):
+            a, e = a - begin, e - begin
+            holder[a:e][equal & ~union[a:e]] = ref
+            union[a:e] |= equal
+            if e - a >= rules.min_words and equal.sum() >= rules.identity * (e - a):
+                parts.append((a, e))
+        joined: list[list[int]] = []
+        for a, e in sorted([*parts, *qualifying(union, rules)]):
+            if joined and a < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], e)
+            else:
+                joined.append([a, e])
+        out += [(begin + a, begin + e, np.unique(holder[a:e][union[a:e]]).tolist()) for a, e in joined]
+    return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules | None = None, with_kept: bool = False, keep: Sequence[str] = (), block_bytes: int = BLOCK) -> DataFrame:
@@ -419,14 +436,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 ref_id[at], ref_block[at], ref_doc[at], ref_place[at] = unplanes(i, "<i8"), unplanes(w, "<i8"), unplanes(o, "<u4"), unplanes(p, "<u4")
             own = b.ids[b.owner]
             hit = np.flatnonzero((ref_id[b.which] < own) & (own != TOP))
+            # a long seed matches with its first and with its last words
+            ends = np.flatnonzero(b.long[hit])
+            shift = np.concatenate([np.zeros(len(hit), np.int64), np.full(len(ends), LONG - K)])
+            hit = np.concatenate([hit, hit[ends]])
             w = b.which[hit]
-            order = np.lexsort((ref_doc[w], ref_block[w], b.owner[hit]))
-            hit, w = hit[order], w[order]
-            change = np.ones(len(hit), bool)
-            for v in (b.owner[hit], ref_block[w], ref_doc[w]):
-                change[1:] &= v[1:] == v[:-1]
-            change[1:] = ~change[1:]
-            change[:1] = True
+            here, there = b.place[hit] + shift, ref_place[w].astype(np.int64) + shift
+            order = np.lexsort((there, here, ref_doc[w], ref_block[w], b.owner[hit]))
+            hit, w, here, there = (v[order] for v in (hit, w, here, there))
+
+            def changes(*columns: np.ndarray) -> np.ndarray:
+                change = np.zeros(len(columns[0]), bool)
+                change[:1] = True
+                for v in columns:
+                    change[1:] |= v[1:] != v[:-1]
+                return change
+
+            once = changes(here, there, ref_doc[w], ref_block[w], b.owner[hit])
+            hit, w, here, there = (v[once] for v in (hit, w, here, there))
+            change = changes(b.owner[hit], ref_block[w], ref_doc[w])
             cut = np.flatnonzero(change)
             asked: dict[int, dict[bytes, int]] = {}
             mine: list[tuple[int, int, int, int, int]] = []
@@ -434,7 +462,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if e - s < rules.least_seeds:
                     continue
                 doc = int(b.owner[hit[s]])
-                x, y = b.place[hit[s:e]] - b.first[doc], ref_place[w[s:e]].astype(np.int64)
+                x, y = here[s:e] - b.first[doc], there[s:e]
                 if x[-1] + K - x[0] < rules.least_words:
                     continue
                 target, other = int(ref_block[w[s]]), int(ref_doc[w[s]])
