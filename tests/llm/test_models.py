@@ -52,6 +52,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-12 for r in got)
 
 
+def test_toxicity_of_a_rare_label(spark):
+    rows, labels = corpus()
+    hot = [(i, y) for i, y in labels if y and not out(i)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for many, sample in ((16, 200), (5, 6000)):
+        some = [(i, y) for i, y in labels if not y] + hot[:many]
+        model = trained(docs, spark.createDataFrame(some, "doc_id long, toxic int"), "toxic", sample=sample)
+        assert model.trees is not None and abs(model.share - many / (many + sum(not y and not out(i) for i, y in labels))) < 1e-9
+        known = {i for i, _ in hot[:many]}
+        got = [r for r in scored(docs, model).collect() if r.doc_id not in known]
+        truth = dict(labels)
+        assert auc([r.score for r in got], [truth[r.doc_id] for r in got]) > 0.9
+        assert np.mean([r.predicted for r in got if truth[r.doc_id]]) > 0.5
+
+
 def test_toxicity_of_odd_tables(spark):
     df = fx.docs(spark)
     labels = spark.createDataFrame([(i, [0, 1, None, 7][i % 4]) for i in range(60)] + [(None, 1), (999, 1), (0, 1), (0, 0)], "doc_id long, toxic int")

@@ -5,13 +5,14 @@ words, capitals, punctuation, and obfuscation. The learned lexicon holds words a
 labelled toxic texts have more often; for training texts it is learned on other folds, so that trees
 see it as they will see new texts. Calibration uses scores of folds that the trees were not fit on.
 
-The model is fit on at most `sample` labelled rows (those with the smallest hash of their id), whose
-texts go to the driver; that bound does not grow with the input. Every document is scored over its whole
+The model is fit on at most `sample` labelled rows (of each label those with the smallest hash of their id), whose
+texts go to the driver; that bound does not grow with the input. A rare label has all its rows or an eighth of the sample,
+and calibration weighs the labels by how many rows they have in all. Every document is scored over its whole
 text, in its own partition: no shuffle. Labels, language, source and id are never features.
 
 Defined cases: a null or empty text has zero features and gets a score like any other; null labels
 and labels without document are not learned from; repeated rows are scored each by itself; with
-fewer than two classes in the sample all scores are the share of label 1 (0 without any label).
+fewer than two rows of either label in the sample all scores are the share of label 1 (0 without any label).
 Only the id and the columns in `keep` are carried.
 """
 
@@ -149,7 +150,7 @@ def learned_lexicon(data: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> Lexi
     keys, weights = np.concatenate(keys), np.concatenate(weights)
     order = np.argsort(keys, kind="stable")
     keys, weights = keys[order], weights[order]
-    once = np.concatenate([[True], keys[1:] != keys[:-1]])
+    once = np.diff(keys, prepend=~keys[:1]) != 0
     return Lexicon(keys[once], np.maximum.reduceat(weights, np.flatnonzero(once)) if len(keys) else weights)
 
 
@@ -216,7 +217,12 @@ class Boosted:
         self.trees, self.depth, self.rate, self.leaf, self.l2 = trees, depth, rate, leaf, l2
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 48)))[1:] if len(c) else np.zeros(0) for c in x.T]
+        # a label that would hide in the last bin gives half of the cuts
+        rare = y == (y.mean() <= 0.5) if len(y) else np.zeros(0, bool)
+        sides = [x, x[rare]] if 0 < 48 * rare.sum() < len(y) else [x]
+        leaf = max(1, min(self.leaf, int(rare.sum()) // 2))
+        at = np.linspace(0, 1, 48 // len(sides))
+        self.cuts = [np.unique(np.concatenate([np.quantile(v[:, f], at) for v in sides]))[1:] if len(x) else np.zeros(0) for f in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, x.T, strict=True)], 1)
         share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
         self.start = float(np.log(share / (1 - share)))
@@ -237,7 +243,7 @@ class Boosted:
                     G, W, N = sums
                     right = [s[:, -1:] - s for s in sums]
                     gain = G**2 / (W + self.l2) + right[0] ** 2 / (right[1] + self.l2) - G[:, -1:] ** 2 / (W[:, -1:] + self.l2)
-                    gain[(N < self.leaf) | (right[2] < self.leaf)] = -1
+                    gain[(N < leaf) | (right[2] < leaf)] = -1
                     at = gain.argmax(1)
                     better = gain[np.arange(many), at] > best
                     best[better] = gain[np.arange(many), at][better]
@@ -268,11 +274,12 @@ class Isotonic:
     A small share of the logistic curve keeps the order of scores within a block.
     """
 
-    def fit(self, raw: np.ndarray, y: np.ndarray) -> "Isotonic":
+    def fit(self, raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> "Isotonic":
         order = np.argsort(raw, kind="stable")
         blocks: list[list[float]] = []
-        for r, t in zip(raw[order].tolist(), y[order].tolist(), strict=True):
-            blocks.append([t, 1.0, r])
+        weight = np.ones(len(y)) if weight is None else weight
+        for r, t, w in zip(raw[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+            blocks.append([t * w, w, r * w])
             while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
                 a = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + a[0], blocks[-1][1] + a[1], blocks[-1][2] + a[2]]
@@ -301,27 +308,30 @@ def joined(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def fit(texts: Sequence[bytes], y: np.ndarray) -> Model:
-    """Fits on labelled texts; y holds 0 and 1."""
-    share = float(y.mean()) if len(y) else 0.0
-    if min(y.sum(), len(y) - y.sum()) < 2 * FOLDS:
-        return Model(None, None, None, share)
+def fit(texts: Sequence[bytes], y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Fits on labelled texts; y holds 0 and 1, and a row of either stands for as many rows as weights say."""
     toxic = y == 1
+    weight = np.where(toxic, weights[1], weights[0])
+    share = float(weight[toxic].sum() / weight.sum()) if len(y) else 0.0
+    least = int(min(toxic.sum(), (~toxic).sum()))
+    if least < 2:
+        return Model(None, None, None, share)
+    folds = min(FOLDS, least)
     fold = np.zeros(len(y), np.int64)
     for part in (np.flatnonzero(toxic), np.flatnonzero(~toxic)):
-        fold[part] = np.arange(len(part)) % FOLDS
+        fold[part] = np.arange(len(part)) % folds
     fixed, persons = hashed(INSULTS), hashed(SECOND_PERSON)
     x = np.zeros((len(y), N_FEATURES))
-    for k in range(FOLDS):
+    for k in range(folds):
         rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         lexicon = learned_lexicon(*joined([texts[i] for i in rest]), toxic[rest])
         for i in range(0, len(own), TOGETHER):
             part = own[i : i + TOGETHER]
             x[part] = features(*joined([texts[j] for j in part]), lexicon, fixed, persons)
     raw = np.zeros(len(y))
-    for k in range(FOLDS):
+    for k in range(folds):
         raw[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(learned_lexicon(*joined(texts), toxic), Boosted().fit(x, y.astype(float)), Isotonic().fit(raw, y.astype(float)), share)
+    return Model(learned_lexicon(*joined(texts), toxic), Boosted().fit(x, y.astype(float)), Isotonic().fit(raw, y.astype(float), weight), share)
 
 
 def held_out(id_col: Column) -> Column:
@@ -331,10 +341,18 @@ def held_out(id_col: Column) -> Column:
 def trained(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """A model of the labels of at most `sample` rows that are not held out."""
     usable = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
-    # the rows with the smallest hashes: at most `sample` rows of two numbers are broadcast
-    picked = usable.orderBy(F.xxhash64("i"), "i", "y").limit(sample)
+    # of each label the rows with the smallest hashes: at most `sample` rows of two numbers are broadcast
+    there = [0, 0]
+    for y, n in usable.groupBy("y").count().collect():
+        there[y] = n
+    rare = int(there[1] <= there[0])
+    taken = [0, 0]
+    taken[rare] = min(there[rare], max(sample // 8, round(sample * there[rare] / max(1, sum(there)))))
+    taken[1 - rare] = min(there[1 - rare], sample - taken[rare])
+    first = [usable.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(taken[y]) for y in (0, 1)]
+    picked = first[0].unionByName(first[1])
     rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")).join(F.broadcast(picked), "i").orderBy(F.xxhash64("i"), "i", "y", "t").limit(sample).toArrow()
-    return fit([t.encode() for t in rows["t"].to_pylist()], np.array(rows["y"].to_pylist(), np.int64))
+    return fit([t.encode() for t in rows["t"].to_pylist()], np.array(rows["y"].to_pylist(), np.int64), tuple(n / max(1, k) for n, k in zip(there, taken, strict=True)))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), threshold: float = 0.3) -> DataFrame:
