@@ -13,7 +13,7 @@ from urlloom.functions.types import PARTS, record
 from urlloom.kernel import codec, host, idna
 from urlloom.kernel.params import params_text, parse_params, set_param, sorted_params
 from urlloom.kernel.pattern import URLPattern
-from urlloom.kernel.url import cleared, edited, parse
+from urlloom.kernel.url import cleared, edited, from_file_path, parse
 from urlloom.operators import patterns as P
 from urlloom.operators import relational as R
 from urlloom.operators.router import route
@@ -44,6 +44,15 @@ def test_struct_and_parts_equal_the_kernel(frame):
         assert all(r[f"p_{p}"] == (want and want[p]) for p in PARTS)
 
 
+@pytest.mark.parametrize("text", ["http://h" + "/" * 8000, "http://h/" + "a/" * 4000, "http://" + "a." * 4000 + "b/", "http://h/" + "a/./" * 2000, "http://h/" + "x" * 8000, "http://h/?" + "a&" * 4000, "http://h/#" + "a/" * 4000, "http://" + "a" * 8000, "http://h/" + "." * 8000, "http://h/" + "%2e" * 2700, "/" * 8000, "x" * 8000 + ":"])
+def test_long_urls_of_many_parts(spark, text):
+    df = spark.createDataFrame([(text,), ("file" + text,)], "url string")
+    want = [parse(t) for t in (text, "file" + text)]
+    assert [r[0] for r in df.select(urls.url_can_parse("url")).collect()] == [w is not None for w in want]
+    assert [r[0] for r in df.select(urls.url_part("url", "pathname")).collect()] == [w and w.path for w in want]
+    assert [r[0] for r in df.select(codecs.url_from_file("url")).collect()] == [from_file_path(t) for t in (text, "file" + text)]
+
+
 def test_plain_urls_do_not_need_python(spark, frame):
     plan = frame.select(urls.url_part("url", "hostname"))._jdf.queryExecution().toString()
     assert "ArrowEvalPython" in plan and plan.count("RLIKE") >= 2

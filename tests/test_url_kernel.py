@@ -214,3 +214,12 @@ def test_percent_codec(text, charset):
     if "%" not in text:
         assert percent_decode(encoded) == text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
     assert form_decode(form_encode(text.encode("utf-8", "replace").decode())) == text.encode("utf-8", "replace").decode()
+
+
+def test_paths_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert parse("http://h" + "/a" * 100_000).path == "/a" * 100_000
+    assert parse("http://h" + "/a" * 50_000 + "/.." * 50_000).path == "/"
+    assert time.perf_counter() - began < 3

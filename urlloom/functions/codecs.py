@@ -83,5 +83,5 @@ def ipv4_value(host: Column | str) -> Column:
 def url_from_file(path: Column | str) -> Column:
     """The file URL of a path."""
     path = _col(path)
-    plain = path.rlike(r"\A(?:/[A-Za-z0-9_~][A-Za-z0-9_.~\-]*)+\z")
+    plain = path.rlike(r"\A/(?!.*/[/.\-])(?![/.\-])[A-Za-z0-9_.~\-/]*[A-Za-z0-9_.~\-]\z")
     return F.when(plain, F.concat(F.lit("file://"), path)).otherwise(udfs.codec_udf("from_file_path")(F.when(~plain, path)))

@@ -9,15 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Character classes that need no encoding in each part; the path's also has no blanks that end it.
-_PATH = r"[!$%&'()*+,\-.0-9:;=@A-Z\[\]_a-z|~]"
+#: Characters that need no encoding in each part.
+_PATH = r"[!$%&'()*+,\-./0-9:;=@A-Z\[\]_a-z|~]"
 _QUERY = r"[!$%&()*+,\-./0-9:;=?@A-Z\[\\\]^_`a-z{|}~]"
 _FRAGMENT = r"[!#$%&'()*+,\-./0-9:;=?@A-Z\[\\\]^_a-z{|}~]"
-_HOST = r"(?:[a-z0-9_\-]+\.)*[a-z][a-z0-9_\-]*"
+#: Empty labels are not plain; the last label starts with a letter, so the host is no address.
+_HOST = r"(?!\.)(?![^/?#]*\.\.)(?:[a-z0-9_\-.]*\.)?[a-z][a-z0-9_\-]*"
 #: Ports that are some scheme's default take the other way, as they may have to go.
 _PORT = r"(?::(?!(?:80|443|21)(?:[/?#]|\z))[1-9][0-9]{0,3})?"
-#: No credentials; the last label starts with a letter, so the host is no address; no dot segments, also not percent-encoded.
-PLAIN = rf"\A(?:https?|wss?|ftp)://{_HOST}{_PORT}(?:/(?!(?:\.|%2[eE]){{1,2}}(?:[/?#]|\z)){_PATH}*)*(?:\?{_QUERY}*)?(?:#{_FRAGMENT}*)?\z"
+#: Dot segments, also percent-encoded ones.
+_NO_DOTS = r"(?![^?#]*/(?:\.|%2[eE]){1,2}(?:[/?#]|\z))"
+#: No credentials. Only single characters are repeated, never groups: Java's engine goes one call deeper for each
+#: turn of a group, and a long URL would end the thread's stack.
+PLAIN = rf"\A(?:https?|wss?|ftp)://{_NO_DOTS}{_HOST}{_PORT}(?:/{_PATH}*)?(?:\?{_QUERY}*)?(?:#{_FRAGMENT}*)?\z"
 #: The longest URL that is judged by the guard: a bound for the regular expression's work on each row.
 PLAIN_BYTES = 8192
 _SCHEMES = (("http", 0), ("https", 2), ("ws", 3), ("ftp", 4), ("wss", 5))

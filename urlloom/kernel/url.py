@@ -138,28 +138,28 @@ class Url:
 # -- paths -------------------------------------------------------------------------------------------
 
 
-def shortened(path: list[str], scheme: str) -> list[str]:
-    """Without the last segment; a drive letter that is the only one stays."""
-    if scheme == "file" and len(path) == 1 and _DRIVE.fullmatch(path[0]) and path[0][1] == ":":
-        return path
-    return path[:-1]
+def shorten(path: list[str], scheme: str) -> list[str]:
+    """Takes the last segment off the list, which is given back; a drive letter that is the only one stays."""
+    if path and not (scheme == "file" and len(path) == 1 and _DRIVE.fullmatch(path[0]) and path[0][1] == ":"):
+        path.pop()
+    return path
 
 
 def walked(path: list[str], text: str, scheme: str) -> list[str]:
     """The segments of `path` followed by those of `text`, dot segments resolved."""
-    pieces = _SLASHES[scheme in DEFAULT_PORTS].split(text)
+    pieces, path = _SLASHES[scheme in DEFAULT_PORTS].split(text), list(path)
     last = len(pieces) - 1
     for i, piece in enumerate(pieces):
         piece = percent_encode(piece, "path")
         if _DOTS.fullmatch(piece):
             if len(piece) in (2, 4, 6) and piece.lower() not in (".", "%2e"):
-                path = shortened(path, scheme)
+                shorten(path, scheme)
             if i == last:
-                path = [*path, ""]
+                path.append("")
             continue
         if scheme == "file" and not path and _DRIVE.fullmatch(piece):
             piece = piece[0] + ":"
-        path = [*path, piece] if i == last or not path else path + [piece]
+        path.append(piece)
     return path
 
 
@@ -253,7 +253,7 @@ def _file(text: str, base: Url | None) -> Url:
         path, query = _cut_query(text, "file")
         if text[0] == "?":
             return replace(base, query=query, fragment=None)
-        start = [] if _DRIVE_START.match(text) else shortened(base.segments, "file")
+        start = [] if _DRIVE_START.match(text) else shorten(base.segments, "file")
         return replace(base, path=joined(walked(start, path, "file")), query=query, fragment=None)
     path, query = _cut_query(text, "file")
     return Url("file", host="", path=joined(walked([], path, "file")), query=query)
@@ -282,7 +282,7 @@ def _relative(text: str, base: Url) -> Url:
     path, query = _cut_query(text, base.scheme)
     if text[0] == "?":
         return replace(base, query=query, fragment=None)
-    return replace(base, path=joined(walked(shortened(base.segments, base.scheme), path, base.scheme)), query=query, fragment=None)
+    return replace(base, path=joined(walked(shorten(base.segments, base.scheme), path, base.scheme)), query=query, fragment=None)
 
 
 def _parsed(text: str, base: Url | None) -> Url:
