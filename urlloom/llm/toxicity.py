@@ -5,13 +5,15 @@ words, capitals, punctuation, and obfuscation. The learned lexicon holds words a
 labelled toxic texts have more often; for training texts it is learned on other folds, so that trees
 see it as they will see new texts. Calibration uses scores of folds that the trees were not fit on.
 
-The model is fit on at most `sample` labelled rows (of each label those with the smallest hash of their id), whose
-texts go to the driver; that bound does not grow with the input. A rare label has all its rows or an eighth of the sample,
+The model is fit on at most `sample` labelled rows (of each label those with the smallest hash of their id); that bound does
+not grow with the input. Their texts stay in executors: these count the lexicon's keys and compute features, and the driver gets at most
+`LEXICON` keys with their counts and 24 numbers for each row. A rare label has all its rows or an eighth of the sample,
 and calibration weighs the labels by how many rows they have in all. Every document is scored over its whole
 text, in its own partition: no shuffle. Labels, language, source and id are never features.
 
-Defined cases: a null or empty text has zero features and gets a score like any other; null labels
-and labels without document are not learned from; repeated rows are scored each by itself; with
+Defined cases: a null or empty text has zero features and gets a score like any other; a very long text is one row of
+a batch of its own; null labels and labels without document are not learned from; repeated rows are scored each by itself, and
+an id that is repeated is learned from once, with its smallest text; ties of hashes are broken by the id; with
 fewer than two rows of either label in the sample all scores are the share of label 1 (0 without any label).
 Only the id and the columns in `keep` are carried.
 """
@@ -23,16 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import columns_of, prepare
+from .common import columns_of, dropped, prepare, saved
 
 U = np.uint64
-SAMPLE = 6000
-#: Texts whose features are computed at once on the driver.
-TOGETHER = 200
+SAMPLE = 8000
+#: Keys that a lexicon may hold, those of most toxic texts first.
+LEXICON = 200_000
 FOLDS = 4
 #: Fixed word lists.
 INSULTS = "asshole bastard bitch clown creep cretin crap cunt damn dick disgusting dumb dumbass fool freak fuck fucking garbage hate idiot idiotic imbecile jerk kill loser moron moronic nasty pathetic pig rat retard scum shit shut sick slut stupid suck trash ugly useless vermin whore worthless arschloch dumm dreck idiotin scheisse trottel abruti connard imbécile merde salaud stupide basura cabron estúpido idiota imbécil inútil mierda".split()
@@ -116,42 +118,28 @@ def parsed(data: np.ndarray, at: np.ndarray) -> tuple:
     return low, starts, ends, first, tk.word_hashes(low, starts, ends)
 
 
-def learned_lexicon(data: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> Lexicon:
-    """Keys that are more frequent in toxic texts, by the log-odds of texts that have them."""
+def text_keys(data: np.ndarray, at: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of every key that a text has, each once; only those in `known` (ascending) if that is given."""
     low, starts, ends, first, h = parsed(data, at)
     owner = tk.text_of(first)
-    n_pos, n_neg = int(toxic.sum()), int((~toxic).sum())
-    keys, weights = [], []
+    texts, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
     for which, k in word_keys(low, starts, ends, h):
-        of = owner[which]
-        hot = toxic[of]
-        # each text counts once for a key
-        def counted(sel):
-            pair = tk.mix(k[sel] ^ tk.mix(of[sel].astype(U) + U(7)))
-            _, once = np.unique(pair, return_index=True)
-            return np.unique(k[sel][once], return_counts=True)
-
-        pos, a = counted(hot)
-        pos, a = pos[a >= 3], a[a >= 3]
-        if not len(pos):
-            continue
-        cold = np.flatnonzero(~hot)
-        cold = cold[within(pos, k[cold])]
-        neg, b_seen = counted(cold)
-        b = np.zeros(len(pos))
-        b[np.searchsorted(pos, neg)] = b_seen
-        odds = np.log((a + 0.5) / (n_pos + 1)) - np.log((b + 0.5) / (n_neg + 1))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        good = z > 2.6
-        keys.append(pos[good])
-        weights.append((odds * a / (a + 2.0))[good])
-    if not keys:
-        return Lexicon(np.zeros(0, U), np.zeros(0))
-    keys, weights = np.concatenate(keys), np.concatenate(weights)
-    order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], weights[order]
-    once = np.diff(keys, prepend=~keys[:1]) != 0
-    return Lexicon(keys[once], np.maximum.reduceat(weights, np.flatnonzero(once)) if len(keys) else weights)
+        if known is not None:
+            hit = within(known, k)
+            which, k = which[hit], k[hit]
+        texts.append(owner[which])
+        keys.append(k)
+    text, key = np.concatenate(texts), np.concatenate(keys)
+    _, once = np.unique(tk.mix(key ^ tk.mix(text.astype(U) + U(7))), return_index=True)
+    return text[once], key[once]
+
+
+def lexicon_of(keys: np.ndarray, a: np.ndarray, b: np.ndarray, n_pos: int, n_neg: int) -> Lexicon:
+    """Keys (ascending) that are more frequent in toxic texts, by the log-odds of texts that have them: a of n_pos toxic ones and b of n_neg others."""
+    odds = np.log((a + 0.5) / (n_pos + 1)) - np.log((b + 0.5) / (n_neg + 1))
+    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    good = (a >= 3) & (z > 2.6)
+    return Lexicon(keys[good], (odds * a / (a + 2.0))[good])
 
 
 def features(data: np.ndarray, at: np.ndarray, lexicon: Lexicon, fixed: np.ndarray, persons: np.ndarray) -> np.ndarray:
@@ -304,44 +292,63 @@ class Model:
         return self.calibrated(self.trees.raw(features(data, at, self.lexicon, hashed(INSULTS), hashed(SECOND_PERSON))))
 
 
-def joined(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+def held_out(id_col: Column) -> Column:
+    return F.pmod(F.crc32(id_col.cast("string")), F.lit(4)) == 2
 
 
-def fit(texts: Sequence[bytes], y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Fits on labelled texts; y holds 0 and 1, and a row of either stands for as many rows as weights say."""
-    toxic = y == 1
-    weight = np.where(toxic, weights[1], weights[0])
-    share = float(weight[toxic].sum() / weight.sum()) if len(y) else 0.0
-    least = int(min(toxic.sum(), (~toxic).sum()))
-    if least < 2:
-        return Model(None, None, None, share)
-    folds = min(FOLDS, least)
-    fold = np.zeros(len(y), np.int64)
-    for part in (np.flatnonzero(toxic), np.flatnonzero(~toxic)):
-        fold[part] = np.arange(len(part)) % folds
-    fixed, persons = hashed(INSULTS), hashed(SECOND_PERSON)
-    x = np.zeros((len(y), N_FEATURES))
-    for k in range(folds):
-        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        lexicon = learned_lexicon(*joined([texts[i] for i in rest]), toxic[rest])
-        for i in range(0, len(own), TOGETHER):
-            part = own[i : i + TOGETHER]
-            x[part] = features(*joined([texts[j] for j in part]), lexicon, fixed, persons)
-    raw = np.zeros(len(y))
-    for k in range(folds):
-        raw[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(learned_lexicon(*joined(texts), toxic), Boosted().fit(x, y.astype(float)), Isotonic().fit(raw, y.astype(float), weight), share)
+def key_counts(sample: DataFrame, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of three toxic texts or more, ascending, and how many texts of each label and fold have them."""
+
+    def toxic_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = np.unique(text_keys(*columns_of(batch, "t"))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
+    first = sample.where("y = 1").select("t").mapInArrow(toxic_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.col("n").desc(), "key").limit(LEXICON).select("key").toArrow()
+    known = np.sort(np.asarray(first["key"].to_numpy()).view(U)) if first.num_rows else np.zeros(0, U)
+    shared = sample.sparkSession.sparkContext.broadcast(known)
 
-def held_out(id_col: Column) -> Column:
-    return F.pmod(F.crc32(id_col.cast("string")), F.lit(4)) == 2
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, key = text_keys(*columns_of(batch, "t"), shared.value)
+            group = (np.asarray(batch.column("y")).astype(np.int64) * folds + np.asarray(batch.column("fold")).astype(np.int64))[text]
+            cell, n = np.unique(np.searchsorted(shared.value, key) * 2 * folds + group, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+    out = np.zeros(len(known) * 2 * folds, np.int64)
+    if len(known):
+        rows = sample.select("y", "fold", "t").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return known, out.reshape(len(known), 2, folds)
+
+
+def sample_features(sample: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, label and fold of every row, with the lexicon that its fold did not add to; in an order that does not depend on the table's."""
+    shared = sample.sparkSession.sparkContext.broadcast(lexicons)
+    names = [f"x{j}" for j in range(N_FEATURES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed, persons = hashed(INSULTS), hashed(SECOND_PERSON)
+        for batch in batches:
+            fold = np.asarray(batch.column("fold"))
+            x = np.zeros((batch.num_rows, N_FEATURES))
+            for k in np.unique(fold).tolist():
+                own = np.flatnonzero(fold == k)
+                x[own] = features(*columns_of(batch.take(pa.array(own)), "t"), shared.value[k], fixed, persons)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), *(pa.array(v) for v in x.T)], names=["y", "fold", *names])
+
+    rows = sample.select("y", "fold", "t").mapInArrow(run, "y int, fold int, " + ", ".join(f"{n} double" for n in names)).toArrow()
+    y, fold = rows["y"].to_numpy().astype(np.int64), rows["fold"].to_numpy().astype(np.int64)
+    x = np.stack([rows[n].to_numpy() for n in names], 1)
+    order = np.lexsort((*x.T, fold, y))
+    return x[order], y[order], fold[order]
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """A model of the labels of at most `sample` rows that are not held out."""
-    usable = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
-    # of each label the rows with the smallest hashes: at most `sample` rows of two numbers are broadcast
+    prepare(docs.sparkSession)
+    usable = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i"))).distinct()
+    # of each label the rows with the smallest hashes: at most `sample` rows of three numbers are broadcast
     there = [0, 0]
     for y, n in usable.groupBy("y").count().collect():
         there[y] = n
@@ -350,9 +357,35 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_i
     taken[rare] = min(there[rare], max(sample // 8, round(sample * there[rare] / max(1, sum(there)))))
     taken[1 - rare] = min(there[1 - rare], sample - taken[rare])
     first = [usable.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(taken[y]) for y in (0, 1)]
-    picked = first[0].unionByName(first[1])
-    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")).join(F.broadcast(picked), "i").orderBy(F.xxhash64("i"), "i", "y", "t").limit(sample).toArrow()
-    return fit([t.encode() for t in rows["t"].to_pylist()], np.array(rows["y"].to_pylist(), np.int64), tuple(n / max(1, k) for n, k in zip(there, taken, strict=True)))
+    number = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i")) - 1
+    picked = first[0].unionByName(first[1]).withColumn("number", number)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    known = docs.select(F.col(f"`{id_col}`").alias("i"), text.alias("t")).join(F.broadcast(picked), "i").groupBy("i", "y", "number").agg(F.min("t").alias("t"))
+    rows = saved(known, "labelled")
+    found = [0, 0]
+    for y, n in rows.groupBy("y").count().collect():
+        found[y] = n
+    weights = [n / max(1, k) for n, k in zip(there, found, strict=True)]
+    total = sum(n * w for n, w in zip(found, weights, strict=True))
+    share = found[1] * weights[1] / total if total else 0.0
+    folds = min(FOLDS, *found)
+    if folds < 2:
+        dropped(rows)
+        return Model(None, None, None, share)
+    rows_ = rows.select("y", F.pmod("number", F.lit(folds)).cast("int").alias("fold"), "t")
+    keys, counts = key_counts(rows_, folds)
+    sizes = np.zeros((2, folds), np.int64)
+    for y, k, n in rows_.groupBy("y", "fold").count().collect():
+        sizes[y, k] = n
+    parts = [[j for j in range(folds) if j != k] for k in range(folds)]
+    lexicons = [lexicon_of(keys, counts[:, 1, p].sum(1), counts[:, 0, p].sum(1), int(sizes[1, p].sum()), int(sizes[0, p].sum())) for p in [*parts, list(range(folds))]]
+    x, y, fold = sample_features(rows_, lexicons[:-1])
+    dropped(rows)
+    raw = np.zeros(len(y))
+    for k in range(folds):
+        if (fold == k).any() and (fold != k).any():
+            raw[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
+    return Model(lexicons[-1], Boosted().fit(x, y.astype(float)), Isotonic().fit(raw, y.astype(float), np.where(y == 1, weights[1], weights[0])), share)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), threshold: float = 0.3) -> DataFrame:
