@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
 import numpy as np
 
+from urlloom.llm import toxicity as tox
 from urlloom.llm.cotraining import quality_scores
 from urlloom.llm.toxicity import Boosted, Isotonic, scored, trained
 
@@ -77,6 +79,82 @@ def test_toxicity_of_odd_tables(spark):
     assert scored(df.where("false"), trained(df.where("false"), labels, "toxic")).count() == 0
 
 
+def brute_features(text: str, weight: dict[str, float]) -> list[float]:
+    """The dense features in plain Python; the lexicon is given by whole words."""
+    import re
+
+    raw = text.encode()
+    at = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", raw.lower())]
+    cased = [raw[a:b] for a, b in at]
+    words = [w.lower() for w in cased]
+    insults, persons = {w.encode() for w in tox.INSULTS}, {w.encode() for w in tox.SECOND_PERSON}
+    per, size, letters = max(1, len(words)) / 100, max(1, len(raw)), max(1, len(re.findall(rb"[A-Za-z]", raw)))
+    w = [weight.get(x.decode("utf-8", "replace"), 0.0) for x in words]
+    n_insults = sum(x in insults for x in words)
+    out = [math.log1p(len(words)), n_insults, n_insults / per]
+    for tier in tox.TIERS:
+        n = sum(x > tier for x in w)
+        out += [n, n / per]
+    out += [sum(w), sum(w) / per]
+    out += (sorted((x for x in w if x > 0), reverse=True) + [0.0] * 4)[:4]
+    flagged = [x in insults or y > 2 for x, y in zip(words, w, strict=True)]
+    near = [any(words[j] in persons for j in range(max(0, i - tox.NEAR), min(len(words), i + tox.NEAR + 1)) if j != i) for i in range(len(words))]
+    out += [sum(a and b for a, b in zip(flagged, near, strict=True)), sum(x in persons for x in words) / per]
+    out += [len(re.findall(rb"[A-Z]", raw)) / letters, len(re.findall(rb"[!?]", raw)) / per, len(re.findall(rb"[!-/:-@\[-`{-~]", raw)) / size]
+    plain = text
+    for sign, letter in tox.LEET.items():
+        plain = plain.replace(sign, letter)
+    leet = re.findall(rb"[0-9a-z\x80-\xff]+", plain.encode().lower())
+    out.append(max(0, sum(x in insults for x in leet) - n_insults))
+    out.append(sum(bool(re.search(rb"[0-9]", x) and re.search(rb"[a-z]", x)) for x in words) / per)
+    out.append(sum(len(x) == 1 for x in words) / per)
+    out.append(sum(len(x) >= 3 and re.fullmatch(rb"[A-Z]+", x) is not None for x in cased) / per)
+    return out
+
+
+def test_features_equal_plain_ones():
+    rng, words = random.Random(12), fx.vocabulary(12)
+    weight = {w: rng.choice([0.5, 1.5, 2.5, 3.5]) for w in rng.sample(sorted({w for w in words if len(w) > 1 and w.isascii()}), 200)}
+    keys = np.array([tox.hashed([w])[0] for w in weight], np.uint64)
+    order = np.argsort(keys)
+    lexicon = tox.Lexicon(keys[order], np.array([*weight.values()])[order])
+    texts = [None, "", "  ", "You IDIOT!!", "1d10t y0u $tup1d f u c k"]
+    for _ in range(60):
+        t = fx.prose(rng, words, rng.randint(1, 60)).split(" ")
+        for _ in range(rng.randint(0, 8)):
+            t.insert(rng.randrange(len(t) + 1), rng.choice(["you", "idiot", "STUPID", "1diot", "x1", "NO", "a", "?!", "dich", "Dumm"]))
+        texts.append(" ".join(t))
+    raw = [(t or "").encode() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    got = tox.features(np.frombuffer(b"".join(raw), np.uint8), at, lexicon, tox.hashed(tox.INSULTS), tox.hashed(tox.SECOND_PERSON))
+    assert np.allclose(got, [brute_features(t or "", weight) for t in texts])
+
+
+def test_one_tree_equals_a_plain_one():
+    """The root's split by trying every cut, and the leaves' values."""
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 6, (200, 3)).astype(float), rng.integers(0, 2, 200).astype(float)
+    model = Boosted(trees=1, depth=1, rate=1.0, leaf=5, l2=2.0).fit(x, y)
+    p = y.mean()
+    g, h = y - p, np.full(200, p * (1 - p))
+    best = None
+    for f in range(3):
+        for c in range(5):
+            right = x[:, f] > c
+            if min(right.sum(), (~right).sum()) >= 5:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + 2) for s in (right, ~right))
+                if best is None or gain > best[0] + 1e-9:
+                    best = gain, right
+    want = np.log(p / (1 - p)) + np.where(best[1], *(g[s].sum() / (h[s].sum() + 2) for s in (best[1], ~best[1])))
+    assert np.allclose(model.raw(x), want)
+
+
+def test_labels_without_any_telling_word(spark):
+    docs = spark.createDataFrame([(i, "the same words in every text") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    assert all(0 <= r.score <= 1 for r in scored(docs, trained(docs, labels, "toxic")).collect())
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 4))
