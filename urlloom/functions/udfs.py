@@ -22,6 +22,8 @@ def batched(kind: T.DataType, of: Callable) -> Callable[..., Column]:
     out = arrow(kind)
 
     def run(*columns: pa.Array) -> pa.Array:
+        if columns[0].null_count == len(columns[0]):
+            return pa.nulls(len(columns[0]), out)
         rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
         known: dict = {}
         values = []
