@@ -153,3 +153,10 @@ def pattern_exec_init_udf(pattern) -> Callable[..., Column]:
         return found and {k: [json.dumps(given, ensure_ascii=False, sort_keys=True)] if k == "inputs" else {"input": v["input"], "groups": list(v["groups"].items())} for k, v in found.items()}
 
     return batched(PATTERN_RESULT, of)
+
+
+def pattern_test_init_udf(pattern) -> Callable[..., Column]:
+    def of(init):
+        return pattern.test({k: v for k, v in init.items() if v is not None})
+
+    return batched(T.BooleanType(), of)

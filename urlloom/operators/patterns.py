@@ -80,9 +80,14 @@ def url_pattern_exec_init(pattern: URLPattern, init: Column) -> Column:
     return udfs.pattern_exec_init_udf(pattern)(init)
 
 
+def url_pattern_test_init(pattern: URLPattern, init: Column) -> Column:
+    """Whether structured inputs (PATTERN_INIT) match; null for null."""
+    return udfs.pattern_test_init_udf(pattern)(init)
+
+
 def exact_hostname(pattern: URLPattern) -> str | None:
     component = pattern.components["hostname"]
     return component.exact if component.kind == "exact" else None
 
 
-__all__ = ["URLPattern", "component_test", "exact_hostname", "test_components", "url_pattern", "url_pattern_exec", "url_pattern_exec_init", "url_pattern_test", "url_struct_test"]
+__all__ = ["URLPattern", "component_test", "exact_hostname", "test_components", "url_pattern", "url_pattern_exec", "url_pattern_exec_init", "url_pattern_test", "url_pattern_test_init", "url_struct_test"]

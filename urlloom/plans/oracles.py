@@ -38,6 +38,9 @@ def _nation(x: str) -> str:
 
 _PARAMS = "list_value(struct_pack(k := 'b', v := CAST(o_orderkey % 7 AS VARCHAR)), struct_pack(k := 'a', v := 'x y'), struct_pack(k := 'c', v := ''), struct_pack(k := 'a', v := 'A' || o_orderkey), struct_pack(k := '', v := 'e'), struct_pack(k := 'z', v := '%zz'))"
 
+_LINES = f"""SELECT CASE WHEN {_VALID} THEN CASE o_orderkey % 8 WHEN 0 THEN 'h' || o_orderkey || '.example' WHEN 3 THEN '' WHEN 5 THEN '1.2.3.' || (o_orderkey % 300) ELSE 'h' || CASE WHEN o_orderkey = 80 THEN '' ELSE ':' || o_orderkey END END ELSE 'Invalid URL: ' || t END AS value, count(*) AS n
+        FROM {_ORDER} GROUP BY 1"""
+
 ORACLE_SQL: dict[str, str] = {
     "host_counts": f"SELECT {_HOST} AS hostname, count(*) AS n FROM pages GROUP BY 1",
     "url_components": f"""SELECT page_id, url AS href, split_part(url, ':', 1) || ':' AS protocol, '' AS username, '' AS password, {_HOST} AS host, {_HOST} AS hostname, '' AS port,
@@ -76,8 +79,9 @@ ORACLE_SQL: dict[str, str] = {
     "scheme_host_rollup": f"SELECT protocol, hostname, count(*) AS n, grouping(protocol, hostname) AS level FROM (SELECT split_part(url, ':', 1) || ':' AS protocol, {_HOST} AS hostname FROM pages) GROUP BY ROLLUP (protocol, hostname)",
     "hosts_allowed": f"SELECT page_id, url FROM pages WHERE NOT regexp_matches({_HOST}, 'spam|adult|pills')",
     "hosts_blocked": f"SELECT page_id, url FROM pages WHERE regexp_matches({_HOST}, 'spam|adult|pills')",
-    "href_set_operations": f"""WITH a AS (SELECT DISTINCT {_ORIGIN} AS origin FROM pages WHERE page_id % 2 = 0), b AS (SELECT DISTINCT {_ORIGIN} AS origin FROM pages WHERE page_id % 3 = 0)
-        SELECT origin, CASE WHEN origin IN (SELECT origin FROM b) THEN 'both' ELSE 'first' END AS side FROM a""",
+    "href_set_operations": f"""WITH a AS (SELECT DISTINCT {_HOST} AS hostname FROM pages WHERE url LIKE 'http:%'), b AS (SELECT DISTINCT {_HOST} AS hostname FROM pages WHERE url LIKE 'https:%')
+        SELECT hostname, 'both' AS side FROM a WHERE hostname IN (SELECT hostname FROM b) UNION ALL SELECT hostname, 'plain' FROM a WHERE hostname NOT IN (SELECT hostname FROM b)
+        UNION ALL SELECT hostname, 'secure' FROM b WHERE hostname NOT IN (SELECT hostname FROM a) UNION ALL SELECT hostname, 'any' FROM (SELECT * FROM a UNION SELECT * FROM b)""",
     "pattern_test": "SELECT page_id, regexp_matches(url, '^https?://[^/?#]*\\.example\\.[^./?#]+/(en|de)/[^?#]*') AS matches FROM pages",
     "pattern_exec": f"""SELECT page_id, regexp_extract({_HOST}, '^([^.]+)\\.', 1) AS sub, regexp_extract({_PATH}, '^/([^/]+)/', 1) AS lang, regexp_extract({_PATH}, '^/[^/]+/(\\d+)', 1) AS id, substr({_SEARCH}, 2) AS search
         FROM pages WHERE regexp_matches({_PATH}, '^/[^/]+/\\d+(\\.html)?/?$')""",
@@ -96,18 +100,43 @@ ORACLE_SQL: dict[str, str] = {
     "ipv4_normalize": """WITH v AS (SELECT c_custkey, CAST((CAST(c_custkey AS HUGEINT) * 2654435761) % 4294967296 AS BIGINT) AS v FROM customer), d AS (SELECT *, (v // 16777216) || '.' || (v // 65536 % 256) || '.' || (v // 256 % 256) || '.' || (v % 256) AS a FROM v)
         SELECT c_custkey, a AS decimal, a AS hexadecimal, a AS octal, a AS two_parts, a AS direct, v AS back FROM d""",
     "ipv6_hosts": "SELECT s_suppkey, CASE WHEN s_suppkey = 0 THEN '[2001:db8::1]' ELSE '[2001:db8::' || lower(to_hex(s_suppkey)) || ':0:0:1]' END AS short, '[::ffff:102:' || lower(to_hex(768 + s_suppkey % 256)) || ']' AS mapped, CAST(NULL AS VARCHAR) AS wrong FROM supplier",
-    "idna_domains": """SELECT * FROM (VALUES (0, 'Bücher.Example', 'xn--bcher-kva.example', 'bücher.example'), (1, 'faß.de', 'xn--fa-hia.de', 'faß.de'), (2, 'xn--mnchen-3ya.de', 'xn--mnchen-3ya.de', 'münchen.de'),
+    "idna_domains": """SELECT r_regionkey, t.* FROM region, (VALUES (0, 'Bücher.Example', 'xn--bcher-kva.example', 'bücher.example'), (1, 'faß.de', 'xn--fa-hia.de', 'faß.de'), (2, 'xn--mnchen-3ya.de', 'xn--mnchen-3ya.de', 'münchen.de'),
         (3, '日本語。jp', 'xn--wgv71a119e.jp', '日本語.jp'), (4, 'EXAMPLE.com', 'example.com', 'example.com'), (5, 'ab' || chr(173) || 'c.de', 'abc.de', 'abc.de'), (6, 'a' || chr(8800) || 'b.com', 'xn--ab-miv.com', 'a' || chr(8800) || 'b.com'),
         (7, chr(768) || 'a.de', NULL, NULL), (8, 'xn--a', 'xn--a', 'xn--a'), (9, '%41.com', 'a.com', 'a.com')) t(i, domain, ascii, readable)""",
     "dns_lengths": """SELECT p_partkey, p_partkey % 70 BETWEEN 1 AND 63 AND p_partkey % 6 > 0 AND (p_partkey % 70) + 1 + greatest(0, 61 * (p_partkey % 6) - 1) + 4 <= 253 AS ok FROM part""",
     "file_urls": f"SELECT p_partkey, 'file:///data/' || {_path_encoded('p_brand')} || '/x%3F' || p_partkey || '%23' AS href FROM part",
     "opaque_urls": "SELECT c_custkey, 'data:text/plain, ' || c_mktsegment || ' %20?q#' || c_custkey AS href, 'text/plain, ' || c_mktsegment || ' %20' AS pathname, 'null' AS origin, true AS opaque FROM customer",
     "length_limit": "SELECT page_id, strlen(url) <= 40 AS fits, CASE WHEN strlen(url) <= 40 THEN url END AS href FROM pages",
-    "line_parts": f"""SELECT CASE WHEN {_VALID} THEN CASE o_orderkey % 8 WHEN 0 THEN 'h' || o_orderkey || '.example' WHEN 3 THEN '' WHEN 5 THEN '1.2.3.' || (o_orderkey % 300) ELSE 'h' || CASE WHEN o_orderkey = 80 THEN '' ELSE ':' || o_orderkey END END ELSE 'Invalid URL: ' || t END AS value, count(*) AS n
-        FROM {_ORDER} GROUP BY 1""",
+    "line_parts": _LINES,
     "sql_functions": f"""SELECT page_id, {_HOST} AS hostname, true AS valid, {_PATH} AS pathname, CASE WHEN regexp_matches(url, '[?&]ref=') THEN regexp_extract(url, '[?&]ref=([^&#]*)', 1) END AS ref, 2 AS n_fixed FROM pages""",
     "window_hosts": "SELECT strftime(ts, '%Y-%m-%d') AS day, 'h' || (user_id % 5) || '.example' AS hostname, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_hosts": f"SELECT {_HOST} AS hostname, count(*) AS n FROM pages GROUP BY 1",
     "stream_windows": """WITH h AS (SELECT date_trunc('hour', ts) AS h, 'h' || (user_id % 5) || '.example' AS hostname, count(*) AS n FROM events GROUP BY 1, 2)
         SELECT strftime(h, '%Y-%m-%d %H') AS hour, hostname, n FROM h WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""",
+    "approx_distinct_hosts": f"SELECT split_part(url, ':', 1) || ':' AS protocol, count(DISTINCT {_HOST}) AS n, true AS near FROM pages GROUP BY 1",
+    "dump_and_diagram": f"""WITH p AS (SELECT *, list_filter([instr(url, ':'), instr(url, ':') + 2, length({_ORIGIN}), instr(url, '?') - 1, instr(url, '#') - 1], lambda x: x >= 0) AS places FROM pages)
+        SELECT page_id, url AS href, {_SEARCH} AS search, CAST(length({_ORIGIN}) AS VARCHAR) AS pathname_start, {_HOST} AS raw_host, url AS line,
+          rtrim(array_to_string(list_transform(generate_series(0, length(url)), lambda i: CASE WHEN list_contains(places, i) THEN '|' ELSE ' ' END), '')) AS marks FROM p""",
+    "files_of_lines": _LINES,
+    "invalid_lines_report": f"""WITH r AS (SELECT CAST(sum(strlen(t)) AS BIGINT) AS n_bytes, count(*) AS n_lines, count(*) FILTER (NOT ({_VALID})) AS n_invalid FROM {_ORDER})
+        SELECT 'Invalid URL: ' || t AS value, n_bytes, n_lines, n_invalid FROM {_ORDER}, r WHERE NOT ({_VALID})""",
+    "dumped_lines": """SELECT 'http://h/' || n_nationkey || '?a=%27{}&b=%C3%A9\\#%3C%22%60' AS href, '#%3C%22%60' AS hash, false AS raw_tab FROM nation""",
+    "url_credentials": """SELECT c_custkey, 'https://' || CASE k WHEN 1 THEN 'u@' WHEN 2 THEN 'u:p@' WHEN 3 THEN ':p@' ELSE '' END || 'h' || c_custkey || '/' AS href, k IN (1, 2, 3) AS any_of_them, k IN (1, 2) AS name, k IN (2, 3) AS password, k IN (2, 3) AS with_password
+        FROM (SELECT c_custkey, c_custkey % 5 AS k FROM customer)""",
+    "opaque_edits": """SELECT c_custkey, 'x' || c_custkey || ' %20' AS pathname, 'data:x' || c_custkey || ' %20' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '?q' END AS no_hash,
+        'data:x' || c_custkey || ' %20' || CASE WHEN c_custkey % 2 = 0 THEN '#f' ELSE '' END AS no_search, 'data:x' || c_custkey || ' %20' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '?q' END AS empty_hash FROM customer""",
+    "pattern_components": f"SELECT page_id, regexp_matches({_HOST}, '\\.example\\.[^.]+$') AND regexp_matches({_PATH}, '^/(en|de)/') AS matches FROM pages",
+    "pattern_base": f"""SELECT page_id, {_ORIGIN} = 'https://spam-farm.example.org' AND {_PATH} LIKE '/en/%' AS beside, {_ORIGIN} = 'https://spam-farm.example.org' AND {_PATH} LIKE '/en/%' AS below FROM pages""",
+    "pattern_structured": """SELECT o_orderkey, o_orderkey % 3 > 0 AS matches, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey AS VARCHAR) END AS n, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey || '/y%20z' END AS rest FROM orders""",
+    "library_version": "SELECT r_regionkey, '0.1.0' AS version FROM region",
+    "pattern_getters": """SELECT * FROM (VALUES (0, 'https', '*', '*', '*.example.com', '', '/books/:id(\\d+)', '*', '*', true), (1, '*', '*', '*', '*', '*', '/a{/b}?/*', '*', '*', false),
+        (2, '*', '*', '*', '{*.}?x.org', '80', '*', '*', '*', false), (3, 'http', '*', '*', '*', '', '*', 'q=:q', '*', false), (4, 'http{s}?', '*', '*', 'h', '', '/p', ':a=b', '(x|y)+', true),
+        (5, 'https', '*', '*', 'e.org', '', '/f/c/:d', '*', '*', false), (6, '*', '*', '*', 'xn--tda.de', '*', '/%C3%BC%20b', '*', '*', false)) t(i, protocol, username, password, hostname, port, pathname, search, hash, groups)""",
+    "text_predicates": """WITH t(i, t) AS (VALUES (0, ''), (1, 'a' || chr(9) || 'b'), (2, 'é'), (3, 'a b'), (4, 'a%b'), (5, 'http'), (6, '9a'), (7, '123'), (8, '0xfF'), (9, 'beef'), (10, 'a.1'), (11, '1.2.3.4'), (12, '01.2.3.4'), (13, '1.2.3.256'), (14, '.'),
+          (15, '%2E.'), (16, 'C:'), (17, 'c|'), (18, 'a-b.c')), b AS (SELECT *, string_split(t, '.') AS l FROM t)
+        SELECT r_regionkey, i, array_to_string(list_transform([contains(t, chr(9)) OR contains(t, chr(10)) OR contains(t, chr(13)), strlen(t) = length(t), regexp_matches(t, '[\\x00\\t\\n\\r #/:<>?@\\[\\]\\\\^|]'),
+          strlen(t) <> length(t) OR regexp_matches(t, '[\\x00-\\x20\\x7f#/:<>?@\\[\\]\\\\^|%]'), regexp_full_match(t, '[A-Za-z][A-Za-z0-9+.-]*'), t <> '' AND ltrim(t, '0123456789') = '', t <> '' AND ltrim(lower(t), '0123456789abcdef') = '',
+          regexp_full_match(l[len(l)], '[0-9]+|0x[0-9a-f]*') OR l[len(l)] = '' AND len(l) > 1 AND regexp_full_match(l[len(l) - 1], '[0-9]+|0x[0-9a-f]*'),
+          len(l) = 4 AND list_bool_and(list_transform(l, lambda x: coalesce(CAST(try_cast(x AS USMALLINT) AS VARCHAR) = x AND try_cast(x AS USMALLINT) < 256, false))),
+          lower(replace(lower(t), '%2e', '.')) IN ('.', '..'), regexp_full_match(t, '[A-Za-z][:|]')], lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS holds FROM region, b""",
 }

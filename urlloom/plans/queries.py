@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..functions import codecs, params, sql, urls
-from ..functions.types import OFFSETS, PARTS
+from ..functions.predicates import PREDICATES
+from ..functions.types import OFFSETS, PARTS, PATTERN_INIT
 from ..operators import patterns as P
 from ..operators import relational as R
 from ..operators.router import route
-from ..sources.lines import part_lines
+from ..sources.lines import dump_lines, invalid_lines, part_lines, read_lines, throughput, write_lines
 from ..streaming import urls as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,10 +198,16 @@ def hosts_blocked(spark, sf_dir):
 
 @query
 def href_set_operations(spark, sf_dir):
-    """Hrefs of two overlapping halves: in both, or in one only."""
-    rows = pages(spark, sf_dir).select(F.col("page_id"), urls.url_part("url", "origin").alias("origin"))
-    a, b = rows.where("page_id % 2 = 0").select("origin"), rows.where("page_id % 3 = 0").select("origin")
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.exceptAll(b).distinct().exceptAll(a.intersect(b)).withColumn("side", F.lit("first")))
+    """Hostnames of plain and of secure pages: on both sides, or on one only."""
+    rows = pages(spark, sf_dir).select(urls.url_part("url", "protocol").alias("protocol"), urls.url_part("url", "hostname").alias("hostname"))
+    a, b = (rows.where(F.col("protocol") == p).select("hostname") for p in ("http:", "https:"))
+    both = a.intersect(b)
+    sides = {"both": both, "plain": a.exceptAll(b).distinct().exceptAll(both), "secure": b.subtract(a), "any": a.union(b).distinct()}
+    out = None
+    for side, hosts in sides.items():
+        hosts = hosts.withColumn("side", F.lit(side))
+        out = hosts if out is None else out.unionByName(hosts)
+    return out
 
 
 LANGUAGE = {"protocol": "http{s}?", "hostname": "*.example.:tld", "pathname": "/:lang(en|de)/*"}
@@ -281,9 +288,9 @@ DOMAINS = ["Bücher.Example", "faß.de", "xn--mnchen-3ya.de", "日本語。jp",
 
 @query
 def idna_domains(spark, sf_dir):
-    rows = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.posexplode(F.array(*map(F.lit, DOMAINS))).alias("i", "domain"))
+    rows = table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(F.array(*map(F.lit, DOMAINS))).alias("i", "domain"))
     ascii_ = codecs.domain_to_ascii("domain")
-    return rows.select("i", "domain", ascii_.alias("ascii"), codecs.domain_to_unicode(ascii_).alias("readable"))
+    return rows.select("r_regionkey", "i", "domain", ascii_.alias("ascii"), codecs.domain_to_unicode(ascii_).alias("readable"))
 
 
 @query
@@ -335,35 +342,144 @@ def window_hosts(spark, sf_dir):
 @query
 def stream_hosts(spark, sf_dir):
     """Pages as a stream, parsed and written by a streaming query that ends with its input, then counted."""
-    from .scratch import folder
+    from .scratch import fresh
 
     source = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "*.parquet")
     rows = source.parquet(f"{sf_dir}/pages.parquet*").select("page_id", urls.url_part("url", "hostname").alias("hostname"))
-    out = f"{folder(spark)}/hosts-{uuid.uuid4().hex}"
-    rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(f"{out}-rows").awaitTermination()
-    return spark.read.schema("page_id long, hostname string").parquet(f"{out}-rows").groupBy("hostname").agg(F.count("*").alias("n"))
+    out, state = fresh(spark, "hosts"), fresh(spark, "state")
+    rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("page_id long, hostname string").parquet(out).groupBy("hostname").agg(F.count("*").alias("n"))
 
 
 @query
 def stream_windows(spark, sf_dir):
     """Hourly counts by host of a stream of events with a watermark; open windows at the end are not given out."""
-    from .scratch import folder
+    from .scratch import fresh
 
     source = spark.readStream.schema("event_id long, ts timestamp, user_id long").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     rows = source.select("ts", text("https://h", F.col("user_id") % 5, ".example/").alias("url"))
     counts = stream.host_windows(rows, "url", "ts", "1 hour", "0 seconds")
-    out = f"{folder(spark)}/windows-{uuid.uuid4().hex}"
-    counts.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start(f"{out}-rows").awaitTermination()
-    return spark.read.schema("start timestamp, end timestamp, hostname string, n long").parquet(f"{out}-rows").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "hostname", "n")
+    out, state = fresh(spark, "windows"), fresh(spark, "state")
+    counts.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("start timestamp, end timestamp, hostname string, n long").parquet(out).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "hostname", "n")
 
 
 @query
 def approx_distinct_hosts(spark, sf_dir):
+    """How many hostnames each protocol has, and whether the sketch is near that."""
     rows = pages(spark, sf_dir).select(urls.url_part("url", "protocol").alias("protocol"), urls.url_part("url", "hostname").alias("hostname"))
-    return rows.groupBy("protocol").agg(F.approx_count_distinct("hostname", 0.02).alias("n"))
+    counts = rows.groupBy("protocol").agg(F.countDistinct("hostname").alias("n"), F.approx_count_distinct("hostname", 0.02).alias("about"))
+    return counts.select("protocol", "n", (F.abs(F.col("about") - F.col("n")) <= 0.1 * F.col("n")).alias("near"))
 
 
 @query
 def dump_and_diagram(spark, sf_dir):
+    """The dump read back as JSON, and the diagram's two lines."""
     u = pages(spark, sf_dir).select("page_id", urls.url_parse("url").alias("u"))
-    return u.select("page_id", urls.url_dump(F.col("u")).alias("dump"), urls.url_diagram(F.col("u")).alias("diagram"))
+    shown = u.select("page_id", urls.url_dump(F.col("u")).alias("dump"), F.split(urls.url_diagram(F.col("u")), "\n").alias("lines"))
+    read = {"href": "$.href", "search": "$.search", "pathname_start": "$.components.pathname_start", "raw_host": "$.raw_host"}
+    return shown.select("page_id", *[F.get_json_object("dump", path).alias(name) for name, path in read.items()], F.col("lines")[0].alias("line"), F.col("lines")[1].alias("marks"))
+
+
+@query
+def files_of_lines(spark, sf_dir):
+    """Lines written as files, read from there, and their hosts written to files and read again."""
+    from .scratch import fresh
+
+    lines, out = fresh(spark, "lines"), fresh(spark, "values")
+    write_lines(order_texts(spark, sf_dir).select(F.col("t").alias("value")), lines)
+    write_lines(part_lines(read_lines(spark, lines), "host"), out)
+    return spark.read.text(out).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query
+def invalid_lines_report(spark, sf_dir):
+    """What validation of all lines reports, beside the lines that it refuses."""
+    lines = order_texts(spark, sf_dir).select(F.col("t").alias("url"))
+    report = throughput(lines)
+    return invalid_lines(lines).select("value", F.lit(report.bytes).alias("n_bytes"), F.lit(report.lines).alias("n_lines"), F.lit(report.invalid).alias("n_invalid"))
+
+
+@query
+def dumped_lines(spark, sf_dir):
+    """Lines as JSON, signs escaped; the text is read back from it."""
+    t = F.concat(F.lit("http://h/"), F.col("n_nationkey").cast("string"), F.lit("?a='{}&b=é\\"), F.lit("#<\"\t`"))
+    rows = table(spark, sf_dir, "nation").select(t.alias("url"))
+    values = dump_lines(rows)
+    return values.select(F.get_json_object("value", "$.href").alias("href"), F.get_json_object("value", "$.hash").alias("hash"), F.contains("value", F.lit("\t")).alias("raw_tab"))
+
+
+@query
+def url_credentials(spark, sf_dir):
+    k = F.col("c_custkey")
+    who = F.when(k % 5 == 0, "").when(k % 5 == 1, "u@").when(k % 5 == 2, "u:p@").when(k % 5 == 3, ":p@").otherwise("@")
+    u = table(spark, sf_dir, "customer").select("c_custkey", urls.url_parse(text("https://", who, "h", k, "/")).alias("u"))
+    tests = {"any_of_them": urls.has_credentials, "name": urls.has_non_empty_username, "password": urls.has_non_empty_password, "with_password": urls.has_password}
+    return u.select("c_custkey", F.col("u.href").alias("href"), *[f(F.col("u")).alias(n) for n, f in tests.items()])
+
+
+@query
+def opaque_edits(spark, sf_dir):
+    """Blanks at the end of an opaque path when what follows it goes."""
+    k = F.col("c_custkey")
+    t = text("data:x", k, "  ", F.when(k % 2 == 0, "#f").otherwise("?q"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", t.alias("t"))
+    return rows.select("c_custkey", urls.url_part("t", "pathname").alias("pathname"), urls.url_clear("t", "hash").getField("href").alias("no_hash"), urls.url_clear("t", "search").getField("href").alias("no_search"), urls.url_with("t", "hash", "").alias("empty_hash"))
+
+
+@query
+def text_predicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(F.array(*map(F.lit, PREDICATE_TEXTS))).alias("i", "t"))
+    return rows.select("r_regionkey", "i", F.array_join(F.array(*[F.when(f("t"), F.lit("1")).otherwise("0") for f in PREDICATES.values()]), "").alias("holds"))
+
+
+#: One text for each predicate at least.
+PREDICATE_TEXTS = ["", "a\tb", "é", "a b", "a%b", "http", "9a", "123", "0xfF", "beef", "a.1", "1.2.3.4", "01.2.3.4", "1.2.3.256", ".", "%2E.", "C:", "c|", "a-b.c"]
+
+
+@query
+def pattern_components(spark, sf_dir):
+    """A pattern over eight columns that need not come from one URL."""
+    p = P.url_pattern(LANGUAGE)
+    values = {n: urls.url_part("url", n) for n in ("username", "password", "hostname", "port", "pathname")}
+    values |= {"protocol": F.lit("https"), "search": F.lit("x"), "hash": F.lit("")}
+    return pages(spark, sf_dir).select("page_id", P.test_components(p, values).alias("matches"))
+
+
+@query
+def pattern_base(spark, sf_dir):
+    """Patterns that inherit from a base: what lies beside the spam farm's pages, and below a folder of its."""
+    beside = P.url_pattern({"pathname": "/en/*", "base_url": "https://spam-farm.example.org/x/y?z"})
+    below = P.url_pattern("*", "https://spam-farm.example.org/en/y?z")
+    return pages(spark, sf_dir).select("page_id", P.url_pattern_test(beside, "url").alias("beside"), P.url_pattern_test(below, "url").alias("below"))
+
+
+PATTERNS = [
+    "https://*.example.com/books/:id(\\d+)", {"pathname": "/a{/b}?/*"}, {"hostname": "{*.}?x.org", "port": "80"}, {"protocol": "http", "port": "80", "search": "q=:q"}, "http{s}?://h/p?:a=b#(x|y)+",
+    {"pathname": "./c/:d", "base_url": "https://e.org/f/g"}, {"pathname": "/ü b", "hostname": "ü.de"},
+]
+
+
+@query
+def pattern_getters(spark, sf_dir):
+    """The normalized pattern of each component."""
+    names = ("protocol", "username", "password", "hostname", "port", "pathname", "search", "hash")
+    rows = [(i, *(getattr(p, n) for n in names), p.has_regexp_groups) for i, p in enumerate(map(P.url_pattern, PATTERNS))]
+    return spark.createDataFrame(rows, "i int, " + ", ".join(f"{n} string" for n in names) + ", groups boolean")
+
+
+@query
+def pattern_structured(spark, sf_dir):
+    """Structured inputs, tested and matched."""
+    k = F.col("o_orderkey")
+    p = P.url_pattern({"hostname": "h:n(\\d+).example", "pathname": "/x/:rest*", "search": "*"})
+    given = {"protocol": F.lit("https"), "hostname": text("h", k, F.when(k % 3 == 0, ".test").otherwise(".example")), "pathname": text("/x/", k, "/y z")}
+    init = F.struct(*[given.get(f.name, F.lit(None).cast("string")).alias(f.name) for f in PATTERN_INIT.fields])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", init.alias("init"))
+    found = P.url_pattern_exec_init(p, F.col("init"))
+    return rows.select("o_orderkey", P.url_pattern_test_init(p, F.col("init")).alias("matches"), found["hostname"]["groups"]["n"].alias("n"), found["pathname"]["groups"]["rest"].alias("rest"))
+
+
+@query
+def library_version(spark, sf_dir):
+    return table(spark, sf_dir, "region").select("r_regionkey", F.lit(__version__).alias("version"))
