@@ -16,6 +16,7 @@ from urlloom.kernel.pattern import URLPattern
 from urlloom.kernel.url import cleared, edited, from_file_path, parse
 from urlloom.operators import patterns as P
 from urlloom.operators import relational as R
+from urlloom.operators import router
 from urlloom.operators.router import route
 from urlloom.sources import cli, lines
 
@@ -123,8 +124,12 @@ def test_patterns_equal_the_kernel(frame):
         assert (r.m.asDict(True) if r.m else None) == want
 
 
-def test_routes_equal_tests(frame):
-    named = [(f"p{i}", p) for i, p in enumerate([*PATTERNS, URLPattern("https://a.b/c*"), URLPattern("https://none.example/*")])]
+@pytest.mark.parametrize("unrolled", [64, 0])
+def test_routes_equal_tests(frame, monkeypatch, unrolled):
+    """Patterns in one expression, and as a list."""
+    monkeypatch.setattr(router, "UNROLLED", unrolled)
+    own = [URLPattern("https://a.b/c*"), URLPattern("https://none.example/*"), URLPattern({"hostname": "a.b", "search": "x=1"}), URLPattern({"hostname": "a.b", "hash": "\\\\Q*"}), URLPattern({"hostname": "a.b", "pathname": "/p"}, ignore_case=True)]
+    named = [(f"p{i}", p) for i, p in enumerate([*PATTERNS, *own])]
     got = {(r.i, r.pattern_id) for r in route(frame, "url", named).select("i", "pattern_id").collect()}
     want = {(i, n) for i, u in enumerate(URLS + generated(1500)) if u is not None for n, p in named if p.test(u)}
     assert got == want

@@ -50,9 +50,11 @@ def batched(kind: T.DataType, of: Callable) -> Callable[..., Column]:
 
     made = [F.arrow_udf(f, kind) for f in (one, two, three)]
 
-    def call(*columns: Column) -> Column:
+    def call(*columns: Column, once: bool = False) -> Column:
+        """once: the optimizer must not copy the call, neither into a filter that it moves nor into each use of a column."""
         ship()
-        return made[len(columns) - 1](*columns)
+        f = made[len(columns) - 1]
+        return (f.asNondeterministic() if once else f)(*columns)
 
     call.functions = made
     return call

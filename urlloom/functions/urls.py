@@ -27,27 +27,30 @@ def _limited(plain: Column, url: Column, href: Column | None, max_length: int |
     return plain & (ok if href is None else ok & (F.octet_length(href) <= max_length))
 
 
-def _slow(url: Column, max_length: int | None) -> Column:
+def _slow(url: Column, max_length: int | None, once: bool = False) -> Column:
     """The struct of URLs that are not plain."""
     plain = native.is_plain(url) if max_length is None else native.is_plain(url) & (F.octet_length(url) < max_length)
-    return udfs.parse_udf(max_length)(F.when(~plain & ~native.surely_invalid(url), url))
+    return udfs.parse_udf(max_length)(F.when(~plain & ~native.surely_invalid(url), url), once=once)
 
 
-def url_parse(url: Column | str, max_length: int | None = None) -> Column:
-    """The URL struct. For a few parts, url_part costs less, as only those are computed."""
+def url_parse(url: Column | str, max_length: int | None = None, once: bool = False) -> Column:
+    """The URL struct. For a few parts, url_part costs less, as only those are computed.
+
+    once: Python parses a URL once, however often the column is used; filters on other columns then stay above it.
+    """
     url = _col(url)
     parts = native.plain_parts(url)
     plain = native.is_plain(url) if max_length is None else native.is_plain(url) & (F.octet_length(url) < max_length)
     struct = F.struct(*[parts[f.name].cast(OFFSETS_TYPE if f.name == "components" else f.dataType).alias(f.name) for f in URL.fields])
-    return F.when(plain, struct).otherwise(_slow(url, max_length))
+    return F.when(plain, struct).otherwise(_slow(url, max_length, once))
 
 
-def url_part(url: Column | str, part: str) -> Column:
-    """One getter or field of a URL text."""
+def url_part(url: Column | str, part: str, once: bool = False) -> Column:
+    """One getter or field of a URL text; once as in url_parse."""
     if part not in PARTS and part not in FIELDS:
         raise ValueError(f"{part!r} not found; there are {', '.join((*PARTS, *FIELDS))}")
     url = _col(url)
-    return F.when(native.is_plain(url), native.plain_parts(url)[part]).otherwise(_slow(url, None).getField(part))
+    return F.when(native.is_plain(url), native.plain_parts(url)[part]).otherwise(_slow(url, None, once).getField(part))
 
 
 def url_can_parse(url: Column | str, base: Column | str | None = None, max_length: int | None = None) -> Column:
@@ -84,11 +87,11 @@ def url_clear(url: Column | str, part: str) -> Column:
     return udfs.clear_udf(part)(_col(url))
 
 
-def url_without_hash(url: Column | str) -> Column:
-    """The href without its fragment; compiled for plain URLs."""
+def url_without_hash(url: Column | str, once: bool = False) -> Column:
+    """The href without its fragment; compiled for plain URLs. once as in url_parse."""
     url = _col(url)
     plain = native.is_plain(url)
-    return F.when(plain, F.substring_index(native.plain_parts(url)["href"], "#", 1)).otherwise(udfs.clear_udf("hash")(F.when(~plain, url)).getField("href"))
+    return F.when(plain, F.substring_index(native.plain_parts(url)["href"], "#", 1)).otherwise(udfs.clear_udf("hash")(F.when(~plain, url), once=once).getField("href"))
 
 
 # -- predicates over the struct ----------------------------------------------------------------------

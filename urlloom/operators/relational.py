@@ -46,7 +46,7 @@ def canonical_dedup(df: DataFrame, url: str, order: Sequence[Column | str], name
     The first row is found by an aggregate with map-side combining, not by a window, so that a URL that a third of all rows
     have does not fill one task.
     """
-    keyed = df.withColumn(name, url_without_hash(url)).where(F.col(name).isNotNull())
+    keyed = df.withColumn(name, url_without_hash(url, once=True)).where(F.col(name).isNotNull())
     rank = F.struct(*[_col(o) for o in order])
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     best = keyed.groupBy(name).agg(F.min_by(row, rank).alias("__row"), F.count("*").alias("n_copies"))
@@ -56,12 +56,12 @@ def canonical_dedup(df: DataFrame, url: str, order: Sequence[Column | str], name
 def ranked_by_host(df: DataFrame, url: str, order: Sequence[Column | str], limit: int) -> DataFrame:
     """The first rows of each host, with their rank."""
     window = Window.partitionBy("hostname").orderBy(*[_col(o) for o in order])
-    return df.withColumn("hostname", url_part(url, "hostname")).where("hostname IS NOT NULL").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
+    return df.withColumn("hostname", url_part(url, "hostname", once=True)).where("hostname IS NOT NULL").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= limit)
 
 
 def host_counts(df: DataFrame, url: str) -> DataFrame:
     """Rows of each hostname; invalid URLs are left out."""
-    return df.select(url_part(url, "hostname").alias("hostname")).where("hostname IS NOT NULL").groupBy("hostname").agg(F.count("*").alias("n"))
+    return df.select(url_part(url, "hostname", once=True).alias("hostname")).where("hostname IS NOT NULL").groupBy("hostname").agg(F.count("*").alias("n"))
 
 
 def host_rollup(df: DataFrame, url: str) -> DataFrame:

@@ -1,25 +1,51 @@
 """Routing: which of many patterns each URL matches.
 
-Patterns with a fixed hostname are joined with URLs by that hostname, an equi-join; only the patterns of a
-URL's own host are then tested. The others are tested as built-in predicates in one pass. No URL meets every pattern
-through a cross join, and the pattern side is broadcast only when it is small.
+Every URL is parsed once. Patterns with a fixed hostname are joined with URLs by that hostname, an equi-join that
+gives each URL the list of its own host's patterns; the others are one constant list. Lists are filtered by built-in regular expressions, so
+no URL meets every pattern through a cross join, and the pattern side is broadcast only if Spark finds it small enough.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_parse
-from ..kernel.pattern import COMPONENTS, URLPattern
+from ..kernel.pattern import COMPONENTS, Component, URLPattern
 from ..shipping import ship
 from .patterns import component_values, exact_hostname, url_struct_test
 
-#: Patterns by hostname up to this many are broadcast: at a few hundred bytes each that is some megabytes.
-BROADCAST_PATTERNS = 20_000
+#: Up to so many patterns without a fixed host are compiled into one expression; more are a list that is filtered.
+UNROLLED = 64
+_RULE = "struct<i: int, " + ", ".join(f"{c}: string" for c in COMPONENTS) + ">"
+
+
+def _java(component: Component) -> str | None:
+    """The component as a regular expression for Java; None for one that everything matches."""
+    if component.kind == "any":
+        return None
+    if component.kind in ("empty", "exact"):
+        return "\\A\\Q" + component.exact.replace("\\E", "\\E\\\\E\\Q") + "\\E\\z"
+    return rf"{'(?i)' if component.ignore_case else ''}\A(?:{component.regex})\z"
+
+
+def _rule(i: int, pattern: URLPattern) -> dict[str, int | str | None]:
+    return {"i": i} | {name: _java(pattern.components[name]) for name in COMPONENTS}
+
+
+def _matching(rules: Column, values: dict[str, Column]) -> Column:
+    """Numbers of the rules that the values match."""
+
+    def test(rule: Column) -> Column:
+        out = F.lit(True)
+        for name in ("port", "pathname", "search", "hash", "protocol", "hostname", "username", "password"):
+            out = out & (rule[name].isNull() | F.regexp_like(values[name], rule[name]))
+        return out
+
+    return F.transform(F.filter(rules, test), lambda rule: rule["i"])
 
 
 def route(df: DataFrame, url: str, patterns: Sequence[tuple[str, URLPattern]], name: str = "pattern_id") -> DataFrame:
@@ -28,35 +54,26 @@ def route(df: DataFrame, url: str, patterns: Sequence[tuple[str, URLPattern]], n
     ship(spark)
     if any(c.startswith("__") for c in df.columns):
         raise ValueError("column names that begin with two underscores are reserved")
-    by_host = [(i, exact_hostname(p)) for i, (_, p) in enumerate(patterns) if exact_hostname(p) is not None]
-    others = [(i, p) for i, (_, p) in enumerate(patterns) if exact_hostname(p) is None]
-    rows = df.withColumn("__u", url_parse(url)).where(F.col("__u").isNotNull())
+    hosts: dict[str, list[dict]] = {}
+    others: list[int] = []
+    for i, (_, p) in enumerate(patterns):
+        host = exact_hostname(p)
+        if host is None:
+            others.append(i)
+        else:
+            hosts.setdefault(host, []).append(_rule(i, p) | {"hostname": None})
+    rows = df.withColumn("__u", url_parse(url, once=True)).where(F.col("__u").isNotNull())
     keep = [F.col(f"`{c}`") for c in df.columns]
-    parts = []
-    if others:
-        hits = F.filter(F.array(*[F.when(url_struct_test(p, F.col("__u")), F.lit(patterns[i][0])) for i, p in others]), lambda x: x.isNotNull())
-        parts.append(rows.select(*keep, F.explode(hits).alias(name)))
-    if by_host:
-        table = spark.createDataFrame([(h, i) for i, h in by_host], "__host string, __i int")
-        if len(by_host) <= BROADCAST_PATTERNS:
-            table = F.broadcast(table)
-        values = component_values(F.col("__u").getField)
-        met = rows.select(*keep, *[values[c].alias(f"__{c}") for c in COMPONENTS]).join(table, F.col("__hostname") == F.col("__host"))
-        shared = spark.sparkContext.broadcast({i: patterns[i][1] for i, _ in by_host})
-
-        def matches(*columns: pa.Array) -> pa.Array:
-            number, *texts = (c.to_pylist() for c in columns)
-            return pa.array([shared.value[i].match_components(dict(zip(COMPONENTS, row, strict=True))) is not None for i, *row in zip(number, *texts, strict=True)], pa.bool_())
-
-        def nine(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array, f: pa.Array, g: pa.Array, h: pa.Array, i: pa.Array) -> pa.Array:
-            return matches(a, b, c, d, e, f, g, h, i)
-
-        test = F.arrow_udf(nine, "boolean")
-        ids = F.array(*[F.lit(p) for p, _ in patterns])
-        parts.append(met.where(test("__i", *[f"__{c}" for c in COMPONENTS])).select(*keep, F.element_at(ids, F.col("__i") + 1).alias(name)))
-    if not parts:
-        return rows.select(*keep, F.lit(None).cast("string").alias(name)).where("false")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    values = component_values(F.col("__u").getField)
+    none = F.array().cast("array<int>")
+    if len(others) <= UNROLLED:
+        hits = F.filter(F.array(*[F.when(url_struct_test(patterns[i][1], F.col("__u")), F.lit(i)) for i in others]).cast("array<int>"), lambda x: x.isNotNull()) if others else none
+    else:
+        rules = F.from_json(F.lit(json.dumps([_rule(i, patterns[i][1]) for i in others])), f"array<{_RULE}>")
+        hits = _matching(rules, values)
+    if hosts:
+        table = spark.createDataFrame([(h, [tuple(r[k] for k in ("i", *COMPONENTS)) for r in rules]) for h, rules in hosts.items()], f"__host string, __rules array<{_RULE}>")
+        rows = rows.join(table, values["hostname"] == F.col("__host"), "left")
+        hits = F.concat(hits, F.coalesce(_matching(F.col("__rules"), values), none))
+    ids = F.array(*[F.lit(p) for p, _ in patterns]) if patterns else F.array(F.lit(None).cast("string"))
+    return rows.select(*keep, F.explode(hits).alias("__i")).select(*keep, F.element_at(ids, F.col("__i") + 1).alias(name))
