@@ -10,22 +10,29 @@ so a document is a list of runs of windows.
 1. Documents are packed into blocks of a few MB, compressed, and written; all later steps read those.
 2. Every block sends its distinct anchors, packed by bucket; those of a single document are out, and go no further.
 3. Runs with a repeated anchor are sent with their text, once for each distinct run of a block, with the smallest id.
-   A bucket's suffixes are put into buckets of equal 8-byte strings, and refined: sorting on (own bucket, bucket of
-   the suffix 8 later) gives buckets of equal 16 bytes, whose ids are used again for 32, and those for the window.
-   Each window bucket has its smallest id, which goes back to blocks with a larger one.
+   The suffixes of these texts are put into buckets of equal `GRAM_BYTES`-byte strings. Each bucket is refined: sorted on the
+   bucket pointers of the suffixes `GRAM_BYTES` later, then its parts on those twice as far, and so on; a pointer that was
+   refined serves all later sorts at once, and a bucket of one suffix is left alone. Equal windows are then neighbours.
+   Each class of windows has its smallest id, which goes back to blocks with a larger one.
 4. Blocks mark windows whose smallest id is below their document's, and cut.
 
-Messages are pre-aggregated in each block, so a passage in a third of all documents costs a message for each block
-that has it. No text is compared pair by pair. Bucket counts grow with the input.
+Messages are pre-aggregated in each block. An anchor of very many blocks, or of many texts in one block, is hot: the texts around
+it differ, and would meet in one place. Its windows are dealt each by itself, by their own hash, so those that differ
+go to different places and those that are equal are one message for each block, and no order is needed to find them. No text is compared pair by pair.
+Places are counted by the bytes of the texts, and one place refines a bounded number of bytes at a time.
 
 Defined cases: a null text is empty; a document without id loses nothing and takes nothing from others; rows of the same
-id take nothing from each other; an empty table gives an empty result. Other columns are not read.
+id take nothing from each other; an empty table gives an empty result; a text of any length is handled whole, in a
+block of its own if it is longer than one, and in segments of `SEGMENT` bytes while anchors are sought. Ids that are
+not whole numbers count as missing. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +41,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import columns_of, dealt, plan_bytes, prepare, saved
+from .common import columns_of, dealt, prepare, saved
 
 U = np.uint64
 WINDOW = 50
 GRAM = 20
 BLOCK = 2 << 20
 SEGMENT = 1 << 20
+#: Bytes of the first buckets' strings, and how much later the next pointer is looked up.
+GRAM_BYTES = 7
+#: Suffixes whose buckets are refined together.
+TOGETHER = 1 << 18
+#: Bytes of documents for each place where texts are refined, and for each group of places, which get their texts together.
+PLACE, GROUP = 768 << 10, 8 << 20
+#: An anchor of more blocks, or of more different texts in one block, is hot.
+HOT_BLOCKS, HOT_TEXTS = 1024, 48
 TOP = np.iinfo(np.int64).max
 _A, _B, _C = (U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -106,70 +121,153 @@ class Block:
         np.minimum.at(low, self.which, self.ids[self.doc])
         np.maximum.at(high, self.which, self.ids[self.doc])
         self.shared = low < high
+        #: Anchors of many different runs.
+        self.many = np.bincount(self.which, minlength=len(z)) > HOT_TEXTS
+        runs = np.flatnonzero(self.many[self.which])
+        texts = {(a, raw[s : s + n + window - 1]) for a, s, n in zip(self.which[runs].tolist(), self.start[runs].tolist(), self.length[runs].tolist(), strict=True)}
+        self.many = np.bincount(np.array([a for a, _ in texts], np.int64), minlength=len(z)) > HOT_TEXTS
 
     def bounds(self) -> list[tuple[int, int, int]]:
         """(bucket, first, end) of the distinct anchors of each bucket."""
         cut = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         return [(int(self.bucket[a]), a, b) for a, b in stretches(cut, len(self.bucket))]
 
-    def marked(self, notes: dict[int, bytes]) -> np.ndarray:
-        """Which distinct anchors other documents have."""
-        mask = self.shared.copy()
+    def marked(self, notes: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which distinct anchors other documents have, and which are hot."""
+        mask, hot = self.shared.copy(), np.zeros(len(self.shared), bool)
         for bucket, a, b in self.bounds():
             bits = notes.get(bucket)
             if bits is not None:
-                mask[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        return mask
-
-    def candidates(self, notes: dict[int, bytes], parts: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Candidate runs, the distinct text of each, those texts, their smallest ids and their parts (second buckets)."""
-        runs = np.flatnonzero(self.marked(notes)[self.which])
+                both = np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * (b - a)).astype(bool)
+                mask[a:b] |= both[: b - a]
+                hot[a:b] = both[b - a :]
+        return mask, hot
+
+    def candidates(self, notes: dict[int, bytes], groups: int, inner: int) -> Candidates:
+        """What may repeat: runs of repeated anchors; those of hot anchors are cut into their windows.
+
+        A group has `inner` places for texts and as many for windows of hot anchors.
+        """
+        mask, hot = self.marked(notes)
+        runs = np.flatnonzero(mask[self.which])
+        reps = np.where(hot[self.which[runs]], self.length[runs], 1)
+        run = np.repeat(runs, reps)
+        ahead = np.arange(len(run)) - np.repeat(np.cumsum(reps) - reps, reps)
+        single = np.repeat(hot[self.which[runs]], reps)
+        start, length = self.start[run] + ahead, np.where(single, 1, self.length[run])
         raw, more = self.raw, self.window - 1
         seen: dict[bytes, int] = {}
-        of = np.empty(len(runs), np.int64)
-        for i, (s, n) in enumerate(zip(self.start[runs].tolist(), self.length[runs].tolist(), strict=True)):
-            of[i] = seen.setdefault(raw[s : s + n + more], len(seen))
-        least = np.full(len(seen), TOP)
-        np.minimum.at(least, of, self.ids[self.doc[runs]])
-        part = np.zeros(len(seen), np.int64)
-        part[of] = ((self.z[self.which[runs]] >> U(20)) % U(parts)).astype(np.int64)
-        return runs, of, list(seen), least, part
-
-
-def refined(text: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts of the texts, and for each the bucket of its `window` bytes: equal if and only if the bytes are.
-
-    Buckets are numbers in sorted order. Level by level a suffix's bucket is refined by the bucket of a later
-    suffix, found at the level before.
+        of = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(start.tolist(), (start + length + more).tolist(), strict=True)], np.int64)
+        least, place = np.full(len(seen), TOP), np.zeros(len(seen), np.int64)
+        np.minimum.at(least, of, self.ids[self.doc[run]])
+        texts = list(seen)
+        place[of] = ((self.z[self.which[run]] >> U(20)) % U(groups * inner)).astype(np.int64)
+        alone = np.unique(of[single])
+        place[alone] = [zlib.crc32(texts[t]) % (groups * inner) for t in alone.tolist()]
+        part = place // inner * 2 * inner + place % inner
+        part[alone] += inner
+        return Candidates(start, length, self.doc[run], of, texts, least, part)
+
+
+@dataclass
+class Candidates:
+    """First window, windows, document and distinct text of each candidate run; the texts, their smallest ids and places."""
+
+    start: np.ndarray
+    length: np.ndarray
+    doc: np.ndarray
+    of: np.ndarray
+    texts: list[bytes]
+    least: np.ndarray
+    part: np.ndarray
+
+    def by_part(self) -> np.ndarray:
+        """The order in which texts are sent."""
+        return np.argsort(self.part, kind="stable")
+
+
+def suffix_order(text: np.ndarray, at: np.ndarray, window: int = WINDOW, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of the texts, in order of their first `window` bytes at least, and the bytes that each place has to its text's end.
+
+    An end of text is below every byte. A pointer is the first slot of a suffix's bucket, so pointers are ordered as
+    the suffixes are as far as these were told apart. About 30 bytes of memory for each byte of the texts.
     """
-    size = len(text)
-    left = np.repeat(at[1:], np.diff(at)) - np.arange(size)  # bytes up to the text's end
+    n = len(text)
+    left = (np.repeat(at[1:], np.diff(at)) - np.arange(n)).astype(np.int32)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    key = np.ndarray((n,), ">u8", padded.data, strides=(1,)).astype(U)
+    key &= ~U(0xFF)
+    short = np.flatnonzero(left < GRAM_BYTES)
+    key[short] &= ~((U(1) << (U(8) * (U(8) - left[short].astype(U)))) - U(1))
+    key |= np.minimum(left, GRAM_BYTES).astype(U)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = key[1:] != key[:-1]
+    del key
+    pointer = np.empty(n, np.int32)
+    pointer[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), 0))
+    # buckets of one suffix, or of suffixes that are at their end, are done
+    live = np.flatnonzero(~(fresh & np.append(fresh[1:], True)) & (left[order] >= GRAM_BYTES)).astype(np.int32)
+    heads = np.flatnonzero(fresh[live])
+    while len(live):
+        head = np.searchsorted(heads, together, side="right") - 1
+        upto = len(live) if len(live) <= together else int(heads[head]) if head > 0 else int(heads[1]) if len(heads) > 1 else len(live)
+        refine(live[:upto], order, pointer, left, window)
+        live = live[upto:]
+        heads = heads[np.searchsorted(heads, upto) :] - upto
+    return order, left
+
+
+def refine(slots: np.ndarray, order: np.ndarray, pointer: np.ndarray, left: np.ndarray, window: int) -> None:
+    """Sorts buckets, which take the slots given, by pointers further and further on until each has one suffix or equal windows."""
+    for ahead in range(GRAM_BYTES, window, GRAM_BYTES):
+        if not len(slots):
+            return
+        place = order[slots]
+        later = np.zeros(len(place), np.int64)
+        more = left[place] > ahead
+        later[more] = pointer[place[more] + ahead] + 1
+        key = pointer[place].astype(np.int64) << 32 | later
+        sort = np.argsort(key, kind="stable")
+        key, place = key[sort], place[sort]
+        order[slots] = place
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        pointer[place] = np.maximum.accumulate(np.where(fresh, slots, 0))
+        slots = slots[~(fresh & np.append(fresh[1:], True)) & (key & 0xFFFFFFFF > 0)]
+
+
+def window_classes(text: np.ndarray, at: np.ndarray, window: int = WINDOW, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts with equal windows next to each other, and which of them begin a class of equal windows."""
+    order, left = suffix_order(text, at, window, together)
+    place = order[left[order] >= window]
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    grams = np.ndarray((size + 1,), ">u8", padded.data, strides=(1,))[:size].astype(U)
-    depth = 8
-    place = np.flatnonzero(left >= depth)
-    pointer = np.zeros(size, np.int64)
-    pointer[place] = np.unique(grams[place], return_inverse=True)[1]
-    while depth < window:
-        step = min(depth, window - depth)
-        place = np.flatnonzero(left >= depth + step)
-        top = int(pointer.max(initial=0)) + 1
-        new = np.unique(pointer[place] * top + pointer[place + step], return_inverse=True)[1]
-        pointer = np.zeros(size, np.int64)
-        pointer[place] = new
-        depth += step
-    return place, pointer[place]
-
-
-def smallest_ids(texts: list[bytes], ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    eight = np.ndarray((len(text) + 1,), "<u8", padded.data, strides=(1,))
+    first = np.ones(len(place), bool)
+    for i in range(1, len(place), together):
+        a, b = place[i - 1 : i + together - 1], place[i : i + together]
+        a = a[: len(b)]
+        other = np.zeros(len(b), bool)
+        for j in (*range(0, window - 8, 8), window - 8):
+            other |= eight[a + j] != eight[b + j]
+        first[i : i + len(b)] = other
+    return place, first
+
+
+def smallest_ids(texts: list[bytes], ids: np.ndarray, window: int = WINDOW, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with the same smallest id: (first run of each text and one more, first window, windows, id)."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    place, bucket = refined(data, at, window)
+    place, first = window_classes(data, at, window, together)
+    owner = np.searchsorted(at, place, side="right") - 1
+    begin = np.flatnonzero(first)
+    least = np.minimum.reduceat(ids[owner], begin) if len(begin) else np.zeros(0, np.int64)
+    value = np.full(len(data), -TOP)
+    value[place] = least[np.cumsum(first) - 1]
+    place = np.sort(place)
+    value = value[place]
     owner = np.searchsorted(at, place, side="right") - 1
-    least = np.full(int(bucket.max(initial=-1)) + 1, TOP)
-    np.minimum.at(least, bucket, ids[owner])
-    value = least[bucket]
     change = np.ones(len(place), bool)
     change[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     cut = np.flatnonzero(change)
@@ -203,7 +301,7 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema) as out:
             out.write_batch(batch)
-        return zstandard.compress(sink.getvalue().to_pybytes(), 1)
+        return zstandard.compress(sink.getvalue().to_pybytes(), 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,26 +313,28 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + block_bytes, side="right")) - 1)
                 sizes = np.diff(at[i : j + 1]).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (zstandard.compress(raw[at[i] : at[j]], 1), ids[i:j].tobytes(), sizes.tobytes(), extra(batch.select(list(keep)).slice(i, j - i)))], names=["packed", "ids", "sizes", "extra"])
+                cells = (zstandard.compress(raw[at[i] : at[j]], 3), ids[i:j].tobytes(), sizes.tobytes(), extra(batch.select(list(keep)).slice(i, j - i)))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in cells), pa.array([at[j] - at[i]], pa.int64())], names=["packed", "ids", "sizes", "extra", "bytes"])
                 i = j
 
-    return picked.mapInArrow(run, "packed binary, ids binary, sizes binary, extra binary").withColumn("block", F.monotonically_increasing_id())
+    return picked.mapInArrow(run, "packed binary, ids binary, sizes binary, extra binary, bytes long").withColumn("block", F.monotonically_increasing_id())
 
 
 def notes_of(table: pa.Table, kind: int) -> dict[int, bytes]:
     return {b: x for k, b, x in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["note"].to_pylist(), strict=True) if k == kind}
 
 
-def substrings_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_kept: bool = False, block_bytes: int = BLOCK) -> DataFrame:
+def substrings_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_kept: bool = False, block_bytes: int = BLOCK, place_bytes: int = PLACE, group_bytes: int = GROUP, most_groups: int = 1 << 20, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and with_kept the bytes left."""
     spark = docs.sparkSession
     prepare(spark)
     if window < GRAM + 4:
         raise ValueError(f"windows have {GRAM + 4} bytes at least")
-    size = plan_bytes(docs)
-    buckets = dealt(spark, size)
-    parts = dealt(spark, size, 2 << 20)
     blocks = saved(packed_blocks(docs, id_col, text_col, block_bytes), "blocks")
+    size = blocks.agg(F.sum("bytes")).first()[0] or 0
+    buckets = dealt(spark, size)
+    groups = min(dealt(spark, size, group_bytes), most_groups)
+    inner = max(1, -(-size // (groups * place_bytes)))
 
     def open_block(table) -> Block:
         return Block(*(table[c][0].as_py() for c in ("packed", "ids", "sizes")), buckets, window)
@@ -245,7 +345,8 @@ def substrings_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 b = Block(*(batch.column(c)[i].as_py() for c in ("packed", "ids", "sizes")), buckets, window)
                 rows = b.bounds()
                 if rows:
-                    short = b.z >> U(16)
+                    # 47 bits of the anchor, and whether the block has many texts around it
+                    short = b.z >> U(17) << U(1) | b.many.astype(U)
                     notes = [(short[x:y] & U(0xFFFFFFFF)).astype("<u4").tobytes() + (short[x:y] >> U(32)).astype("<u2").tobytes() for _, x, y in rows]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([batch.column("block")[i].as_py()] * len(rows), pa.int64()), pa.array(notes, pa.binary())], names=["bucket", "block", "note"])
 
@@ -253,10 +354,12 @@ def substrings_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         notes = table["note"].to_pylist()
         counts = [len(x) // 6 for x in notes]
         values = np.concatenate([np.frombuffer(x, "<u4", n).astype(U) | np.frombuffer(x, "<u2", n, 4 * n).astype(U) << U(32) for x, n in zip(notes, counts, strict=True)])
-        _, which, count = np.unique(values, return_inverse=True, return_counts=True)
-        many = (count > 1)[which]
+        distinct, which, count = np.unique(values >> U(1), return_inverse=True, return_counts=True)
+        full = np.zeros(len(distinct), bool)
+        full[which[(values & U(1)) > 0]] = True
+        many, hot = (count > 1)[which], ((count > hot_blocks) | (count > 1) & full)[which]
         ends = np.cumsum(counts).tolist()
-        bits = [np.packbits(many[e - n : e]).tobytes() if many[e - n : e].any() else None for n, e in zip(counts, ends, strict=True)]
+        bits = [np.packbits(np.concatenate([many[e - n : e], hot[e - n : e]])).tobytes() if many[e - n : e].any() else None for n, e in zip(counts, ends, strict=True)]
         keep = [x is not None for x in bits]
         out = pa.table({"block": table["block"], "kind": pa.array([1] * len(bits), pa.int32()), "bucket": table["bucket"], "note": pa.array(bits, pa.binary())})
         return out.filter(pa.array(keep))
@@ -267,46 +370,57 @@ def substrings_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def send_runs(block: pa.Table, notes: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"part": [], "block": [], "note": []}
         for i in range(block.num_rows):
-            b = open_block(block.slice(i, 1))
-            _, _, texts, least, part = b.candidates(notes_of(notes, 1), parts)
-            order = np.argsort(part, kind="stable")
-            cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+            c = open_block(block.slice(i, 1)).candidates(notes_of(notes, 1), groups, inner)
+            order = c.by_part()
+            group = c.part[order] // (2 * inner)
+            cut = np.flatnonzero(np.diff(group, prepend=-1))
             for x, y in stretches(cut, len(order)):
                 own = order[x:y]
-                mine = [texts[o] for o in own.tolist()]
-                rows["part"].append(int(part[own[0]]))
+                mine = [c.texts[o] for o in own.tolist()]
+                rows["part"].append(int(group[x]))
                 rows["block"].append(block["block"][i].as_py())
-                rows["note"].append(pack(np.array([len(t) for t in mine], "<i4"), least[own].astype("<i8"), b"".join(mine)))
+                rows["note"].append(pack(np.bincount(c.part[own] % (2 * inner), minlength=2 * inner).astype("<i4"), np.array([len(t) for t in mine], "<i4"), c.least[own].astype("<i8"), b"".join(mine)))
         return pa.table({"part": pa.array(rows["part"], pa.int64()), "block": pa.array(rows["block"], pa.int64()), "note": pa.array(rows["note"], pa.binary())})
 
-    def refine(table: pa.Table) -> pa.Table:
-        seen: dict[bytes, int] = {}
-        sent = []
+    def smallest(table: pa.Table) -> pa.Table:
+        notes = []
         for note in table["note"].to_pylist():
-            sizes, least, raw = unpack(note)
+            at, sizes, least, raw = unpack(note)
             sizes = np.frombuffer(sizes, "<i4")
-            ends = np.cumsum(sizes, dtype=np.int64)
-            of = np.array([seen.setdefault(raw[e - n : e], len(seen)) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)], np.int64)
-            sent.append((of, np.frombuffer(least, "<i8")))
-        least = np.full(len(seen), TOP)
-        for of, ids in sent:
-            np.minimum.at(least, of, ids)
-        first, start, length, value = smallest_ids(list(seen), least, window)
-        replies = []
-        for of, ids in sent:
-            reps = first[of + 1] - first[of]
-            j = np.repeat(np.arange(len(of)), reps)
-            run = np.repeat(first[of], reps) + np.arange(len(j)) - np.repeat(np.cumsum(reps) - reps, reps)
-            lower = value[run] < ids[j]
-            j, run = j[lower], run[lower]
-            replies.append(pack(j.astype("<i4"), start[run].astype("<i4"), length[run].astype("<i4"), value[run].astype("<i8")) if len(j) else None)
-        keep = [x is not None for x in replies]
-        out = pa.table({"block": table["block"], "kind": pa.array([2] * len(replies), pa.int32()), "bucket": table["part"], "note": pa.array(replies, pa.binary())})
+            notes.append((np.concatenate([[0], np.cumsum(np.frombuffer(at, "<i4"))]).tolist(), sizes, np.cumsum(sizes, dtype=np.int64), np.frombuffer(least, "<i8"), raw))
+        replies: list[list[np.ndarray]] = [[] for _ in notes]
+        for number in range(2 * inner):
+            seen: dict[bytes, int] = {}
+            sent = []
+            for at, sizes, ends, least, raw in notes:
+                own = slice(at[number], at[number + 1])
+                of = np.array([seen.setdefault(raw[e - n : e], len(seen)) for n, e in zip(sizes[own].tolist(), ends[own].tolist(), strict=True)], np.int64)
+                sent.append((own.start, of, least[own]))
+            least = np.full(len(seen), TOP)
+            for _, of, ids in sent:
+                np.minimum.at(least, of, ids)
+            if not seen:
+                continue
+            if number < inner:
+                first, start, length, value = smallest_ids(list(seen), least, window)
+            else:  # single windows, which are their own classes
+                first, start, length, value = np.arange(len(seen) + 1), np.zeros(len(seen), np.int64), np.ones(len(seen), np.int64), least
+            for reply, (begin, of, ids) in zip(replies, sent, strict=True):
+                reps = first[of + 1] - first[of]
+                j = np.repeat(np.arange(len(of)), reps)
+                run = np.repeat(first[of], reps) + np.arange(len(j)) - np.repeat(np.cumsum(reps) - reps, reps)
+                lower = value[run] < ids[j]
+                j, run = j[lower], run[lower]
+                if len(j):
+                    reply.append(np.stack([begin + j, start[run], length[run], value[run]]))
+        packed = [pack(*(x.astype(t) for x, t in zip(np.concatenate(r, 1), ("<i4", "<i4", "<i4", "<i8"), strict=True))) if r else None for r in replies]
+        keep = [x is not None for x in packed]
+        out = pa.table({"block": table["block"], "kind": pa.array([2] * len(packed), pa.int32()), "bucket": table["part"], "note": pa.array(packed, pa.binary())})
         return out.filter(pa.array(keep))
 
     by_block = blocks.groupBy("block")
     sent = by_block.cogroup(marks.groupBy("block")).applyInArrow(send_runs, "part long, block long, note binary")
-    replies = saved(sent.groupBy("part").applyInArrow(refine, schema), "replies")
+    replies = saved(sent.groupBy("part").applyInArrow(smallest, schema), "replies")
 
     key = docs.schema[id_col].dataType.simpleString()
     result = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' if with_kept else ''}"
@@ -316,30 +430,30 @@ def substrings_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = []
         for i in range(block.num_rows):
             b = open_block(block.slice(i, 1))
-            runs, of, _, least, part = b.candidates(marks_, parts)
+            c = b.candidates(marks_, groups, inner)
             covered = np.zeros(len(b.raw) + 1, np.int32)
 
             def remove(start, length, covered=covered):
                 np.add.at(covered, start, 1)
                 np.add.at(covered, start + length + window - 1, -1)
 
-            own = b.ids[b.doc[runs]]
-            local = (least[of] < own) & (own != TOP)
-            remove(b.start[runs[local]], b.length[runs[local]])
-            # texts were sent part by part, in this order
-            order = np.argsort(part, kind="stable")
-            begin = np.searchsorted(part[order], np.arange(parts + 1))
-            by_text = np.argsort(of, kind="stable")
-            from_text = np.searchsorted(of[by_text], np.arange(len(least) + 1))
-            for p, note in replies_.items():
+            own = b.ids[c.doc]
+            local = (c.least[c.of] < own) & (own != TOP)
+            remove(c.start[local], c.length[local])
+            # texts were sent group by group, in this order
+            order = c.by_part()
+            group = c.part[order] // (2 * inner)
+            by_text = np.argsort(c.of, kind="stable")
+            from_text = np.searchsorted(c.of[by_text], np.arange(len(c.least) + 1))
+            for g, note in replies_.items():
                 j, start, length, value = (np.frombuffer(x, t) for x, t in zip(unpack(note), ("<i4", "<i4", "<i4", "<i8"), strict=True))
-                text = order[begin[p] + j]
+                text = order[np.searchsorted(group, g) + j]
                 reps = from_text[text + 1] - from_text[text]
                 k = np.repeat(np.arange(len(j)), reps)
                 at = by_text[np.repeat(from_text[text], reps) + np.arange(len(k)) - np.repeat(np.cumsum(reps) - reps, reps)]
                 lower = (value[k] < own[at]) & (own[at] != TOP)
                 k, at = k[lower], at[lower]
-                remove(b.start[runs[at]] + start[k], length[k].astype(np.int64))
+                remove(c.start[at] + start[k], length[k].astype(np.int64))
             gone = np.cumsum(covered[:-1]) > 0
             data = np.frombuffer(b.raw, np.uint8)
             begins = gone.copy()
