@@ -27,8 +27,8 @@ def _limited(plain: Column, url: Column, href: Column | None, max_length: int |
     return plain & (ok if href is None else ok & (F.octet_length(href) <= max_length))
 
 
-def _slow(url: Column, max_length: int | None, once: bool = False) -> Column:
-    """The struct of URLs that are not plain."""
+def url_unless_plain(url: Column, max_length: int | None = None, once: bool = False) -> Column:
+    """The struct of URLs that are not plain; null for those that are."""
     plain = native.is_plain(url) if max_length is None else native.is_plain(url) & (F.octet_length(url) < max_length)
     return udfs.parse_udf(max_length)(F.when(~plain & ~native.surely_invalid(url), url), once=once)
 
@@ -42,7 +42,8 @@ def url_parse(url: Column | str, max_length: int | None = None, once: bool = Fal
     parts = native.plain_parts(url)
     plain = native.is_plain(url) if max_length is None else native.is_plain(url) & (F.octet_length(url) < max_length)
     struct = F.struct(*[parts[f.name].cast(OFFSETS_TYPE if f.name == "components" else f.dataType).alias(f.name) for f in URL.fields])
-    return F.when(plain, struct).otherwise(_slow(url, max_length, once))
+    # both are made, as an expression that several fields share is only computed once outside of conditions
+    return F.element_at(F.array(struct, url_unless_plain(url, max_length, once)), F.when(plain, 1).otherwise(2))
 
 
 def url_part(url: Column | str, part: str, once: bool = False) -> Column:
@@ -50,7 +51,7 @@ def url_part(url: Column | str, part: str, once: bool = False) -> Column:
     if part not in PARTS and part not in FIELDS:
         raise ValueError(f"{part!r} not found; there are {', '.join((*PARTS, *FIELDS))}")
     url = _col(url)
-    return F.when(native.is_plain(url), native.plain_parts(url)[part]).otherwise(_slow(url, None, once).getField(part))
+    return F.when(native.is_plain(url), native.plain_parts(url)[part]).otherwise(url_unless_plain(url, None, once).getField(part))
 
 
 def url_can_parse(url: Column | str, base: Column | str | None = None, max_length: int | None = None) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import udfs
-from ..functions.urls import _col, url_resolve
+from ..functions import native, udfs
+from ..functions.urls import _col, url_resolve, url_unless_plain
 from ..kernel.pattern import COMPONENTS, Component, URLPattern
 
 #: Cheap and selective components first: conjunctions stop at the first that fails.
@@ -48,17 +48,12 @@ def test_components(pattern: URLPattern, values: dict[str, Column]) -> Column:
 
 def url_pattern_test(pattern: URLPattern, url: Column | str, base: Column | str | None = None) -> Column:
     """Whether URLs match: false for invalid URLs, null for null."""
-    from ..functions.urls import url_part
-
     url = _col(url)
     if base is not None:
-        struct = url_resolve(url, base)
-        tested = test_components(pattern, component_values(struct.getField))
-        return F.when(url.isNotNull(), F.coalesce(tested & struct.isNotNull(), F.lit(False)))
-    values = component_values(lambda name: url_part(url, name))
-    tested = test_components(pattern, values)
-    # a pattern without any predicate still asks for a valid URL
-    return F.when(url.isNotNull(), F.coalesce(tested & values["protocol"].isNotNull(), F.lit(False)))
+        return F.when(url.isNotNull(), url_struct_test(pattern, url_resolve(url, base)))
+    # one question whether a URL is plain, not one for each component
+    plain = test_components(pattern, component_values(native.plain_parts(url).__getitem__))
+    return F.when(native.is_plain(url), plain).when(url.isNotNull(), url_struct_test(pattern, url_unless_plain(url)))
 
 
 def url_struct_test(pattern: URLPattern, u: Column) -> Column:
