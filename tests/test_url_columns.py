@@ -159,6 +159,24 @@ def test_sql_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM url_params('?a=1&b=%41+c')").collect()] == [(0, "a", "1"), (1, "b", "A c")]
 
 
+def test_sql_functions_equal_columns(spark, frame):
+    sql.register(spark)
+    frame.createOrReplaceTempView("odd_urls")
+    parts = ", ".join(f"url_get_{p}(url) AS {p}" for p in PARTS)
+    want = {r.i: tuple(r)[1:] for r in frame.select("i", *[urls.url_part("url", p) for p in PARTS], urls.url_can_parse("url"), codecs.percent_decode("url"), codecs.form_encode("url"), codecs.form_decode("url"), codecs.domain_to_ascii("url"), codecs.domain_to_unicode("url")).collect()}
+    got = {r.i: tuple(r)[1:] for r in spark.sql(f"SELECT i, {parts}, url_can_parse(url), percent_decode(url), form_encode(url), form_decode(url), domain_to_ascii(url), domain_to_unicode(url) FROM odd_urls").collect()}
+    assert got == want
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(QUERIES)], "i int, q string").withColumn("p", params.params_parse("q"))
+    queries.createOrReplaceTempView("odd_queries")
+    p = F.col("p")
+    made = [p, params.params_text(p), params.params_set(p, "a", "n w"), params.params_set(p, "zz", "1"), params.params_sort(p), params.params_get(p, "a"), params.params_has(p, "b"), params.params_remove(p, "a")]
+    want = {r.i: [r[f"c{j}"] for j in range(len(made))] for r in queries.select("i", *[c.alias(f"c{j}") for j, c in enumerate(made)]).collect()}
+    text = "SELECT i, params_parse(q), params_text(p), params_set(p, 'a', 'n w'), params_set(p, 'zz', '1'), params_sort(p), params_get(p, 'a'), params_has(p, 'b'), params_remove(p, 'a') FROM odd_queries"
+    assert {r[0]: list(r)[1:] for r in spark.sql(text).collect()} == want
+    plan = spark.sql("SELECT params_text(params_sort(params_parse(q))) FROM odd_queries")._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
 def test_lines(spark, tmp_path, capsys):
     path = tmp_path / "urls.txt"
     path.write_text("http://a.b/x\nnonsense\nHTTP://C.d")
