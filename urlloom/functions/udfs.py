@@ -120,12 +120,14 @@ def codec_udf(name: str, argument: str | None = None) -> Callable[..., Column]:
     """A function of the kernel from text to text."""
 
     def of(text):
-        from urlloom.kernel import codec, host, idna, url
+        from urlloom.kernel import codec, host, idna, show, url
 
         if name == "percent_encode":
             return codec.percent_encode(text, argument)
         if name == "domain_to_ascii":
             return host.domain_to_ascii(text)
+        if name == "diagram":
+            return show.diagram(url.parse(text))
         if name == "from_file_path":
             return url.from_file_path(text)
         if name == "host":

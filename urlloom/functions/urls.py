@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..kernel.show import OFFSETS
 from . import native, udfs
 from .types import OFFSETS_TYPE, PARTS, URL
 
@@ -170,13 +171,26 @@ def offsets_consistent(u: Column) -> Column:
 
 
 def url_dump(u: Column) -> Column:
-    """The struct as JSON, with all parts and offsets."""
-    return F.when(u.isNotNull(), F.to_json(u))
+    """All parts and offsets as JSON; credentials, query and fragment only where there are any."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    row = lambda name, value: F.concat(F.lit(f'\t"{name}":'), value)
+    part = lambda name, field: row(name, quoted(u.getField(field)))
+    offset = lambda name: row(name, F.coalesce(u.getField("components").getField(name).cast("string"), F.lit("null")))
+    rows = [
+        part("buffer", "href"),
+        part("protocol", "protocol"),
+        F.when(has_credentials(u), part("username", "username")),
+        F.when(has_credentials(u), part("password", "password")),
+        part("host", "host"),
+        part("path", "pathname"),
+        row("opaque path", u.getField("has_opaque_path").cast("string")),
+        F.when(has_search(u), part("query", "search")),
+        F.when(has_hash(u), part("fragment", "hash")),
+        *map(offset, OFFSETS),
+    ]
+    return F.when(u.isNotNull(), F.concat(F.lit("{\n"), F.concat_ws(",\n", *rows), F.lit("\n}")))
 
 
 def url_diagram(u: Column) -> Column:
-    """The href with a line under it that marks where its offsets are."""
-    c = u.getField("components")
-    marks = [c.getField(n) for n in ("protocol_end", "username_end", "host_start", "host_end", "pathname_start", "search_start", "hash_start")]
-    under = F.array_join(F.transform(F.sequence(F.lit(0), F.length(u.getField("href"))), lambda i: F.when(F.array_contains(F.filter(F.array(*marks), lambda m: m.isNotNull()), i.cast("long")), F.lit("|")).otherwise(F.lit(" "))), "")
-    return F.concat_ws("\n", u.getField("href"), F.rtrim(under))
+    """The href, a bar under each offset, and for each offset a line that leads to its name."""
+    return udfs.codec_udf("diagram")(u.getField("href"))

@@ -114,9 +114,16 @@ ORACLE_SQL: dict[str, str] = {
     "stream_windows": """WITH h AS (SELECT date_trunc('hour', ts) AS h, 'h' || (user_id % 5) || '.example' AS hostname, count(*) AS n FROM events GROUP BY 1, 2)
         SELECT strftime(h, '%Y-%m-%d %H') AS hour, hostname, n FROM h WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""",
     "approx_distinct_hosts": f"SELECT split_part(url, ':', 1) || ':' AS protocol, count(DISTINCT {_HOST}) AS n, true AS near FROM pages GROUP BY 1",
-    "dump_and_diagram": f"""WITH p AS (SELECT *, list_filter([instr(url, ':'), instr(url, ':') + 2, length({_ORIGIN}), instr(url, '?') - 1, instr(url, '#') - 1], lambda x: x >= 0) AS places FROM pages)
-        SELECT page_id, url AS href, {_SEARCH} AS search, CAST(length({_ORIGIN}) AS VARCHAR) AS pathname_start, {_HOST} AS raw_host, url AS line,
-          rtrim(array_to_string(list_transform(generate_series(0, length(url)), lambda i: CASE WHEN list_contains(places, i) THEN '|' ELSE ' ' END), '')) AS marks FROM p""",
+    "dump_and_diagram": f"""WITH p AS (SELECT page_id, url, {_SEARCH} AS s, {_HASH} AS f, length(url) AS n, instr(url, ':') AS a, instr(url, ':') + 2 AS h, length({_ORIGIN}) AS e, instr(url, '?') - 1 AS q, instr(url, '#') - 1 AS x, {_HOST} AS host, {_PATH} AS path FROM pages
+        ), m AS (SELECT *, list_filter([a, h, e, q, x], lambda v: v >= 0) AS v FROM p
+        ), l AS (SELECT *, [struct_pack(at := x, name := 'hash_start', number := ''), struct_pack(at := q, name := 'search_start', number := ' ' || q), struct_pack(at := e, name := 'pathname_start', number := ' ' || e), struct_pack(at := e, name := 'host_end', number := ' ' || e),
+          struct_pack(at := h, name := 'host_start', number := ' ' || h), struct_pack(at := h, name := 'username_end', number := ' ' || h), struct_pack(at := a, name := 'protocol_end', number := ' ' || a)] AS rows FROM m)
+        SELECT page_id, chr(123) || chr(10) || array_to_string(list_filter([chr(9) || '"buffer":"' || url || '"', chr(9) || '"protocol":"' || split_part(url, ':', 1) || ':"', chr(9) || '"host":"' || host || '"', chr(9) || '"path":"' || path || '"', chr(9) || '"opaque path":false',
+          CASE WHEN q >= 0 THEN chr(9) || '"query":"' || s || '"' END, CASE WHEN x >= 0 THEN chr(9) || '"fragment":"' || f || '"' END, chr(9) || '"protocol_end":' || a, chr(9) || '"username_end":' || h, chr(9) || '"host_start":' || h, chr(9) || '"host_end":' || e,
+          chr(9) || '"port":null', chr(9) || '"pathname_start":' || e, chr(9) || '"search_start":' || CASE WHEN q >= 0 THEN CAST(q AS VARCHAR) ELSE 'null' END, chr(9) || '"hash_start":' || CASE WHEN x >= 0 THEN CAST(x AS VARCHAR) ELSE 'null' END], lambda y: y IS NOT NULL), ',' || chr(10)) || chr(10) || chr(125) AS dump,
+          url || ' [' || n || ' bytes]' || chr(10) || array_to_string(list_transform(generate_series(0, n - 1), lambda i: CASE WHEN list_contains(v, i) THEN '|' ELSE ' ' END), '') || chr(10)
+          || array_to_string(list_transform(list_filter(rows, lambda r: r.at >= 0), lambda r: array_to_string(list_transform(generate_series(0, r.at - 1), lambda i: CASE WHEN list_contains(v, i) THEN '|' ELSE ' ' END), '') || '`' || repeat('-', n - r.at - 1) || ' ' || r.name || r.number || chr(10)), '')
+          || CASE WHEN x < 0 THEN 'note: hash omitted' || chr(10) ELSE '' END || CASE WHEN q < 0 THEN 'note: search omitted' || chr(10) ELSE '' END AS diagram FROM l""",
     "files_of_lines": _LINES,
     "invalid_lines_report": f"""WITH r AS (SELECT CAST(sum(strlen(t)) AS BIGINT) AS n_bytes, count(*) AS n_lines, count(*) FILTER (NOT ({_VALID})) AS n_invalid FROM {_ORDER})
         SELECT 'Invalid URL: ' || t AS value, n_bytes, n_lines, n_invalid FROM {_ORDER}, r WHERE NOT ({_VALID})""",

@@ -6,21 +6,11 @@ Files go through Spark. Standard input is a pipe of lines on one machine, so the
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 
-from ..functions.types import PARTS, getters, record
-from ..kernel.url import Url, parse
-
-
-def diagram(url: Url) -> str:
-    """The href, and under it a bar at each offset with its name."""
-    marks = sorted((at, name) for name, at in url.offsets().items() if at is not None and name != "port")
-    lines = [url.href, "".join("|" if any(at == i for at, _ in marks) else " " for i in range(len(url.href) + 1)).rstrip()]
-    for at, name in reversed(marks):
-        before = "".join("|" if any(a == i for a, _ in marks) else " " for i in range(at))
-        lines.append(f"{before}`-- {name}")
-    return "\n".join(lines)
+from ..functions.types import PARTS, getters
+from ..kernel.show import diagram, dump
+from ..kernel.url import parse
 
 
 def line(text: str, part: str | None) -> str | None:
@@ -76,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
     if url is None:
         print("Invalid URL", file=sys.stderr)
         return 1
-    print(getters(url)[args.get] if args.get else diagram(url) if args.diagram else json.dumps(record(url), indent=2))
+    print(getters(url)[args.get] if args.get else diagram(url) if args.diagram else dump(url))
     return 0
 
 
