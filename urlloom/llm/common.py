@@ -26,7 +26,7 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "9223372036854775807", str(4 << 20))):
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "9223372036854775807", str(1 << 20))):
         if spark.conf.get(key).removesuffix("b") == default:
             spark.conf.set(key, value)
 
@@ -41,15 +41,23 @@ def scratch_root(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+#: Spark deletes the shuffle files of an execution as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared scratch folder and reads it again, which cuts its lineage.
 
-    A lost executor then costs only the tasks since this table, and the shuffle files behind it can go.
+    A lost executor then costs only the tasks since this table; the shuffle files behind it go with the write.
     """
     spark = df.sparkSession
-    release(spark)  # what the caller has let go of since the last table
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     _left.add(path)
@@ -77,14 +85,6 @@ def dropped(*tables: DataFrame) -> None:
         _left.discard(table._scratch)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner see which shuffles are unreachable, so that their files are deleted."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df; for file sources this is the size of the files read."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -124,11 +124,12 @@ def with_text(docs: DataFrame, carried: list[str], text_col: str) -> tuple[DataF
     return docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("__loom_text")), "__loom_text"
 
 
-def components(edges: DataFrame, tag: str = "components", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for each node, root the smallest node reachable.
 
     Each partition first contracts its own edges with a union-find, which leaves at most one edge
-    per node; rounds of large-star and small-star steps then join the partitions' trees. Every round
+    per node; rounds of large-star and small-star steps then join the partitions' trees, until no node points at
+    one that points on: as many rounds as that takes, of the order of the logarithm of the longest path. Every round
     is written to the shared folder and none collects edges to the driver. Hot roots are harmless:
     the minimum per node is an aggregate with map-side combining, and the join that spreads it is an
     ordinary equi-join, which adaptive execution may split.
@@ -161,7 +162,7 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 40) -> D
 
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     now = saved(e.mapInArrow(contract, "a long, b long").distinct(), tag)
-    for _ in range(rounds):
+    while True:
         # small star: every node points at its smallest neighbour that is smaller than it
         least = now.groupBy("a").agg(F.min("b").alias("m"))
         small = now.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
@@ -177,6 +178,4 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 40) -> D
         now = after
         if done:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
