@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, bucket long, block string, score string, component_id string, __n long"
@@ -75,6 +77,30 @@ def brute_counts(text: str | None) -> tuple:
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
+def brute_verdict(text: str | None) -> str:
+    """The compression bands, computed anew: limits are lines in log2 of the length that meet at 256 bytes."""
+    raw = (text or "").encode()
+    if not raw:
+        return "empty"
+
+    def ratio(x):
+        return len(x) / len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(x))
+
+    def low(n):
+        return 1.05 + 0.2 * math.log2(n / 256) if n <= 256 else min(1.5, 1.05 + 0.12 * math.log2(n / 256))
+
+    def high(n):
+        return max(1, 2.6 + 0.42 * math.log2(n / 256))
+
+    if ratio(raw) > high(len(raw)):
+        return "repetitive"
+    if ratio(raw) < low(len(raw)):
+        return "incompressible"
+    chunks = [raw[i : i + 2048] for i in range(0, len(raw), 2048)]
+    bad = sum(len(c) for c in chunks if ratio(c) > high(len(c)) + 0.35 or ratio(c) < low(len(c)) - 0.1)
+    return "chunks" if bad > 0.34 * len(raw) else "ok"
+
+
 def brute_shingles(text: str | None) -> frozenset:
     words = WORDS.findall((text or "").translate(LOWER))
     if not words:

@@ -2,10 +2,11 @@
 
 `score_documents` reads every text once in its own partition: no shuffle, no state between texts,
 so the cost is linear and a lost executor only repeats its own tasks. Ratios are of whole
-documents and of fixed chunks; limits depend on length, as short inputs compress less.
+documents and of fixed chunks; limits depend on length, as short inputs compress less. Every text and every chunk
+is judged, of whatever length.
 
-Defined cases: a null text has no words and is rejected; so is an empty one. Repeated rows are
-judged each by itself. An empty table gives an empty result. Columns of the input other than the id
+Defined cases: a null text has no words and is rejected; so is an empty one. A very long text is one row of its own
+batch and is compressed whole and in chunks. Repeated rows are judged each by itself. An empty table gives an empty result. Columns of the input other than the id
 and the text are kept only where `keep` names them; new columns replace columns of the same name.
 """
 
@@ -36,29 +37,28 @@ RESULT = (
 class Bands:
     """Limits of ratios, which are raw bytes divided by compressed bytes.
 
-    With d = log2(n / unit), 0 at least, a text of n bytes may have a ratio from
-    `low + low_slope * d` (`low_most` at most) to `base + slope * d`.
-    Texts under `least` bytes compress too unevenly to judge by themselves and pass. Chunks of
-    `chunk` bytes (the last takes what is left, if it has half as many) have limits of their own, and a text is
-    rejected if more than `bad_share` of its chunks are beyond them.
+    With d = log2(n / unit), a text of n bytes may have a ratio from `low + low_slope * d` (`low_most` at most;
+    `short_slope` counts below `unit`, where compression gains little and a text may even grow) to `base + slope * d`, 1 at least.
+    Chunks are of `chunk` bytes, the last of what is left, and a shorter text is one chunk. Each has the limits of its own length,
+    wider by `chunk_below` and `chunk_above`; a text is rejected if more than `bad_share` of its bytes are in chunks beyond them.
     """
 
     level: int = 3
-    least: int = 200
     unit: int = 256
     low: float = 1.05
     low_slope: float = 0.12
+    short_slope: float = 0.2
     low_most: float = 1.5
     base: float = 2.6
     slope: float = 0.42
     chunk: int = 2048
-    chunk_low: float = 1.2
-    chunk_high: float = 4.2
+    chunk_below: float = 0.1
+    chunk_above: float = 0.35
     bad_share: float = 0.34
 
-    def whole(self, n: int) -> tuple[float, float]:
-        d = max(0.0, math.log2(n / self.unit))
-        return min(self.low_most, self.low + self.low_slope * d), self.base + self.slope * d
+    def limits(self, n: int) -> tuple[float, float]:
+        d = math.log2(max(1, n) / self.unit)
+        return min(self.low_most, self.low + (self.low_slope if d > 0 else self.short_slope) * d), max(1.0, self.base + self.slope * d)
 
 
 def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -89,23 +89,29 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def bands_of(raw: bytes, pack: zstandard.ZstdCompressor, bands: Bands) -> tuple[float, float, float, int, int, str]:
-    """Ratio and limits of the whole text, chunks judged and beyond limits, and the verdict."""
+    """Ratio and limits of the whole text, its chunks and those beyond limits, and the verdict."""
     n = len(raw)
-    if n < bands.least:
-        return (n / len(pack.compress(raw)) if n else 0.0), 0.0, math.inf, 0, 0, "short"
+    if not n:
+        return 0.0, *bands.limits(0), 0, 0, "empty"
     ratio = n / len(pack.compress(raw))
-    low, high = bands.whole(n)
-    chunks = [raw[i : i + bands.chunk] for i in range(0, n, bands.chunk)] if n >= 2 * bands.chunk else []
-    if chunks and len(chunks[-1]) < bands.chunk // 2:
-        chunks.pop()
-    bad = sum(not bands.chunk_low <= len(c) / len(pack.compress(c)) <= bands.chunk_high for c in chunks)
+    low, high = bands.limits(n)
+    usual_low, usual_high = bands.limits(bands.chunk)
+    chunks = bad = bad_bytes = 0
+    for i in range(0, n, bands.chunk):
+        piece = raw[i : i + bands.chunk]
+        least, most = (usual_low, usual_high) if len(piece) == bands.chunk else bands.limits(len(piece))
+        own = ratio if len(piece) == n else len(piece) / len(pack.compress(piece))
+        chunks += 1
+        if not least - bands.chunk_below <= own <= most + bands.chunk_above:
+            bad += 1
+            bad_bytes += len(piece)
     if ratio > high:
         verdict = "repetitive"
     elif ratio < low:
         verdict = "incompressible"
     else:
-        verdict = "chunks" if bad > bands.bad_share * len(chunks) else "ok"
-    return ratio, low, high, len(chunks), bad, verdict
+        verdict = "chunks" if bad_bytes > bands.bad_share * n else "ok"
+    return ratio, low, high, chunks, bad, verdict
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), bands: Bands | None = None) -> DataFrame:
@@ -127,7 +133,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             raw = data.tobytes()
             judged = [bands_of(raw[a:b], pack, bands) for a, b in zip(at[:-1], at[1:], strict=True)]
             cols = list(zip(*judged, strict=True)) or [[]] * 6
-            kept = ~failed & np.array([v in ("ok", "short") for v in cols[5]], bool)
+            kept = ~failed & np.array([v == "ok" for v in cols[5]], bool)
             arrays = [*batch.columns[: len(carried)], *(pa.array(out[c], pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))]
             arrays += [pa.array(failed), pa.array(kept), *(pa.array(cols[i], pa.float64()) for i in range(3)), *(pa.array(cols[i], pa.int64()) for i in (3, 4)), pa.array(cols[5], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
