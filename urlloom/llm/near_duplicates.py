@@ -6,17 +6,20 @@
 2. Texts with equal sets form a class, which its smallest id stands for. Copies cost one row from then on.
 3. `bands` keys of `rows` signature places each. In each bucket every member is paired with the bucket's smallest id
    only, so pairs grow with members. Pairs whose signatures agree in too few places go; the others are
-   verified on full sets. Links make components.
-4. Buckets whose members are still in several components form clusters. These are compared in cells of bounded size, across
-   components alone, with the same two tests, and give out only links that join components. So every pair that shares a
-   bucket is either in one component or was judged.
-
-With 32 bands of 4 a pair of similarity 0.75 shares no bucket with probability 5e-6, and one at 0.75 with an
-estimate under `estimate` is 4 standard deviations away (SuperMinHash has less variance than independent minima). There is no
+   verified on full sets. Links make components. A pivot of many partners is dealt in several copies.
+4. Buckets whose members are still in several components are compared in cells, across components alone, with the same
+   two tests, and give out only links that join components. Buckets that share members make a cluster; a cluster that
+   fits into a cell is one, and of a larger one each bucket is a cell, or each pair of its blocks if it is
+   too large as well. A pair is verified in the first bucket that it shares. So every pair that shares a bucket is either in one
+   component or was judged. Cells are bounded by the bytes of their members' sets.
+
+With 32 bands of 4 a pair of similarity 0.75 shares no bucket with probability 5e-6, and has signatures that agree in
+less than `estimate` of the places with 5e-8 (binomial; SuperMinHash has less variance than independent minima). There is no
 cap on buckets, candidates or partners, and nothing of the corpus goes to the driver.
 
 Defined cases: texts without words have an empty set and are linked with nothing; texts of fewer than five words
-are one shingle; rows without id are linked with nothing and kept; rows that repeat an id are one node, linked by any
+are one shingle; a very long text's signature is made `ELEMENTS` elements at a time, and it may be a block by itself; rows
+without id, or with an id that is no whole number, are linked with nothing and kept; rows that repeat an id are one node, linked by any
 of their texts; an empty table gives an empty result. Only the id and the columns in `keep` are carried.
 """
 
@@ -31,14 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import columns_of, components, dropped, prepare, release, saved
+from .common import columns_of, components, dropped, prepare, saved
 
 U = np.uint64
 K = 5
 #: Elements whose permutations are in memory at once.
 ELEMENTS = 100_000
-#: Members of a cluster's block; a cell holds two blocks.
-CELL = 500
+#: Bytes of the shingle sets of a cell.
+CELL = 8 << 20
+#: Partners of one pivot that meet in one place.
+PARTNERS = 2000
 
 
 @dataclass(frozen=True)
@@ -46,7 +51,7 @@ class Banding:
     bands: int = 32
     rows: int = 4
     similarity: int = 75
-    estimate: float = 0.6
+    estimate: float = 0.55
 
     @property
     def places(self) -> int:
@@ -156,15 +161,27 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str], b
     return picked.mapInArrow(run, schema)
 
 
+def meeting(pairs: DataFrame, things: DataFrame, name: str) -> DataFrame:
+    """Pairs (a, b) with what `things` (id, name) has for both, as name_a and name_b.
+
+    A pivot b of many partners gets a copy for every PARTNERS of them, so that these meet it in different places.
+    """
+    fans = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("fan"))
+    copy = F.coalesce(F.pmod(F.xxhash64("a"), F.col("fan")).cast("int"), F.lit(0))
+    dealt_ = pairs.join(fans.where("fan > 1"), "b", "left").select("a", "b", copy.alias("copy"))
+    there = things.join(fans.withColumnRenamed("b", "id"), "id").select(F.col("id").alias("b"), F.col(name).alias(f"{name}_b"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("copy"))
+    here = things.select(F.col("id").alias("a"), F.col(name).alias(f"{name}_a"))
+    return dealt_.join(here, "a").join(there, ["b", "copy"]).select("a", "b", f"{name}_a", f"{name}_b")
+
+
 def likely(pairs: DataFrame, reps: DataFrame, b: Banding) -> DataFrame:
     """Pairs (a, b) whose signatures agree in enough places."""
-    sigs = reps.select("rep", "sig")
-    both = pairs.join(sigs.withColumnsRenamed({"rep": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
+    both = meeting(pairs, reps.select(F.col("rep").alias("id"), "sig"), "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, _ = columns_of(batch, "sa")
-            y, _ = columns_of(batch, "sb")
+            x, _ = columns_of(batch, "sig_a")
+            y, _ = columns_of(batch, "sig_b")
             same = (x == y).reshape(batch.num_rows, -1).mean(1) if batch.num_rows else np.zeros(0)
             yield batch.select(["a", "b"]).filter(pa.array(same >= b.estimate))
 
@@ -180,12 +197,12 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, b: Ban
     """Pairs that are links, judged on full sets. The texts of ids in pairs are gathered once."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     texts = saved(texts_of(ids, docs, id_col, text_col), "texts")
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "t": "tb"}), "b").select("a", "b", "ta", "tb")
+    both = meeting(pairs, texts, "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            (oa, sa), (ob, sb) = shingle_sets(*columns_of(batch, "ta")), shingle_sets(*columns_of(batch, "tb"))
+            (oa, sa), (ob, sb) = shingle_sets(*columns_of(batch, "t_a")), shingle_sets(*columns_of(batch, "t_b"))
             na, nb = np.bincount(oa, minlength=n), np.bincount(ob, minlength=n)
             key = np.sort(np.concatenate([tk.mix(s ^ tk.mix(o.astype(U) + U(1))) for o, s in ((oa, sa), (ob, sb))]))
             twice = key[1:][key[1:] == key[:-1]]
@@ -200,69 +217,77 @@ def linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, b: Ban
     return out
 
 
-def cell_links(rep: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, owner: np.ndarray, sets: np.ndarray, b: Banding) -> list[tuple[int, int]]:
-    """Links that join components of a cell: likeliest pairs first, and none between components that are joined already."""
+def cell_links(rep: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, owner: np.ndarray, sets: np.ndarray, b: Banding, keys: np.ndarray | None = None, key: int = 0) -> list[tuple[int, int]]:
+    """Links that join components of a cell: likeliest pairs first, and none between components that are joined already.
+
+    With keys (those of each member), only pairs are judged whose first common key is `key`.
+    """
     n = len(rep)
     bounds = np.searchsorted(owner, np.arange(n + 1))
     size = np.diff(bounds)
-    parent = {c: c for c in set(comp.tolist())}
-
-    def find(c):
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
+    root = np.unique(comp, return_inverse=True)[1]
     out = []
     for i in left.tolist():
-        own = find(int(comp[i]))
-        roots = np.array([find(c) for c in comp[right].tolist()], np.int64)
-        other = right[(roots != own) & (rep[right] != rep[i])]
+        other = right[(root[right] != root[i]) & (rep[right] != rep[i])]
+        # sizes alone may rule a link out
+        other = other[100 * np.minimum(size[other], size[i]) >= b.similarity * np.maximum(size[other], size[i])]
         if not len(other):
             continue
         same = (sig[other] == sig[i]).mean(1)
-        # sizes alone may rule a link out
-        small, large = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
-        likely_ = np.flatnonzero((same >= b.estimate) & (100 * small >= b.similarity * large))
-        other = other[likely_[np.argsort(-same[likely_], kind="stable")]]
+        enough = np.flatnonzero(same >= b.estimate)
+        other = other[enough[np.argsort(-same[enough], kind="stable")]]
+        if keys is not None and len(other):
+            common = keys[other] == keys[i]
+            other = other[keys[i][common.argmax(1)] == key]
         mine = np.sort(sets[bounds[i] : bounds[i + 1]])
         for j in range(0, len(other), 64):
-            part = [o for o in other[j : j + 64].tolist() if find(int(comp[o])) != find(int(comp[i]))]
-            if not part:
+            part = other[j : j + 64]
+            part = part[root[part] != root[i]]
+            if not len(part):
                 continue
-            theirs = np.concatenate([sets[bounds[o] : bounds[o + 1]] for o in part])
+            theirs = np.concatenate([sets[bounds[o] : bounds[o + 1]] for o in part.tolist()])
             at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
             common = np.bincount(np.repeat(np.arange(len(part)), size[part])[mine[at] == theirs], minlength=len(part))
-            for o, k in zip(part, common.tolist(), strict=True):
-                if k and 100 * k >= b.similarity * (size[i] + size[o] - k):
-                    x, y = find(int(comp[i])), find(int(comp[o]))
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        out.append((int(rep[i]), int(rep[o])))
+            linked_ = (common > 0) & (100 * common >= b.similarity * (size[i] + size[part] - common))
+            for o in part[linked_].tolist():
+                if root[o] != root[i]:
+                    root[root == root[o]] = root[i]
+                    out.append((int(rep[i]), int(rep[o])))
     return out
 
 
-def across(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, b: Banding) -> DataFrame:
-    """Links between different components of a cluster: members are (cluster, rep, comp, sig).
+def across(unsettled: DataFrame, clusters: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, b: Banding) -> DataFrame:
+    """Links between different components of a bucket: unsettled has (key, rep, comp), clusters (rep, cluster).
 
-    A cluster of more than CELL members is cut into blocks, and each pair of blocks is a cell of its own, with its members' texts.
     A cell gives out only links that join components, so fewer than it has members.
     """
-    texts = texts_of(members.select(F.col("rep").alias("id")), docs, id_col, text_col)
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(texts.withColumnRenamed("id", "rep").hint("merge"), "rep")
-    cells = placed.select("cluster", "rep", "comp", "sig", "t", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    cells = cells.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("own"), "rep", "comp", "sig", "t")
+    weight = (8 * F.col("__loom_n") + 1024).alias("bytes")
+    members = unsettled.select("rep", "comp").distinct().join(clusters, "rep").join(classes.select("rep", "sig", "keys", weight), "rep")
+    sizes = members.groupBy("cluster").agg(F.sum("bytes").alias("all_bytes"))
+    members = saved(members.join(sizes, "cluster"), "members")
+    small = members.where(F.col("all_bytes") <= CELL).select(F.lit(False).alias("large"), F.col("cluster").alias("unit"), "rep", "comp", "sig", "keys", F.lit(1).alias("blocks"))
+    large = members.where(F.col("all_bytes") > CELL).drop("comp", "cluster", "all_bytes").join(unsettled, "rep")
+    blocks = large.groupBy("key").agg(F.ceil(2 * F.sum("bytes") / CELL).cast("int").alias("blocks"))
+    # two blocks fill a cell; a bucket that fits into one is not cut
+    blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
+    large = large.join(blocks, "key").select(F.lit(True).alias("large"), F.col("key").alias("unit"), "rep", "comp", "sig", "keys", "blocks")
+    placed = small.unionByName(large).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    texts = saved(texts_of(members.select(F.col("rep").alias("id")), docs, id_col, text_col), "texts")
+    cells = placed.join(texts.withColumnRenamed("id", "rep").hint("merge"), "rep").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    cells = cells.select("large", "unit", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("own"), "rep", "comp", "sig", "keys", "t")
 
     def run(table: pa.Table) -> pa.Table:
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
         own, rep, comp = (np.asarray(table[c].to_numpy()) for c in ("own", "rep", "comp"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1) if table["large"][0].as_py() else None
         owner, sets = shingle_sets(*columns_of(table.select(["t"]).combine_chunks().to_batches()[0], "t"))
-        found = cell_links(rep, comp, np.flatnonzero(own == x), np.flatnonzero(own == y), sig, owner, sets, b)
+        found = cell_links(rep, comp, np.flatnonzero(own == x), np.flatnonzero(own == y), sig, owner, sets, b, keys, table["unit"][0].as_py())
         return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
 
-    return cells.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    out = saved(cells.groupBy("large", "unit", "x", "y").applyInArrow(run, "a long, b long").distinct(), "links")
+    dropped(members, texts)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), banding: Banding | None = None) -> DataFrame:
@@ -288,11 +313,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unsettled = saved(named.join(open_keys, "key", "left_semi"), "unsettled")
     ties = unsettled.join(pivots, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     clusters = components(ties, "clusters")
-    members = unsettled.select("rep", "comp").distinct().join(clusters.withColumnsRenamed({"node": "rep", "root": "cluster"}), "rep").join(classes.select("rep", "sig"), "rep")
-    extra = saved(across(members, docs, id_col, text_col, b), "links")
+    extra = across(unsettled, clusters.withColumnsRenamed({"node": "rep", "root": "cluster"}), classes, docs, id_col, text_col, b)
     groups = saved(components(links.unionByName(extra).unionByName(copies)), "groups")
     dropped(keyed, near, unsettled, first, links, extra, classes)
-    release(spark)
     out = rows.join(groups.withColumnsRenamed({"node": "__loom_node", "root": "__loom_root"}), node == F.col("__loom_node"), "left")
     return out.select(
         F.col(f"`{id_col}`"),
