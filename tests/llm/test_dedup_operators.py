@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 
 from urlloom.llm import near_duplicates as nd
+from urlloom.llm import suffix_dedup
+from urlloom.llm.common import components
 from urlloom.llm.near_duplicates import Banding, near_duplicates, signatures
-from urlloom.llm.passage_dedup import Rules, chains, passages, qualifying, repeated_passages
-from urlloom.llm.suffix_dedup import refined, substrings_removed
+from urlloom.llm.passage_dedup import Rules, chains, gap_matches, passages, qualifying, repeated_passages
+from urlloom.llm.suffix_dedup import substrings_removed, suffix_order, window_classes
 
 from . import fixtures as fx
 
@@ -35,15 +37,42 @@ def test_substrings_of_small_alphabets(spark):
     assert substrings_removed(df.where("false")).count() == 0
 
 
-def test_refinement_gives_equal_buckets_for_equal_windows():
+@pytest.mark.parametrize("together", [7, 100, 1 << 18])
+def test_refinement_orders_suffixes(together):
     rng = random.Random(1)
-    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 90))).encode() for _ in range(50)] * 2
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 90))).encode() for _ in range(50)] * 2 + [b"a" * 120, b"ab" * 70, b"a" * 50, bytes(130), bytes(60)]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     joined = b"".join(texts)
-    place, bucket = refined(np.frombuffer(joined, np.uint8), at)
+    data = np.frombuffer(joined, np.uint8)
+    order, left = suffix_order(data, at, together=together)
+    # an end of text is below every byte
+    suffixes = [[x + 1 for x in joined[p : p + min(n, 50)]] for p, n in zip(order.tolist(), left[order].tolist(), strict=True)]
+    assert sorted(order.tolist()) == list(range(len(joined))) and suffixes == sorted(suffixes)
+    place, first = window_classes(data, at, together=together)
     windows = [joined[p : p + 50] for p in place.tolist()]
-    order = {w: i for i, w in enumerate(sorted(set(windows)))}
-    assert [order[w] for w in windows] == bucket.tolist()
+    assert [a != b for a, b in zip(windows, windows[1:], strict=False)] == first[1:].tolist()
+    assert len(set(windows)) == first.sum() and len(windows) == sum(max(0, len(t) - 49) for t in texts)
+
+
+@pytest.mark.parametrize("how", [{"hot_blocks": 1}, {"hot_blocks": 2, "most_groups": 3, "place_bytes": 500}, {"most_groups": 1, "place_bytes": 3000}, {"hot_blocks": 3, "place_bytes": 700, "group_bytes": 2000}])
+def test_hot_anchors_and_several_places_for_a_group(spark, how, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", 4)
+    rng, words = random.Random(5), fx.vocabulary(5)
+    common = fx.prose(rng, words, 60)
+    rows = [fx.prose(rng, words, rng.randint(5, 60)) + (" " + common + " " if i % 3 == 0 else " ") + fx.prose(rng, words, rng.randint(5, 60)) for i in range(90)]
+    df = fx.docs(spark, rows + rows[:7])
+    got = substrings_removed(df, block_bytes=1500, **how).collect()
+    assert fx.ordered(got) == fx.ordered(fx.brute_removed(pairs(df)))
+
+
+def test_texts_beyond_a_segment(spark):
+    rng, words = random.Random(8), fx.vocabulary(8, 6000)
+    long = fx.prose(rng, words, 320_000)
+    texts = {1: long[700_000:700_400], 2: long, 3: long[-900:], 4: long[:1_500_000]}
+    size = {i: len(t.encode()) for i, t in texts.items()}
+    got = {r.doc_id: r for r in substrings_removed(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert size[2] > 2 << 20 and {i: r.n_bytes for i, r in got.items()} == size
+    assert {i: r.n_removed for i, r in got.items()} == {1: 0, 2: size[1], 3: size[3], 4: size[4]}
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -60,8 +89,11 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(df.where("false")).count() == 0
 
 
-def test_a_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(nd, "CELL", 20)
+@pytest.mark.parametrize("cell", [1 << 13, 1 << 16, 8 << 20])
+def test_a_large_group_of_near_copies(spark, monkeypatch, cell):
+    """Clusters that fit into a cell, buckets that do, and buckets in blocks; pivots of many partners in several copies."""
+    monkeypatch.setattr(nd, "CELL", cell)
+    monkeypatch.setattr(nd, "PARTNERS", 7)
     rng, words = random.Random(11), fx.vocabulary(11)
     base = fx.prose(rng, words, 120)
     rows = [fx.changed(rng, words, base, 0.015 * (i % 5)) for i in range(120)] + [base] * 20 + [fx.prose(rng, words, 100) for _ in range(30)]
@@ -70,6 +102,13 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == fx.brute_components(pairs(df))
 
 
+def test_components_of_long_paths(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + 2 * i + j) for i in range(1, 60) for j in (0, 1)] + [(5, 5), (None, 3), (7, None)]
+    random.Random(2).shuffle(edges)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(40)).collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1001 for i in range(1, 120)}}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(5)
     errors = []
@@ -100,6 +139,39 @@ def test_chains_are_collinear():
     assert all((np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() for c in found)
 
 
+def test_chains_have_the_best_score():
+    """The Fenwick tree against all pairs."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 30, 80):
+        for _ in range(12):
+            x, y = rng.integers(0, 3 * n, n), rng.integers(0, 3 * n, n)
+            x, y = np.unique(np.stack([x, y]), axis=1)
+            rules = Rules(least_seeds=1, least_words=0, gap_cost=0.1)
+            best: dict[int, float] = {}
+            for i in np.lexsort((y, x)).tolist():
+                before = [best[j] - 0.1 * (x[i] - x[j] + y[i] - y[j]) for j in best if x[j] < x[i] and y[j] < y[i]]
+                best[i] = 5 + max([0.0, *before])
+            first = chains(x, y, rules)[0]
+            score = 5 * len(first) - 0.1 * (x[first[-1]] - x[first[0]] + y[first[-1]] - y[first[0]])
+            assert abs(score - max(best.values())) < 1e-9
+
+
+def test_gaps_are_aligned_at_any_size():
+    rng = np.random.default_rng(4)
+    for n, m, k in ((3, 5, 4), (20, 30, 6), (190, 191, 400), (250, 201, 5), (400, 390, 50)):
+        a, b = rng.integers(0, k, n), rng.integers(0, k, m)
+        table = np.zeros((n + 1, m + 1), int)
+        for i in range(n):
+            for j in range(m):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        taken = gap_matches(a, b)
+        assert taken.sum() == table[n, m]
+        rest = iter(b.tolist())
+        assert all(w in rest for w in a[taken].tolist())
+    shared = rng.integers(0, 10**9, 200)
+    assert gap_matches(np.concatenate([shared[:100], rng.integers(0, 10**9, 50), shared[100:]]), np.concatenate([[1], shared])).sum() == 200
+
+
 def planted(seed: int = 6):
     """(rows, where the passage begins in words, its length): clean texts, exact and fuzzy repeats, a passage in two halves."""
     rng, words = random.Random(seed), fx.vocabulary(seed, 8000)

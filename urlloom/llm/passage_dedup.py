@@ -11,20 +11,24 @@
    makes at most n matches, all with its first document, and one message for each block.
 3. A document's matches with one earlier document, of a long seed its first and last K words, are chained: matches in the order of their places here, a Fenwick tree
    over places there for the best chain to append to, and a cost for the gaps on both sides.
-4. Chains go to the block of the earlier document with the words around them, and are aligned: between matches,
-   and beyond the ends as far as the score does not drop.
+4. Chains go to the block of the earlier document with `FLANK` words on each side, and are aligned: between matches,
+   and beyond the ends as far as the score does not drop within those words. An equal stretch never reaches further from its
+   last long seed; a changed one may, where for `FLANK` words no ten that follow each other are equal. Gaps of more than
+   `BRIDGE` words divide an alignment into stretches, which are judged each by itself.
 5. Aligned stretches that follow each other closely in a document are one passage, even where different earlier
    documents have its parts. Its parts of `min_words` words with `identity` or more equal words are cut from the
    document, an equal run of `min_words` always; their first occurrence stays.
 
 Defined cases: words are runs of letters, digits and characters beyond ASCII, with A-Z in lower case. Null texts have none; a
 document without id takes and loses nothing; rows of the same id do not match each other; an empty table gives an
-empty result. Only the id and the columns in `keep` are carried.
+empty result; a very long text is a block by itself and is handled whole; of equal seeds in one document the first counts.
+Ids that are not whole numbers count as missing. Only the id and the columns in `keep` are carried.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import dealt, dropped, plan_bytes, prepare, release, saved
+from .common import dealt, dropped, plan_bytes, prepare, saved
 from .suffix_dedup import BLOCK, TOP, pack, packed_blocks, stretches, unpack
 
 U = np.uint64
@@ -207,29 +211,35 @@ def chains(x: np.ndarray, y: np.ndarray, rules: Rules) -> list[np.ndarray]:
 
 
 def gap_matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which words of a an alignment of two short stretches can make equal: a longest common subsequence."""
+    """Which words of a an alignment of two stretches can make equal: a longest common subsequence.
+
+    It is the longest chain of pairs of equal words that increases on both sides, found by bisection over the
+    least last word of chains of each length: n log n for the n pairs, whatever the sizes.
+    """
     taken = np.zeros(len(a), bool)
     if not len(a) or not len(b):
         return taken
-    if len(a) == len(b):
-        same = a == b
-        if 2 * same.sum() >= len(a) or len(a) * len(b) > 40_000:
-            return same
-    if len(a) * len(b) > 40_000:
-        return taken
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    for k, w in enumerate(a):
-        diagonal = np.where(b == w, table[k, :-1] + 1, 0)
-        table[k + 1, 1:] = np.maximum.accumulate(np.maximum(table[k, 1:], diagonal))
-    i, j = len(a), len(b)
-    while table[i, j]:
-        if table[i - 1, j] == table[i, j]:
-            i -= 1
-        elif table[i, j - 1] == table[i, j]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            taken[i] = True
+    if np.array_equal(a, b):
+        return ~taken
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, side="right")
+    ends: list[int] = []
+    last: list[int] = []
+    links: list[tuple[int, int]] = []
+    for i in np.flatnonzero(high > low).tolist():
+        # of one word here the later words there come first, so that it is in a chain once
+        for j in order[low[i] : high[i]][::-1].tolist():
+            at = bisect_left(ends, j)
+            links.append((i, last[at - 1] if at else -1))
+            if at == len(ends):
+                ends.append(j)
+                last.append(len(links) - 1)
+            else:
+                ends[at], last[at] = j, len(links) - 1
+    k = last[-1] if last else -1
+    while k >= 0:
+        i, k = links[k]
+        taken[i] = True
     return taken
 
 
@@ -273,8 +283,8 @@ def align(here: np.ndarray, there: np.ndarray, x: np.ndarray, y: np.ndarray, rul
         equal = here[a:e] == there[b : b + e - a]
         if out:
             gap = (a - out[-1][1], b - out[-1][4])
-            inside = gap_matches(here[out[-1][1] : a], there[out[-1][4] : b])
-            if max(gap) <= BRIDGE and (max(gap) <= 3 or 2 * inside.sum() + (e - a) >= max(gap)):
+            inside = gap_matches(here[out[-1][1] : a], there[out[-1][4] : b]) if max(gap) <= BRIDGE else None
+            if inside is not None and (max(gap) <= 3 or 2 * inside.sum() + (e - a) >= max(gap)):
                 out[-1][2] += [inside, equal]
                 out[-1][1], out[-1][4] = e, b + e - a
                 continue
@@ -552,7 +562,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return out
 
     dropped(answers)
-    release(spark)
     return by_block.cogroup(found.where("kind = 3").unionByName(replies).groupBy("block")).applyInArrow(cut, result)
 
 
