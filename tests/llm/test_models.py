@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from urlloom.llm import toxicity as tox
 from urlloom.llm.cotraining import quality_scores
@@ -189,7 +190,9 @@ def test_cotraining_on_held_out_rows(spark):
 def test_cotraining_of_odd_tables(spark):
     df = fx.docs(spark)
     labels = spark.createDataFrame([(i, [0, 1, None, 7][i % 4]) for i in range(60)] + [(None, 1), (999, 1), (0, 1), (0, 0)], "doc_id long, quality int")
-    rows = quality_scores(df, labels, keep=["lang", "score", "kept"]).collect()
-    assert len(rows) == df.count() and all(0 <= r.score <= 1 for r in rows)
+    rows = quality_scores(df.withColumn("__loom_c", F.col("lang")).withColumn("k0", F.col("source")), labels, keep=["lang", "score", "kept", "__loom_c", "k0"])
+    assert rows.columns == ["doc_id", "lang", "kept", "__loom_c", "k0", "held_out", "content_score", "metadata_score", "score", "predicted"]
+    rows = rows.collect()
+    assert len(rows) == df.count() and all(0 <= r.score <= 1 for r in rows) and all(r.lang == r["__loom_c"] for r in rows)
     assert {r.score for r in quality_scores(df, labels.where("false")).collect()} == {0.0}
     assert quality_scores(df.where("false"), labels).count() == 0

@@ -10,7 +10,8 @@ Normalizer and pre-tokenizer are those of the tokenizer file. Where pre-tokens c
 blank-separated pieces are encoded once and kept in a bounded two-generation cache.
 
 Defined cases: a null text counts as empty and has no tokens; special tokens' strings inside texts become
-their ids, as the tokenizers library has it; repeated rows are encoded each by itself; an empty table
+their ids, as the tokenizers library has it; repeated rows are encoded each by itself; a very long text is a batch of its own, and
+a very long pre-token has a tree of its own; of equal ranks the leftmost pair is merged; an empty table
 gives an empty result. Only the id and the columns in `keep` are carried.
 """
 
@@ -49,6 +50,11 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def _blanks(step: dict) -> bool:
+    """Whether a normalizer's step makes one blank of white space."""
+    return step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+
+
 class BPE:
     """A byte-level BPE of a tokenizers file."""
 
@@ -85,18 +91,23 @@ class BPE:
         self.decoder = (spec.get("decoder") or {}).get("type")
         if self.decoder not in (None, "ByteLevel"):
             raise ValueError("unknown decoder")
-        self.blank = self._blank_splits(spec)
+        normalizer = spec.get("normalizer") or {}
+        steps = normalizer["normalizers"] if normalizer.get("type") == "Sequence" else [normalizer] if normalizer else []
+        self.blank = self._blank_splits(spec, steps)
+        #: Whether all that the normalizer does to ASCII is to put it in lower case and to make blanks of white space.
+        self.simple = all(s["type"] in ("NFC", "Lowercase") or _blanks(s) for s in steps)
+        self.lowers = any(s["type"] == "Lowercase" for s in steps)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     @staticmethod
-    def _blank_splits(spec: dict) -> bool:
+    def _blank_splits(spec: dict, normalizers: list[dict]) -> bool:
         """Whether pre-tokens are matches of a pattern that excludes blanks, so that texts can be cut at blanks."""
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
         if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
             return False
         pattern = steps[0]["pattern"].get("Regex", "")
-        return not regex.search(r"\\s(?!\\p\{L\}\\p\{N\}\])| |\\S|\(\?|\^(?!\\s)", pattern) and '"Replace", "pattern": {"Regex": "\\\\s+"}, "content": " "' in json.dumps(spec.get("normalizer"))
+        return not regex.search(r"\\s(?!\\p\{L\}\\p\{N\}\])| |\\S|\(\?|\^(?!\\s)", pattern) and any(map(_blanks, normalizers))
 
     # -- merging -------------------------------------------------------------------------------
 
@@ -235,8 +246,9 @@ class BPE:
     def normalized(self, text: str) -> str:
         if self.normalizer is None:
             return text
-        if self.blank and text.isascii():  # NFC changes nothing; blanks become cuts anyway
-            return text.translate(ASCII_BLANKS).lower()
+        if self.blank and self.simple and text.isascii():  # NFC changes nothing; blanks become cuts anyway
+            text = text.translate(ASCII_BLANKS)
+            return text.lower() if self.lowers else text
         return self.normalizer.normalize_str(text)
 
     def pre_tokens(self, piece: str) -> list[bytes]:

@@ -13,7 +13,7 @@ conversation still meet in one task, since its digests are sequential; it does n
 
 Defined cases: null roles and texts are empty; rows without conversation id form one
 conversation with a null id; null turns come first; ties are ordered by role, then text; repeated
-rows are all turns. Other columns are not read.
+rows are all turns; a turn of any length is encoded whole; ids may be of any type. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -121,7 +121,9 @@ class Digest:
 def formatted(rows: DataFrame, path: str, loss_roles: tuple[str, ...] = ("assistant",), full: bool = False, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """One row for each conversation with digests of its output.
 
-    With `full`, one row for each segment instead: conv_id, segment, formatted text, ids, mask and the spans.
+    With `full`, one row for each segment of whole turns instead: conv_id, segment, the place where it begins in the
+    conversation's formatted text, formatted text, ids, mask, and spans, which count from the conversation's start. Segments
+    one after another are the conversation's text, ids and mask, wherever it is cut.
     """
     prepare(rows.sparkSession)
     roles = frozenset(loss_roles)
@@ -129,7 +131,7 @@ def formatted(rows: DataFrame, path: str, loss_roles: tuple[str, ...] = ("assist
     dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     key = picked.schema["conv_id"].dataType.simpleString()
     if full:
-        schema = f"conv_id {key}, segment long, formatted string, ids array<int>, loss_mask array<boolean>, spans array<array<long>>"
+        schema = f"conv_id {key}, segment long, begin long, formatted string, ids array<int>, loss_mask array<boolean>, spans array<array<long>>"
     else:
         schema = f"conv_id {key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long, ids_sha256 string"
 
@@ -153,7 +155,7 @@ def formatted(rows: DataFrame, path: str, loss_roles: tuple[str, ...] = ("assist
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, kind = tokenizer(path), None
-        digest, number, out = Digest(), 0, []
+        digest, number, reached, out = Digest(), 0, 0, []
         names = [x.split()[0] for x in schema.split(", ")]
 
         def flush():
@@ -174,8 +176,8 @@ def formatted(rows: DataFrame, path: str, loss_roles: tuple[str, ...] = ("assist
             offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
             masked = mask(spans, offsets)
             if full:
-                out.append((conv, number, text, got.ids, masked.tolist(), spans.tolist()))
-                number = 0 if last else number + 1
+                out.append((conv, number, reached, text, got.ids, masked.tolist(), (spans + reached).tolist()))
+                number, reached = (0, 0) if last else (number + 1, reached + len(text))
             else:
                 digest.add(text, got.ids, offsets, masked, spans)
                 if last:

@@ -11,7 +11,8 @@ depend on the input (gradients, second derivatives, histograms) reach the driver
 
 Rows whose crc32(id) mod 4 is 2 are held out, those with 1 calibrate, the others are fit. Defined cases: null texts are empty; null metadata is a value of
 its own; ids with contradicting labels count as unlabelled; labels other than 0 and 1 are ignored; repeated rows
-are each used and scored; without both classes among the labels every score is the share of label 1 (0 without labels); an empty
+are each used and scored; a very long text is a batch of its own; equal scores share a bucket of the histograms, so ties are pseudo-labelled
+together or not at all; ids may be of any type; without both classes among the labels every score is the share of label 1 (0 without labels); an empty
 table gives an empty result. Only the id and the columns in `keep` are carried.
 """
 
@@ -186,7 +187,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, metadata: Sequence[st
     lang, source, length = metadata
     bucket = lambda c, n: F.pmod(F.xxhash64(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000"))), F.lit(n)).cast("int")
     size = F.least(F.floor(F.log2(F.greatest(F.coalesce(F.col(f"`{length}`").cast("double"), F.lit(0.0)), F.lit(0.0)) + 1)).cast("int"), F.lit(METADATA[2] - 1))
-    carried = [c for c in dict.fromkeys([id_col, *keep]) if not c.startswith("__loom_")]
+    carried = list(dict.fromkeys([id_col, *keep]))
     picked = docs.select(*[F.col(f"`{c}`") for c in carried], F.array(bucket(lang, METADATA[0]), bucket(source, METADATA[1]), size).alias("__loom_m"), F.col(f"`{text_col}`").cast("string").alias("__loom_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]), "__loom_c array<double>"])
 
@@ -205,10 +206,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
     spark, schedule = docs.sparkSession, schedule or Schedule()
     prepare(spark)
     new = ("held_out", "content_score", "metadata_score", "score", "predicted")
-    keep = [c for c in keep if c not in new]
+    keep = [c for c in dict.fromkeys(keep) if c not in (id_col, *new)]
+    # what is kept is one column until the end, so that no name of it can clash
+    bundle = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)] or [F.lit(0).alias("none")]).alias("__loom_keep")
+    docs = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([id_col, text_col, *metadata])], bundle)
     known = labels.select(F.col(f"`{id_col}`").alias("__loom_id"), F.col(f"`{label}`").cast("int").alias("y")).where("y IN (0, 1)").groupBy("__loom_id").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = hi").select("__loom_id", F.col("lo").alias("__loom_label"))
     fold = F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(4)), F.lit(0))
-    joined = described(docs, id_col, text_col, metadata, keep).join(known, F.col(f"`{id_col}`") == F.col("__loom_id"), "left").drop("__loom_id")
+    joined = described(docs, id_col, text_col, metadata, ["__loom_keep"]).join(known, F.col(f"`{id_col}`") == F.col("__loom_id"), "left").drop("__loom_id")
     # -1: unlabelled; -2: for calibration; -3: held out, which is only scored
     y = F.when(fold == 2, -3).when(F.col("__loom_label").isNull(), -1).when(fold == 1, -2).otherwise(F.col("__loom_label"))
     table = saved(joined.withColumn("__loom_y", y.cast("int")).withColumn("held_out", fold == 2).withColumn("__loom_label", F.coalesce("__loom_label", F.lit(-1))), "features")
@@ -239,7 +243,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
         calibrated = [curve(neg, pos, prior) for neg, pos in h]
 
     shared = spark.sparkContext.broadcast((views, state.weights if state else None, calibrated, prior))
-    carried = [id_col, *keep, "held_out"]
+    carried = [id_col, "__loom_keep", "held_out"]
     scoring = table.select(*[F.col(f"`{c}`") for c in carried], "__loom_c", "__loom_m")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scoring.schema.fields[:-2]), "content_score double, metadata_score double, score double"])
 
@@ -255,7 +259,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
                 score = sigmoid(odds(both[0]) + odds(both[1]) - odds(np.array(prior)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(v, pa.float64()) for v in (*both, score))], names=[*carried, "content_score", "metadata_score", "score"])
 
-    return scoring.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    made = [F.col(c) for c in new[:-1]]
+    return scoring.mapInArrow(run, schema).select(F.col(f"`{id_col}`"), *[F.col("__loom_keep").getField(f"k{i}").alias(c) for i, c in enumerate(keep)], *made, (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def curve(negative: np.ndarray, positive: np.ndarray, prior: float) -> Isotonic:

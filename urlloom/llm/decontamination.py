@@ -13,7 +13,8 @@ broadcast; every block is matched against all documents, so no benchmark is too
 never shuffled.
 
 Defined cases: null texts have no words; an item without words has no window; a null item id counts
-as an empty string; repeated document rows are judged each by itself; items of the same id add up.
+as an empty string; repeated document rows are judged each by itself; items of the same id add up; of shingles that are
+equally rare the one with the smaller hash is the prefix; a very long text is a batch of its own and is read whole; ids may be of any type.
 Only the id and the columns in `keep` are carried, so clashing names cannot arise.
 """
 

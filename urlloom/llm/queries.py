@@ -12,11 +12,17 @@ from .cotraining import op2_quality_classifier
 from .decontamination import op10_benchmark_decontamination
 from .near_duplicates import op7_minhash_near_dedup
 from .passage_dedup import op1_substring_dedup
-from .quality_rules import op9_quality_rules
+from .quality_rules import op9_quality_rules, score_documents
 from .suffix_dedup import op3_suffix_array_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op8_toxicity
 
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the quality rules that SQL can express."""
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -28,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "quality_base_counts": quality_base_counts,
 }
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -80,6 +87,19 @@ WITH RECURSIVE w AS (
 ), c AS (SELECT a, min(z) AS c FROM r GROUP BY a)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id, w.doc_id = c AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.a = w.doc_id
+""",
+    "quality_base_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)
+), m AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1
+), r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest(generate_series(i, i + 4)) AS p FROM g JOIN m ON g.doc_id = m.doc_id AND g.g = m.g) GROUP BY 1
+), l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), c AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+) SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
 """,
     "op10_benchmark_decontamination": rf"""
 WITH d AS (
