@@ -8,8 +8,8 @@ a match at one place fixes where the window would start, which must lie inside t
 (length and position bounds); what is left is verified word by word.
 
 Corpus frequencies are counted over all documents in one pass, summed inside each task before they
-are shuffled. Items are handled in blocks of at most `block_bytes`, the proven size of what is
-broadcast; every block is matched against all documents, so no benchmark is too large. Documents are
+are shuffled. Items are handled in blocks of at most `block_bytes` of text (or one item); their windows, which take some 30 times
+that, are what is broadcast. Every block is matched against all documents, so no benchmark is too large. Documents are
 never shuffled.
 
 Defined cases: null texts have no words; an item without words has no window; a null item id counts
@@ -33,7 +33,7 @@ from . import textkernel as tk
 from .common import columns_of, prepare, with_text
 
 K = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -172,6 +172,18 @@ def match(docs: DataFrame, windows: Windows, prefixes: tuple, source: str, last_
     return docs.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in names]).schema)
 
 
+def block_count(texts: DataFrame, block_bytes: int) -> int:
+    """How many blocks items are dealt to by hash, so that none has more bytes than that, or it has one item."""
+    size = F.octet_length("t") + F.octet_length("id")
+    blocks = max(1, -(-(texts.agg(F.sum(size)).first()[0] or 0) // block_bytes))
+    while blocks > 1:
+        dealt = texts.groupBy(F.pmod(F.xxhash64("id", "t"), F.lit(blocks))).agg(F.sum(size).alias("bytes"), F.countDistinct("id", "t").alias("n"))
+        if (dealt.where("n > 1").agg(F.max("bytes")).first()[0] or 0) <= block_bytes:
+            break
+        blocks *= 2
+    return blocks
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of docs: id, the columns in keep, how many words are inside item windows, and which items."""
     spark = docs.sparkSession
@@ -181,8 +193,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     now, source = with_text(docs, carried, text_col)
     now = now.select("*", F.lit(0).cast("long").alias("__loom_n"), F.lit(None).cast("binary").alias("__loom_hits"), F.array().cast("array<string>").alias("__loom_items"))
     texts = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("t"))
-    total = texts.agg(F.sum(F.octet_length("t") + F.octet_length("id"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_bytes))
+    blocks = block_count(texts, block_bytes)
     for i in range(blocks):
         part = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == i)
         windows = Windows([(r.id, r.t) for r in part.toLocalIterator()], window)
