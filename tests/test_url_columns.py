@@ -125,11 +125,24 @@ def test_patterns_equal_the_kernel(frame):
         assert (r.m.asDict(True) if r.m else None) == want
 
 
+def spacious_engine(regex, ignore_case):
+    import re
+
+    return re.compile(regex, re.I)
+
+
+def test_patterns_of_another_engine(frame):
+    p = P.url_pattern({"pathname": "/(P|C)*"}, engine=spacious_engine)
+    rows = frame.select("url", P.url_pattern_test(p, "url").alias("t")).collect()
+    assert {r.url: r.t for r in rows} == {r.url: None if r.url is None else p.test(r.url) for r in rows} and any(r.t for r in rows)
+
+
 @pytest.mark.parametrize("unrolled", [64, 0])
 def test_routes_equal_tests(frame, monkeypatch, unrolled):
     """Patterns in one expression, and as a list."""
     monkeypatch.setattr(router, "UNROLLED", unrolled)
     own = [URLPattern("https://a.b/c*"), URLPattern("https://none.example/*"), URLPattern({"hostname": "a.b", "search": "x=1"}), URLPattern({"hostname": "a.b", "hash": "\\\\Q*"}), URLPattern({"hostname": "a.b", "pathname": "/p"}, ignore_case=True)]
+    own.append(URLPattern({"pathname": "/(P|C)*", "hostname": "a.b"}, engine=spacious_engine))
     named = [(f"p{i}", p) for i, p in enumerate([*PATTERNS, *own])]
     got = {(r.i, r.pattern_id) for r in route(frame, "url", named).select("i", "pattern_id").collect()}
     want = {(i, n) for i, u in enumerate(URLS + generated(1500)) if u is not None for n, p in named if p.test(u)}

@@ -164,3 +164,12 @@ def pattern_test_init_udf(pattern) -> Callable[..., Column]:
         return pattern.test({k: v for k, v in init.items() if v is not None})
 
     return batched(T.BooleanType(), of)
+
+
+def component_udf(component) -> Callable[..., Column]:
+    """Whether a component of a pattern matches, by its own engine."""
+
+    def of(text):
+        return component.match(text) is not None
+
+    return batched(T.BooleanType(), of)

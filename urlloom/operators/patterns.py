@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import native, udfs
 from ..functions.urls import _col, url_resolve, url_unless_plain
-from ..kernel.pattern import COMPONENTS, Component, URLPattern
+from ..kernel.pattern import COMPONENTS, Component, Engine, URLPattern
 
 #: Cheap and selective components first: conjunctions stop at the first that fails.
 ORDER = ("protocol", "port", "hostname", "pathname", "search", "hash", "username", "password")
 
 
-def url_pattern(pattern: str | dict, base_url: str | None = None, ignore_case: bool = False) -> URLPattern:
-    """Compiles a pattern on the driver."""
-    return URLPattern(pattern, base_url, ignore_case)
+def url_pattern(pattern: str | dict, base_url: str | None = None, ignore_case: bool = False, engine: Engine | None = None) -> URLPattern:
+    """Compiles a pattern on the driver. With another regular expression engine, its components are tested in Arrow functions."""
+    return URLPattern(pattern, base_url, ignore_case, engine)
 
 
 def component_test(component: Component, value: Column) -> Column:
@@ -26,6 +26,8 @@ def component_test(component: Component, value: Column) -> Column:
         return F.lit(True)
     if component.kind in ("empty", "exact"):
         return value == F.lit(component.exact)
+    if component.engine is not None:
+        return udfs.component_udf(component)(value)
     return value.rlike(rf"{'(?i)' if component.ignore_case else ''}\A(?:{component.regex})\z")
 
 

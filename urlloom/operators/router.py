@@ -56,9 +56,12 @@ def route(df: DataFrame, url: str, patterns: Sequence[tuple[str, URLPattern]], n
         raise ValueError("column names that begin with two underscores are reserved")
     hosts: dict[str, list[dict]] = {}
     others: list[int] = []
+    own: list[int] = []  # patterns with an engine of their own
     for i, (_, p) in enumerate(patterns):
         host = exact_hostname(p)
-        if host is None:
+        if any(c.engine for c in p.components.values()):
+            own.append(i)
+        elif host is None:
             others.append(i)
         else:
             hosts.setdefault(host, []).append(_rule(i, p) | {"hostname": None})
@@ -66,11 +69,11 @@ def route(df: DataFrame, url: str, patterns: Sequence[tuple[str, URLPattern]], n
     keep = [F.col(f"`{c}`") for c in df.columns]
     values = component_values(F.col("__u").getField)
     none = F.array().cast("array<int>")
-    if len(others) <= UNROLLED:
-        hits = F.filter(F.array(*[F.when(url_struct_test(patterns[i][1], F.col("__u")), F.lit(i)) for i in others]).cast("array<int>"), lambda x: x.isNotNull()) if others else none
-    else:
+    one_by_one = [*own, *others] if len(others) <= UNROLLED else own
+    hits = F.filter(F.array(*[F.when(url_struct_test(patterns[i][1], F.col("__u")), F.lit(i)) for i in one_by_one]).cast("array<int>"), lambda x: x.isNotNull()) if one_by_one else none
+    if len(others) > UNROLLED:
         rules = F.from_json(F.lit(json.dumps([_rule(i, patterns[i][1]) for i in others])), f"array<{_RULE}>")
-        hits = _matching(rules, values)
+        hits = F.concat(hits, _matching(rules, values))
     if hosts:
         table = spark.createDataFrame([(h, [tuple(r[k] for k in ("i", *COMPONENTS)) for r in rules]) for h, rules in hosts.items()], f"__host string, __rules array<{_RULE}>")
         rows = rows.join(table, values["hostname"] == F.col("__host"), "left")
