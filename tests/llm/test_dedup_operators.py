@@ -126,6 +126,28 @@ def test_signatures_estimate_similarity():
     assert (tiny[0] == tiny[1]).all() and not (tiny[0] == tiny[2]).any() and (tiny[3] == np.iinfo(np.uint64).max).all()
 
 
+def test_signatures_of_large_sets_in_several_rounds(monkeypatch):
+    rng = np.random.default_rng(6)
+    owner = np.repeat(np.arange(6), [1, 3000, 0, 700, 20, 5000])
+    elements = rng.integers(0, 2**63, len(owner), dtype=np.uint64)
+    want = signatures(owner, elements, 6, 128)
+    monkeypatch.setattr(nd, "ELEMENTS", 500)
+    assert (signatures(owner, elements, 6, 128) == want).all()
+
+
+def test_very_long_near_copies(spark):
+    rng, words = random.Random(14), fx.vocabulary(14, 6000)
+    long = [rng.choice(words) for _ in range(250_000)]
+    near, far = list(long), list(long)
+    for i in range(0, len(long), 60):
+        near[i] = "changed"
+    for i in range(0, len(long), 12):
+        far[i] = "changed"
+    rows = [(5, " ".join(long)), (9, " ".join(near)), (7, " ".join(far)), (8, " ".join(long[:100]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows[0][1]) > 1 << 20 and got == {i: (len(fx.brute_shingles(t)), {9: 5}.get(i, i)) for i, t in rows}
+
+
 def test_banding_parameters(spark):
     df = fx.docs(spark)
     strict = near_duplicates(df, banding=Banding(similarity=100)).where("NOT kept").count()
@@ -291,3 +313,17 @@ def test_passages_of_odd_rows(spark):
     assert removed[shared[0]] == 0 and all(removed[i] >= 68 for i in shared[1:])
     # a copy of a long text goes as a whole
     assert repeated_passages(df.where("false")).count() == 0
+
+
+def test_passages_of_very_long_texts(spark):
+    rng, words = random.Random(15), fx.vocabulary(15, 9000)
+    long = [rng.choice(words) for _ in range(250_000)]
+    first = [rng.choice(words) for _ in range(80)]
+    long[200_000:200_000] = first
+    fuzzy = list(long[50_000:50_300])
+    for i in range(5, 300, 20):
+        fuzzy[i] = "changed"
+    rows = [(1, " ".join(first)), (2, " ".join(long)), (3, " ".join(long[100_000:100_200])), (4, " ".join(["own"] + fuzzy + ["own"])), (5, " ".join(rng.choice(words) for _ in range(300)))]
+    got = {r.doc_id: (r.n_words, r.n_passages, r.n_removed_words) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows[1][1]) > 1 << 20 and got[1][1:] == got[5][1:] == (0, 0)
+    assert got[2] == (250_080, 1, 80) and got[3] == (200, 1, 200) and got[4][0] == 302 and 280 <= got[4][2] <= 300
