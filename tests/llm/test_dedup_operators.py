@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -65,6 +66,41 @@ def test_hot_anchors_and_several_places_for_a_group(spark, how, monkeypatch):
     assert fx.ordered(got) == fx.ordered(fx.brute_removed(pairs(df)))
 
 
+def test_work_on_a_group_does_not_grow_with_messages_times_places():
+    rng, inner = random.Random(8), 11
+    words = [bytes(rng.randrange(97, 123) for _ in range(60)) for _ in range(40)]
+    sent, notes = [], []
+    for _ in range(600):
+        mine = sorted((rng.randrange(2 * inner), rng.choice(words), rng.randrange(1000)) for _ in range(3))
+        mine = [(p, t[:50] if p >= inner else t, i) for p, t, i in mine]
+        sent.append(mine)
+        at = np.bincount([p for p, _, _ in mine], minlength=2 * inner).astype("<i4")
+        notes.append(suffix_dedup.pack(at, np.array([len(t) for _, t, _ in mine], "<i4"), np.array([i for *_, i in mine], "<i8"), b"".join(t for _, t, _ in mine)))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = suffix_dedup.group_answers(notes, inner)
+    finally:
+        sys.setprofile(None)
+    least: dict = {}
+    for p, t, i in (x for mine in sent for x in mine):
+        for j in range(len(t) - 49):
+            least[p, t[j : j + 50]] = min(i, least.get((p, t[j : j + 50]), i))
+    for mine, note in zip(sent, got, strict=True):
+        found = set()
+        if note is not None:
+            for j, a, n, v in zip(*(np.frombuffer(x, t).tolist() for x, t in zip(suffix_dedup.unpack(note), ("<i4", "<i4", "<i4", "<i8"), strict=True)), strict=True):
+                found |= {(j, a + k, v) for k in range(n)}
+        assert found == {(j, a, least[p, t[a : a + 50]]) for j, (p, t, i) in enumerate(mine) for a in range(len(t) - 49) if least[p, t[a : a + 50]] < i}
+    # some 45 for a message, whatever the number of places; loops over messages in each place would make 20 for each of 22 places
+    assert calls < 100 * len(notes), calls
+
+
 def test_texts_beyond_a_segment(spark):
     rng, words = random.Random(8), fx.vocabulary(8, 6000)
     long = fx.prose(rng, words, 320_000)

@@ -274,14 +274,18 @@ def smallest_ids(texts: list[bytes], ids: np.ndarray, window: int = WINDOW, toge
     return np.searchsorted(owner[cut], np.arange(len(texts) + 1)), place[cut] - at[owner[cut]], np.diff(np.append(cut, len(place))), value[cut]
 
 
+#: Made once: for a small message a new one takes longer than its bytes.
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(*arrays: np.ndarray | bytes) -> bytes:
     raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
     head = np.array([len(raw), *map(len, raw)], "<i8").tobytes()
-    return zstandard.compress(head + b"".join(raw), 1)
+    return _COMPRESS.compress(head + b"".join(raw))
 
 
 def unpack(packed: bytes) -> list[bytes]:
-    raw = zstandard.decompress(packed)
+    raw = _DECOMPRESS.decompress(packed)
     count = int(np.frombuffer(raw, "<i8", 1)[0])
     sizes = np.frombuffer(raw, "<i8", count, 8).tolist()
     out, at = [], 8 * (count + 1)
@@ -320,6 +324,44 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int
     return picked.mapInArrow(run, "packed binary, ids binary, sizes binary, extra binary, bytes long").withColumn("block", F.monotonically_increasing_id())
 
 
+def group_answers(notes: list[bytes], inner: int, window: int = WINDOW) -> list[bytes | None]:
+    """For each message of a group, its runs of windows whose smallest id is below the message's: (text, first window, windows, id).
+
+    The work for a place is in its texts, and none is in how many messages there are: a corpus of n blocks has n messages for each group.
+    """
+    counts, sizes, least, raws = zip(*map(unpack, notes), strict=True)
+    part = np.repeat(np.tile(np.arange(2 * inner), len(counts)), np.frombuffer(b"".join(counts), "<i4"))
+    many = np.array([len(x) // 4 for x in sizes], np.int64)
+    size, ids, raw = np.frombuffer(b"".join(sizes), "<i4").astype(np.int64), np.frombuffer(b"".join(least), "<i8"), b"".join(raws)
+    del counts, sizes, least, raws
+    source, begin, ends = np.repeat(np.arange(len(many)), many), np.cumsum(many) - many, np.cumsum(size)
+    by_place = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[by_place], np.arange(2 * inner + 1)).tolist()
+    found: list[np.ndarray] = []
+    for number in range(2 * inner):
+        own = by_place[bounds[number] : bounds[number + 1]]
+        if not len(own):
+            continue
+        seen: dict[bytes, int] = {}
+        of = np.array([seen.setdefault(raw[e - n : e], len(seen)) for n, e in zip(size[own].tolist(), ends[own].tolist(), strict=True)], np.int64)
+        lowest = np.full(len(seen), TOP)
+        np.minimum.at(lowest, of, ids[own])
+        if number < inner:
+            first, start, length, value = smallest_ids(list(seen), lowest, window)
+        else:  # single windows, which are their own classes
+            first, start, length, value = np.arange(len(seen) + 1), np.zeros(len(seen), np.int64), np.ones(len(seen), np.int64), lowest
+        reps = first[of + 1] - first[of]
+        j = np.repeat(np.arange(len(of)), reps)
+        run = np.repeat(first[of], reps) + np.arange(len(j)) - np.repeat(np.cumsum(reps) - reps, reps)
+        lower = value[run] < ids[own[j]]
+        j, run = own[j[lower]], run[lower]
+        found.append(np.stack([source[j], j - begin[source[j]], start[run], length[run], value[run]]))
+    answers = np.concatenate(found, 1) if found else np.zeros((5, 0), np.int64)
+    answers = answers[:, np.argsort(answers[0], kind="stable")]
+    upto = np.searchsorted(answers[0], np.arange(len(many) + 1)).tolist()
+    return [pack(*(x.astype(t) for x, t in zip(answers[1:, a:b], ("<i4", "<i4", "<i4", "<i8"), strict=True))) if a < b else None for a, b in zip(upto, upto[1:], strict=False)]
+
+
 def notes_of(table: pa.Table, kind: int) -> dict[int, bytes]:
     return {b: x for k, b, x in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["note"].to_pylist(), strict=True) if k == kind}
 
@@ -383,37 +425,7 @@ def substrings_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.table({"part": pa.array(rows["part"], pa.int64()), "block": pa.array(rows["block"], pa.int64()), "note": pa.array(rows["note"], pa.binary())})
 
     def smallest(table: pa.Table) -> pa.Table:
-        notes = []
-        for note in table["note"].to_pylist():
-            at, sizes, least, raw = unpack(note)
-            sizes = np.frombuffer(sizes, "<i4")
-            notes.append((np.concatenate([[0], np.cumsum(np.frombuffer(at, "<i4"))]).tolist(), sizes, np.cumsum(sizes, dtype=np.int64), np.frombuffer(least, "<i8"), raw))
-        replies: list[list[np.ndarray]] = [[] for _ in notes]
-        for number in range(2 * inner):
-            seen: dict[bytes, int] = {}
-            sent = []
-            for at, sizes, ends, least, raw in notes:
-                own = slice(at[number], at[number + 1])
-                of = np.array([seen.setdefault(raw[e - n : e], len(seen)) for n, e in zip(sizes[own].tolist(), ends[own].tolist(), strict=True)], np.int64)
-                sent.append((own.start, of, least[own]))
-            least = np.full(len(seen), TOP)
-            for _, of, ids in sent:
-                np.minimum.at(least, of, ids)
-            if not seen:
-                continue
-            if number < inner:
-                first, start, length, value = smallest_ids(list(seen), least, window)
-            else:  # single windows, which are their own classes
-                first, start, length, value = np.arange(len(seen) + 1), np.zeros(len(seen), np.int64), np.ones(len(seen), np.int64), least
-            for reply, (begin, of, ids) in zip(replies, sent, strict=True):
-                reps = first[of + 1] - first[of]
-                j = np.repeat(np.arange(len(of)), reps)
-                run = np.repeat(first[of], reps) + np.arange(len(j)) - np.repeat(np.cumsum(reps) - reps, reps)
-                lower = value[run] < ids[j]
-                j, run = j[lower], run[lower]
-                if len(j):
-                    reply.append(np.stack([begin + j, start[run], length[run], value[run]]))
-        packed = [pack(*(x.astype(t) for x, t in zip(np.concatenate(r, 1), ("<i4", "<i4", "<i4", "<i8"), strict=True))) if r else None for r in replies]
+        packed = group_answers(table["note"].to_pylist(), inner, window)
         keep = [x is not None for x in packed]
         out = pa.table({"block": table["block"], "kind": pa.array([2] * len(packed), pa.int32()), "bucket": table["part"], "note": pa.array(packed, pa.binary())})
         return out.filter(pa.array(keep))
@@ -445,9 +457,11 @@ def substrings_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             group = c.part[order] // (2 * inner)
             by_text = np.argsort(c.of, kind="stable")
             from_text = np.searchsorted(c.of[by_text], np.arange(len(c.least) + 1))
-            for g, note in replies_.items():
-                j, start, length, value = (np.frombuffer(x, t) for x, t in zip(unpack(note), ("<i4", "<i4", "<i4", "<i8"), strict=True))
-                text = order[np.searchsorted(group, g) + j]
+            if replies_:
+                parts = list(zip(*map(unpack, replies_.values()), strict=True))
+                j, start, length, value = (np.frombuffer(b"".join(x), t) for x, t in zip(parts, ("<i4", "<i4", "<i4", "<i8"), strict=True))
+                base = np.searchsorted(group, np.fromiter(replies_, np.int64, len(replies_)))
+                text = order[np.repeat(base, [len(x) // 4 for x in parts[0]]) + j]
                 reps = from_text[text + 1] - from_text[text]
                 k = np.repeat(np.arange(len(j)), reps)
                 at = by_text[np.repeat(from_text[text], reps) + np.arange(len(k)) - np.repeat(np.cumsum(reps) - reps, reps)]
