@@ -10,7 +10,7 @@ from urlloom.llm import near_duplicates as nd
 from urlloom.llm import suffix_dedup
 from urlloom.llm.common import components
 from urlloom.llm.near_duplicates import Banding, near_duplicates, signatures
-from urlloom.llm.passage_dedup import Rules, chains, gap_matches, passages, qualifying, repeated_passages
+from urlloom.llm.passage_dedup import Rules, chains, gap_matches, nearest, passages, qualifying, repeated_passages
 from urlloom.llm.suffix_dedup import substrings_removed, suffix_order, window_classes
 
 from . import fixtures as fx
@@ -313,6 +313,40 @@ def test_passages_whose_phrases_have_other_holders(spark, core):
     assert got[n + 1].source_ids == [n] and got[n + 2].source_ids == [n]
 
 
+@pytest.mark.parametrize("own", ["long seeds", "seeds"])
+def test_passages_whose_seeds_have_other_holders(spark, own):
+    rng, words = random.Random(16), fx.vocabulary(16, 9000)
+    plain = lambda n: [rng.choice(words) for _ in range(n)]
+    size, rows, copies = (25, [], []) if own == "long seeds" else (9, [], [])
+    for k in range(12):
+        passage = [f"{k}p{i}" for i in range(52 if size > 9 else 90)]
+        fuzzy = [f"new{k}x{i}" if size == 9 and i % 18 == 17 else w for i, w in enumerate(passage)]
+        # older documents have every piece of the passage by itself, between words of their own
+        pieces = [plain(20) + passage[i : i + size] + plain(20) for i in range(len(passage) - size + 1)]
+        rows += rng.sample(pieces, len(pieces))
+        copies.append((len(rows), passage, fuzzy))
+        rows.append(plain(30) + passage + plain(30))
+        rows.append(plain(30) + fuzzy + plain(30))
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(4), block_bytes=30000).collect()}
+    for at, passage, _ in copies:
+        # nearly all of the copy goes where it is changed, and all of it where it is not
+        assert got[at + 1].n_removed_words >= (len(passage) if size > 9 else 0.9 * len(passage)), (at, got[at + 1].n_removed_words)
+        assert size > 9 or got[at + 1].source_ids == [at]
+
+
+def test_partners_that_agree_longest():
+    rng = np.random.default_rng(5)
+    z, around, ids = rng.integers(0, 6, 300).astype(np.uint64), rng.integers(1, 3, (300, 6)).astype(np.uint32), rng.integers(0, 60, 300)
+    rank = np.empty(300, np.int64)
+    rank[np.lexsort((np.arange(300), ids))] = np.arange(300)
+    best = nearest(z, around, ids, rank)
+    for i in range(300):
+        agree = [(-int(np.argmin(np.append(around[i] == around[j], False))), rank[j], j) for j in range(300) if z[j] == z[i] and ids[j] < ids[i]]
+        first = min((rank[j], j) for j in range(300) if z[j] == z[i])[1]
+        want = min(agree)[2] if agree and min(agree)[0] < 0 else -1
+        assert best[i] == (-1 if want == first else want)
+
+
 def test_parts_of_a_passage():
     rules = Rules()
     equal = np.array([1] * 50 + [0] * 40 + [1] * 6, bool)

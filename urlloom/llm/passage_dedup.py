@@ -7,8 +7,12 @@
    has a long seed, two long seeds that follow each other in it leave one word between them at most, and `FLANK`
    reaches from the first and the last of them to its ends.
 2. Seeds are joined: each block sends its distinct seeds, with their place in the smallest id that has them; each
-   bucket finds the smallest id of all and answers the blocks that have a larger one. A seed in n documents
-   makes at most n matches, all with its first document, and one message for each block.
+   bucket finds the smallest id of all and answers the blocks that have a larger one.
+   The first holder may share nothing but the seed. Seeds of more than two places are therefore sent again, each place with the words
+   around it; sorted by these, each place gets two partners more: of all places of smaller ids the one that goes on equal for the
+   most words, and the one that was equal before for the most. So every place has three partners at most, whatever
+   the number of holders, and these are equal to it as far on each side as any is: a run of `min_words` words that any earlier document
+   has is equal to one partner of its long seed from the seed to its end, and to another from its begin to the seed.
 3. A document's matches with one earlier document, of a long seed its first and last K words, are chained: matches in the order of their places here, a Fenwick tree
    over places there for the best chain to append to, and a cost for the gaps on both sides.
 4. Chains go to the block of the earlier document with `FLANK` words on each side, and are aligned: between matches,
@@ -34,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +57,9 @@ LONG_SPREAD = 26
 NEAR = 40
 #: Words of context that are sent with a chain, on each side: as far as an end of an equal stretch can be from a long seed.
 FLANK = 26
+#: Words around a long and around another seed, on each side, by which partners are compared. A passage's least length has
+#: no more beside its long seed.
+AROUND_LONG, AROUND = LONG_SPREAD - 1, 8
 #: Words that an alignment bridges at most.
 BRIDGE = 48
 
@@ -153,6 +161,58 @@ class Block:
         cut = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         return [(int(self.bucket[a]), a, b) for a, b in stretches(cut, len(self.bucket))]
 
+    def open_places(self, notes: list[bytes]) -> list[tuple[int, np.ndarray]]:
+        """(bucket, seeds by number) of the places whose seeds other notes call open, always in the same order."""
+        mask, begin = np.zeros(len(self.lead), bool), {bucket: (s, e) for bucket, s, e in self.bounds()}
+        for note in notes:
+            bucket, bits = unpack(note)
+            s, e = begin[int(np.frombuffer(bucket, "<i8")[0])]
+            mask[s:e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s)
+        at = np.flatnonzero(mask[self.which] & (self.ids[self.owner] != TOP))
+        at = at[np.argsort(self.which[at], kind="stable")]
+        bucket = self.bucket[self.which[at]]
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return [(int(bucket[s]), at[s:e]) for s, e in stretches(cut, len(at))]
+
+    def around(self, at: np.ndarray, size: int, n: int) -> np.ndarray:
+        """The n words after and the n words before seeds of `size` words, the nearest first; zero beyond the text."""
+        place, owner, step = self.place[at][:, None], self.owner[at], np.arange(n)
+        after, before = place + size + step, place - 1 - step
+        inside = np.concatenate([after < self.first[owner + 1][:, None], before >= self.first[owner][:, None]], 1)
+        where = np.clip(np.concatenate([after, before], 1), 0, max(0, len(self.words) - 1))
+        return np.where(inside, self.words[where], 0).astype("<u4")
+
+
+def nearest(z: np.ndarray, around: np.ndarray, ids: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each place, the place of the same seed and a smaller id that has most of the words around in common, or -1.
+
+    Of equally good ones it is the one of the least rank, which orders by id first; -1 too if that is the first of
+    all places of the seed. Sorted by their words, those that have j words in common are neighbours, so one
+    sort and a minimum for each j will do.
+    """
+    n, words = around.shape
+    order = np.lexsort((*around.T[::-1], z))
+    equal = np.zeros((max(0, n - 1), words + 1), bool)
+    np.equal(around[order[1:]], around[order[:-1]], out=equal[:, :words])
+    common = np.where(z[order[1:]] == z[order[:-1]], equal.argmin(1), -1)
+    by_rank, own = np.empty(n, np.int64), ids[order]
+    dense = np.empty(n, np.int64)
+    by_rank[:] = np.argsort(rank, kind="stable")
+    dense[by_rank] = np.arange(n)
+    dense = dense[order]
+    best = np.full(n, -1)
+    for j in range(words, -1, -1):
+        starts = np.concatenate([[0], np.flatnonzero(common < j) + 1])
+        low = by_rank[np.repeat(np.minimum.reduceat(dense, starts), np.diff(np.append(starts, n)))]
+        if j:
+            better = (best < 0) & (ids[low] < own)
+            best[better] = low[better]
+        else:
+            best[best == low] = -1
+    out = np.empty(n, np.int64)
+    out[order] = best
+    return out
+
 
 def planes(a: np.ndarray) -> bytes:
     """Bytes of equal significance together, which compresses numbers of similar size."""
@@ -387,12 +447,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 b = opened(row)
                 b.seeds(buckets)
                 out = []
+                times = np.minimum(np.bincount(b.which, minlength=len(b.lead)), 255).astype(np.uint8)
                 for bucket, s, e in b.bounds():
                     lead = b.lead[s:e]
                     z = b.z[s:e] >> U(16)
                     owner = b.owner[lead]
                     short = (z & U(0xFFFFFFFF)).astype("<u4").tobytes() + (z >> U(32)).astype("<u2").tobytes()
-                    note = pack(short, planes(b.ids[owner].astype("<i8")), planes(owner.astype("<u4")), planes((b.place[lead] - b.first[owner]).astype("<u4")))
+                    note = pack(short, planes(b.ids[owner].astype("<i8")), planes(owner.astype("<u4")), planes((b.place[lead] - b.first[owner]).astype("<u4")), times[s:e])
                     out.append((bucket, row["block"][0].as_py(), note))
                 if out:
                     cols = list(zip(*out, strict=True))
@@ -400,27 +461,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def first_places(table: pa.Table) -> pa.Table:
         blocks_ = table["block"].to_pylist()
-        z, ids, owner, place, sizes = [], [], [], [], []
+        z, ids, owner, place, times, sizes = [], [], [], [], [], []
         for note in table["note"].to_pylist():
-            short, i, o, p = unpack(note)
+            short, i, o, p, t = unpack(note)
             n = len(short) // 6
             z.append(np.frombuffer(short, "<u4", n).astype(U) | np.frombuffer(short, "<u2", n, 4 * n).astype(U) << U(32))
             ids.append(unplanes(i, "<i8"))
             owner.append(unplanes(o, "<u4"))
             place.append(unplanes(p, "<u4"))
+            times.append(np.frombuffer(t, np.uint8))
             sizes.append(n)
-        z, ids, owner, place = (np.concatenate(v) for v in (z, ids, owner, place))
+        z, ids, owner, place, times = (np.concatenate(v) for v in (z, ids, owner, place, times))
         source = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((np.array(blocks_, np.int64)[source], ids, z))
         new = np.ones(len(order), bool)
         new[1:] = z[order][1:] != z[order][:-1]
-        lead = np.empty(len(order), np.int64)
+        lead, more = np.empty(len(order), np.int64), np.empty(len(order), bool)
         lead[order] = order[new][np.cumsum(new) - 1]
+        # seeds of two places have one partner, so the others are open
+        more[order] = (np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(new)) > 2)[np.cumsum(new) - 1]
         answer = ids[lead] < ids
         out, begin = [], 0
         for k, n in enumerate(sizes):
             sel = np.flatnonzero(answer[begin : begin + n])
             ref = lead[begin + sel]
+            if more[begin : begin + n].any():
+                out.append((blocks_[k], 5, pack(np.array([table["bucket"][0].as_py()], "<i8"), np.packbits(more[begin : begin + n]))))
             begin += n
             if len(sel):
                 where = np.array(blocks_, np.int64)[source[ref]]
@@ -429,6 +495,56 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     answers = saved(blocks.mapInArrow(send_seeds, "bucket long, block long, note binary").groupBy("bucket").applyInArrow(first_places, schema), "answers")
 
+    def of_kind(notes: pa.Table, kind: int) -> list[bytes]:
+        return notes.filter(pc.equal(notes["kind"], kind))["note"].to_pylist()
+
+    def send_places(block: pa.Table, notes: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for r in range(block.num_rows):
+            row = block.slice(r, 1)
+            b = opened(row)
+            b.seeds(buckets)
+            for bucket, at in b.open_places(of_kind(notes, 5)):
+                owner, z = b.owner[at], b.z[b.which[at]]
+                long_, other = b.around(at[b.long[at]], LONG, AROUND_LONG), b.around(at[~b.long[at]], K, AROUND) >> np.uint32(16)
+                note = pack(b.long[at], z, planes(b.ids[owner].astype("<i8")), planes(owner.astype("<u4")), planes((b.place[at] - b.first[owner]).astype("<u4")), long_, other.astype("<u2"))
+                out.append((bucket, row["block"][0].as_py(), note))
+        cols = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table({"bucket": pa.array(cols[0], pa.int64()), "block": pa.array(cols[1], pa.int64()), "note": pa.array(cols[2], pa.binary())})
+
+    def partners(table: pa.Table) -> pa.Table:
+        cells = list(zip(*map(unpack, table["note"].to_pylist()), strict=True))
+        long_, z = np.frombuffer(b"".join(cells[0]), bool), np.frombuffer(b"".join(cells[1]), "<u8")
+        sizes = np.array([len(x) for x in cells[0]], np.int64)
+        ids, owner, place = (np.concatenate([unplanes(x, t) for x in c]) for c, t in zip(cells[2:5], ("<i8", "<u4", "<u4"), strict=True))
+        source, begin = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        blocks_ = np.array(table["block"].to_pylist(), np.int64)[source]
+        rank = np.empty(len(z), np.int64)
+        rank[np.lexsort((place, owner, blocks_, ids))] = np.arange(len(z))
+        found_ = np.full((2, len(z)), -1)
+        for which, words, kind, n in ((long_, cells[5], "<u4", AROUND_LONG), (~long_, cells[6], "<u2", AROUND)):
+            at = np.flatnonzero(which)
+            around = np.frombuffer(b"".join(words), kind).reshape(-1, 2 * n)
+            for side in range(2 if len(at) else 0):
+                best = nearest(z[at], around[:, side * n : (side + 1) * n], ids[at], rank[at])
+                found_[side, at] = np.where(best < 0, -1, at[best])
+        found_[1, found_[0] == found_[1]] = -1
+        side, at = np.nonzero(found_ >= 0)
+        ref = found_[side, at]
+        order = np.argsort(at, kind="stable")
+        at, ref = at[order], ref[order]
+        out, upto = [], np.searchsorted(at, np.append(begin, len(z))).tolist()
+        bucket = np.array([table["bucket"][0].as_py()], "<i8")
+        for k, (s, e) in enumerate(zip(upto, upto[1:], strict=False)):
+            if s < e:
+                f = ref[s:e]
+                out.append((int(blocks_[begin[k]]), 6, pack(bucket, planes((at[s:e] - begin[k]).astype("<u4")), planes(ids[f].astype("<i8")), planes(blocks_[f].astype("<i8")), planes(owner[f].astype("<u4")), planes(place[f].astype("<u4")))))
+        return rows_of(out)
+
+    by_block = blocks.groupBy("block")
+    places = by_block.cogroup(answers.where("kind = 5").groupBy("block")).applyInArrow(send_places, "bucket long, block long, note binary")
+    more = saved(places.groupBy("bucket").applyInArrow(partners, schema), "partners")
+
     def chain(block: pa.Table, notes: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for r in range(block.num_rows):
@@ -440,20 +556,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             ref_id, ref_block = b.ids[lead_owner].copy(), np.full(len(b.lead), own_block)
             ref_doc, ref_place = lead_owner.copy(), b.place[b.lead] - b.first[lead_owner]
             begin = {bucket: s for bucket, s, _ in b.bounds()}
-            for note in notes["note"].to_pylist():
+            for note in of_kind(notes, 1):
                 bucket, sel, i, w, o, p = unpack(note)
                 at = begin[int(np.frombuffer(bucket, "<i8")[0])] + unplanes(sel, "<u4").astype(np.int64)
                 ref_id[at], ref_block[at], ref_doc[at], ref_place[at] = unplanes(i, "<i8"), unplanes(w, "<i8"), unplanes(o, "<u4"), unplanes(p, "<u4")
             own = b.ids[b.owner]
             hit = np.flatnonzero((ref_id[b.which] < own) & (own != TOP))
+            w = b.which[hit]
+            matches = [(hit, ref_id[w], ref_block[w], ref_doc[w], ref_place[w])]
+            places = dict(b.open_places(of_kind(notes, 5)))
+            for note in of_kind(notes, 6):
+                bucket, sel, i, w, o, p = unpack(note)
+                at = places[int(np.frombuffer(bucket, "<i8")[0])][unplanes(sel, "<u4")]
+                matches.append((at, unplanes(i, "<i8"), unplanes(w, "<i8"), unplanes(o, "<u4"), unplanes(p, "<u4")))
+            hit, m_id, m_block, m_doc, m_place = (np.concatenate(v).astype(np.int64) for v in zip(*matches, strict=True))
             # a long seed matches with its first and with its last words
             ends = np.flatnonzero(b.long[hit])
             shift = np.concatenate([np.zeros(len(hit), np.int64), np.full(len(ends), LONG - K)])
-            hit = np.concatenate([hit, hit[ends]])
-            w = b.which[hit]
-            here, there = b.place[hit] + shift, ref_place[w].astype(np.int64) + shift
-            order = np.lexsort((there, here, ref_doc[w], ref_block[w], b.owner[hit]))
-            hit, w, here, there = (v[order] for v in (hit, w, here, there))
+            hit, m_id, m_block, m_doc, m_place = (np.concatenate([v, v[ends]]) for v in (hit, m_id, m_block, m_doc, m_place))
+            here, there, owner = b.place[hit] + shift, m_place + shift, b.owner[hit]
+            order = np.lexsort((there, here, m_doc, m_block, owner))
+            owner, m_id, m_block, m_doc, here, there = (v[order] for v in (owner, m_id, m_block, m_doc, here, there))
 
             def changes(*columns: np.ndarray) -> np.ndarray:
                 change = np.zeros(len(columns[0]), bool)
@@ -462,35 +585,33 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     change[1:] |= v[1:] != v[:-1]
                 return change
 
-            once = changes(here, there, ref_doc[w], ref_block[w], b.owner[hit])
-            hit, w, here, there = (v[once] for v in (hit, w, here, there))
-            change = changes(b.owner[hit], ref_block[w], ref_doc[w])
-            cut = np.flatnonzero(change)
+            once = changes(here, there, m_doc, m_block, owner)
+            owner, m_id, m_block, m_doc, here, there = (v[once] for v in (owner, m_id, m_block, m_doc, here, there))
+            cut = np.flatnonzero(changes(owner, m_block, m_doc))
             asked: dict[int, dict[bytes, int]] = {}
             mine: list[tuple[int, int, int, int, int]] = []
-            for s, e in stretches(cut, len(hit)):
+            for s, e in stretches(cut, len(owner)):
                 if e - s < rules.least_seeds:
                     continue
-                doc = int(b.owner[hit[s]])
+                doc = int(owner[s])
                 x, y = here[s:e] - b.first[doc], there[s:e]
                 if x[-1] + K - x[0] < rules.least_words:
                     continue
-                target, other = int(ref_block[w[s]]), int(ref_doc[w[s]])
+                target, other = int(m_block[s]), int(m_doc[s])
                 total = int(b.first[doc + 1] - b.first[doc])
                 for c in chains(x, y, rules):
                     low, high = max(0, int(x[c[0]]) - FLANK), min(total, int(x[c[-1]]) + K + FLANK)
                     words = b.words[b.first[doc] + low : b.first[doc] + high]
                     key = np.array([other, len(c), len(words)], "<i8").tobytes() + (x[c] - low).astype("<i4").tobytes() + y[c].astype("<i4").tobytes() + words.astype("<u4").tobytes()
                     to = asked.setdefault(target, {})
-                    mine.append((target, to.setdefault(key, len(to)), doc, low, int(ref_id[w[s]])))
+                    mine.append((target, to.setdefault(key, len(to)), doc, low, int(m_id[s])))
             for target, to in asked.items():
                 out.append((target, 2, pack(np.array([own_block], "<i8"), np.array([len(k) for k in to], "<i8"), b"".join(to))))
             if mine:
                 out.append((own_block, 3, pack(*(np.array(v, "<i8") for v in zip(*mine, strict=True)))))
         return rows_of(out)
 
-    by_block = blocks.groupBy("block")
-    found = saved(by_block.cogroup(answers.groupBy("block")).applyInArrow(chain, schema), "chains")
+    found = saved(by_block.cogroup(answers.unionByName(more).groupBy("block")).applyInArrow(chain, schema), "chains")
 
     def aligned(block: pa.Table, notes: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -561,7 +682,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             out = out.append_column(c, pa.Table.from_batches(carried)[c])
         return out
 
-    dropped(answers)
+    dropped(answers, more)
     return by_block.cogroup(found.where("kind = 3").unionByName(replies).groupBy("block")).applyInArrow(cut, result)
 
 
