@@ -44,5 +44,11 @@ def test_query(spark, con, name):
     assert plain(rows, df.columns) == plain(got.fetchall(), names)
 
 
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["normalize_mixed", "ipv4_normalize", "opaque_urls", "url_credentials", "opaque_edits", "ipv6_hosts", "file_urls"])
+def test_one_row_group_is_work_for_all_cores(spark, name):
+    assert QUERIES[name](spark, DATA).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)

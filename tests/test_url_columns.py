@@ -7,9 +7,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from urlloom.functions import codecs, params, sql, urls
-from urlloom.functions.types import PARTS, record
+from urlloom.functions import codecs, params, sql, udfs, urls
+from urlloom.functions.types import PARTS, URL, record
 from urlloom.kernel import codec, host, idna
 from urlloom.kernel.params import params_text, parse_params, set_param, sorted_params
 from urlloom.kernel.pattern import URLPattern
@@ -60,6 +61,88 @@ def test_plain_urls_do_not_need_python(spark, frame):
     assert "ArrowEvalPython" in plan and plan.count("RLIKE") >= 2
 
 
+ADDRESSES = ["0", "1", "4294967295", "4294967296", "0x", "0X7f.1", "0xFFFFFFFF", "0x100000000", "0x00000000000000000001", "017700000001", "040000000000", "0" * 30 + "1", "9" * 18, "9" * 30, "1.2.3.4", "1.2.3.4.", "255.255.255.255", "256.1.1.1", "1.2.3.256", "1.2.3", "1.2.65535", "1.2.65536",
+             "1.16777215", "1.16777216", "256.1", "01.2.3.4", "08", "1.2.3.4.5", "1..2", ".1", "1.", "1..", "a.1", "1.a", "1.2.3.4.com", "0x1g", "0xfffffffffffffff.1", "1.0xfffffffffffffff", "777777777777777777.777777777777777777.1.1", "1.2.3.4x", "a1", "1.0x", "0x.0x.0x.0x.", "１.2", "-1"]
+AROUND = ["http://{}", "http://{}/", "https://{}:8080?q=1", "ws://{}:99/a/b?x#y", "ftp://{}#f", "http://{}:80/", "http://{}/a/../b", "https://{}?", "https://{}/#", "http://u@{}/", "x://{}/", "file://{}/x", "HTTP://{}/"]
+
+
+def spacious_engine(regex, ignore_case):
+    import re
+
+    return re.compile(regex, re.I)
+
+
+HOST_PATTERNS = [URLPattern({"hostname": "(1\\.2\\..*)"}), URLPattern("http{s}?://*:8080/*"), URLPattern({"pathname": "/(A|b)*", "hostname": "(1.*)"}, engine=spacious_engine), URLPattern({"search": "q=:v"})]
+
+
+@pytest.fixture(scope="module")
+def addresses(spark):
+    made = [around.format(a) for a in ADDRESSES for around in AROUND]
+    return spark.createDataFrame([(i, u) for i, u in enumerate(made)], "i int, url string").repartition(4).cache()
+
+
+def test_addresses_equal_the_kernel(spark, addresses):
+    made = [urls.url_part("url", p).alias(f"p_{p}") for p in (*PARTS, *urls.FIELDS)]
+    tests = [P.url_pattern_test(p, "url").alias(f"t{i}") for i, p in enumerate(HOST_PATTERNS)]
+    rows = addresses.select("url", urls.url_parse("url").alias("u"), urls.url_parse("url", max_length=14).getField("href").alias("short"), urls.url_can_parse("url").alias("ok"), urls.url_can_parse("url", max_length=14).alias("fits"), urls.url_without_hash("url").alias("w"), *made, *tests).collect()
+    assert len(rows) == len(ADDRESSES) * len(AROUND)
+    for r in rows:
+        url = parse(r.url)
+        want = record(url)
+        assert (r.u.asDict(True) if r.u else None) == want, r.url
+        for p in (*PARTS, *urls.FIELDS):
+            got = r[f"p_{p}"]
+            assert (got.asDict() if p == "components" and got else got) == (want and want[p]), (r.url, p)
+        short = parse(r.url, max_length=14)
+        assert (r.ok, r.fits, r.short) == (url is not None, short is not None, short and short.href), r.url
+        assert r.w == (url and cleared(url, "hash").href), r.url
+        assert [r[f"t{i}"] for i in range(len(HOST_PATTERNS))] == [p.test(r.url) for p in HOST_PATTERNS], r.url
+    assert all(any(r[f"t{i}"] for r in rows) for i in range(len(HOST_PATTERNS)))
+
+
+def test_address_hosts_equal_the_kernel(spark):
+    rows = spark.createDataFrame([(a,) for a in [*ADDRESSES, "", None]], "a string").select("a", codecs.parse_host("a").alias("h"), codecs.parse_host("a", special=False).alias("o"), codecs.ipv4_value("a").alias("v"), codecs.ipv4_text(codecs.ipv4_value("a")).alias("t")).collect()
+    for r in rows:
+        found, other = (host.parse_host(r.a, True), host.parse_host(r.a, False)) if r.a is not None else (None, None)
+        assert (r.h, r.o) == (found and found[0], other and other[0]), r.a
+        value = host.ipv4_parse(found[0]) if found and found[1] == host.IPV4 else None
+        assert (r.v, r.t) == (value, None if value is None else host.ipv4_text(value)), r.a
+
+
+def refusing(kind):
+    def of(*values):
+        raise AssertionError(values)
+
+    return lambda *arguments: udfs.batched(kind, of)
+
+
+def test_addresses_do_not_need_python(spark, monkeypatch):
+    """Arrow functions that fail at the first value see none."""
+    for name, kind in (("parse_udf", URL), ("can_parse_udf", T.BooleanType()), ("clear_udf", URL), ("codec_udf", T.StringType())):
+        monkeypatch.setattr(udfs, name, refusing(kind))
+    u = F.concat(F.lit("http://"), F.col("a"), F.lit(":81/x?y#z"))
+    df = spark.createDataFrame([("1.2.3.4",), ("0x01020304",), ("0100401404",), ("16909060",), ("1.131844",)], "a string")
+    made = df.select(urls.url_part(u, "hostname"), urls.url_part(u, "href"), urls.url_can_parse(u), urls.url_without_hash(u), codecs.parse_host("a"), codecs.ipv4_value("a"))
+    assert [tuple(r) for r in made.collect()] == [("1.2.3.4", "http://1.2.3.4:81/x?y#z", True, "http://1.2.3.4:81/x?y", "1.2.3.4", 16909060)] * 5
+    parsed = df.where("a = '1.2.3.4'").select(urls.url_parse(u).getField("href"), P.url_pattern_test(HOST_PATTERNS[0], F.regexp_replace(u, ":81", "")))
+    assert [tuple(r) for r in parsed.collect()] == [("http://1.2.3.4:81/x?y#z", True)]
+
+
+def test_addresses_of_resolved_urls(spark):
+    """The text may come from an Arrow function itself."""
+    df = spark.createDataFrame([("//0x7f.1/a",), ("b",)], "url string")
+    href = urls.url_resolve("url", F.lit("http://h/")).getField("href")
+    got = df.select(urls.url_part(href, "hostname"), urls.url_part(href, "pathname"), urls.url_can_parse(href), urls.url_parse(href).getField("host_type")).collect()
+    assert [tuple(r) for r in got] == [("127.0.0.1", "/a", True, 1), ("h", "/b", True, 0)]
+
+
+def test_sql_functions_of_addresses(spark, addresses):
+    sql.register(spark)
+    addresses.createOrReplaceTempView("addresses")
+    rows = spark.sql("SELECT url, url_get_hostname(url) h, url_get_href(url) r, url_can_parse(url) ok FROM addresses").collect()
+    assert [(r.h, r.r, r.ok) for r in rows] == [(u and u.hostname, u and u.href, u is not None) for u in (parse(r.url) for r in rows)]
+
+
 def test_limits_predicates_offsets(frame):
     u = urls.url_parse("url")
     rows = frame.select("url", urls.url_can_parse("url", max_length=14).alias("fits"), urls.has_search(u).alias("s"), urls.has_hash(u).alias("h"), urls.has_credentials(u).alias("c"), urls.has_hostname(u).alias("n"), urls.has_port(u).alias("p"), urls.offsets_consistent(u).alias("o")).collect()
@@ -125,12 +208,6 @@ def test_patterns_equal_the_kernel(frame):
         assert (r.m.asDict(True) if r.m else None) == want
 
 
-def spacious_engine(regex, ignore_case):
-    import re
-
-    return re.compile(regex, re.I)
-
-
 def test_patterns_of_another_engine(frame):
     p = P.url_pattern({"pathname": "/(P|C)*"}, engine=spacious_engine)
     rows = frame.select("url", P.url_pattern_test(p, "url").alias("t")).collect()

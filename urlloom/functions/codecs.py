@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..kernel.charsets import EXTRA, SETS
-from . import udfs
+from . import native, udfs
 from .urls import _col
 
 
@@ -60,24 +60,25 @@ def domain_to_unicode(domain: Column | str) -> Column:
 
 def parse_host(host: Column | str, special: bool = True) -> Column:
     """The serialized host, as parsing a URL with that host gives it; null where it is invalid."""
-    return udfs.codec_udf("host", "special" if special else "other")(_col(host))
+    host = _col(host)
+    if not special:
+        return udfs.codec_udf("host", "other")(host)
+    numeric = host.rlike(native.NUMERIC_HOST)
+    return F.when(numeric, native.numeric_host(host)).otherwise(udfs.codec_udf("host", "special")(F.when(~numeric, host)))
 
 
 def ipv4_text(value: Column | str) -> Column:
     """A 32-bit number in dotted form."""
     v = _col(value).cast("long")
-    return F.when(v.between(0, 2**32 - 1), F.concat_ws(".", *[F.pmod(F.shiftright(v, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
+    return F.when(v.between(0, 2**32 - 1), native.dotted(v))
 
 
 def ipv4_value(host: Column | str) -> Column:
     """The 32-bit value of an IPv4 host in any of its spellings; null where it is none."""
     host = _col(host)
-    quad = r"\A(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\z"
-    simple = host.rlike(quad)
-    dotted = F.when(simple, host).otherwise(parse_host(F.when(~simple, host)))
-    numbers = [F.regexp_extract(dotted, quad, i).try_cast("long") for i in (1, 2, 3, 4)]
-    value = sum((n * 256 ** (3 - i) for i, n in enumerate(numbers)), F.lit(0).cast("long"))
-    return F.when(dotted.rlike(quad) & (F.greatest(*numbers) < 256), value)
+    numeric = host.rlike(native.NUMERIC_HOST)
+    other = udfs.codec_udf("host", "special")(F.when(~numeric, host))
+    return F.when(numeric, native.numeric_value(host)).when(other.rlike(native.NUMERIC_HOST), native.numeric_value(other))
 
 
 def url_from_file(path: Column | str) -> Column:

@@ -1,6 +1,6 @@
 """URL columns: parse, validate, resolve, read parts, edit. Null in gives null out; an invalid URL gives null.
 
-Every function has a part that Catalyst compiles, for plain URLs, and an Arrow function for the rest.
+Every function has a part that Catalyst compiles, for plain URLs and IPv4 hosts, and an Arrow function for the rest.
 """
 
 from __future__ import annotations
@@ -28,10 +28,19 @@ def _limited(plain: Column, url: Column, href: Column | None, max_length: int |
     return plain & (ok if href is None else ok & (F.octet_length(href) <= max_length))
 
 
-def url_unless_plain(url: Column, max_length: int | None = None, once: bool = False) -> Column:
-    """The struct of URLs that are not plain; null for those that are."""
-    plain = native.is_plain(url) if max_length is None else native.is_plain(url) & (F.octet_length(url) < max_length)
-    return udfs.parse_udf(max_length)(F.when(~plain & ~native.surely_invalid(url), url), once=once)
+def _plain(url: Column, max_length: int | None) -> Column:
+    return native.is_plain(url) if max_length is None else native.is_plain(url) & (F.octet_length(url) < max_length)
+
+
+def _numeric(url: Column, max_length: int | None) -> Column:
+    """With a limit these are not settled in the JVM, as an address may become longer."""
+    return native.is_numeric(url) if max_length is None else F.lit(False)
+
+
+def url_unless_plain(url: Column, max_length: int | None = None, once: bool = False, numeric: bool = True) -> Column:
+    """The struct of URLs that are not plain; null for those that are, and unless numeric also for those with a host of numbers."""
+    other = ~_plain(url, max_length) & ~native.surely_invalid(url)
+    return udfs.parse_udf(max_length)(F.when(other if numeric else other & ~native.is_numeric(url), url), once=once)
 
 
 def url_parse(url: Column | str, max_length: int | None = None, once: bool = False) -> Column:
@@ -41,10 +50,9 @@ def url_parse(url: Column | str, max_length: int | None = None, once: bool = Fal
     """
     url = _col(url)
     parts = native.plain_parts(url)
-    plain = native.is_plain(url) if max_length is None else native.is_plain(url) & (F.octet_length(url) < max_length)
     struct = F.struct(*[parts[f.name].cast(OFFSETS_TYPE if f.name == "components" else f.dataType).alias(f.name) for f in URL.fields])
     # both are made, as an expression that several fields share is only computed once outside of conditions
-    return F.element_at(F.array(struct, url_unless_plain(url, max_length, once)), F.when(plain, 1).otherwise(2))
+    return F.element_at(F.array(struct, url_unless_plain(url, max_length, once)), F.when(_plain(url, max_length), 1).otherwise(2))
 
 
 def url_part(url: Column | str, part: str, once: bool = False) -> Column:
@@ -52,7 +60,11 @@ def url_part(url: Column | str, part: str, once: bool = False) -> Column:
     if part not in PARTS and part not in FIELDS:
         raise ValueError(f"{part!r} not found; there are {', '.join((*PARTS, *FIELDS))}")
     url = _col(url)
-    return F.when(native.is_plain(url), native.plain_parts(url)[part]).otherwise(url_unless_plain(url, None, once).getField(part))
+    if part in ("hostname", "raw_host"):
+        numeric = native.numeric_host(native.plain_parts(url)["hostname"])
+    else:
+        numeric = native.of_numeric(url, lambda parts: parts[part])
+    return F.when(native.is_plain(url), native.plain_parts(url)[part]).when(native.is_numeric(url), numeric).otherwise(url_unless_plain(url, None, once, numeric=False).getField(part))
 
 
 def url_can_parse(url: Column | str, base: Column | str | None = None, max_length: int | None = None) -> Column:
@@ -60,10 +72,9 @@ def url_can_parse(url: Column | str, base: Column | str | None = None, max_lengt
     url = _col(url)
     if base is not None:
         return udfs.can_parse_udf(max_length)(url, _col(base))
-    plain, wrong = native.is_plain(url), native.surely_invalid(url)
-    if max_length is not None:
-        plain = plain & (F.octet_length(url) < max_length)
-    return F.when(plain, True).when(wrong, F.when(url.isNotNull(), False)).otherwise(udfs.can_parse_udf(max_length)(F.when(~plain & ~wrong, url)))
+    plain, wrong, numeric = _plain(url, max_length), native.surely_invalid(url), _numeric(url, max_length)
+    fits = native.numeric_value(native.plain_parts(url)["hostname"]).isNotNull()
+    return F.when(plain, True).when(wrong, F.when(url.isNotNull(), False)).when(numeric, fits).otherwise(udfs.can_parse_udf(max_length)(F.when(~plain & ~wrong & ~numeric, url)))
 
 
 def url_resolve(url: Column | str, base: Column | str, max_length: int | None = None) -> Column:
@@ -92,8 +103,9 @@ def url_clear(url: Column | str, part: str) -> Column:
 def url_without_hash(url: Column | str, once: bool = False) -> Column:
     """The href without its fragment; compiled for plain URLs. once as in url_parse."""
     url = _col(url)
-    plain = native.is_plain(url)
-    return F.when(plain, F.substring_index(native.plain_parts(url)["href"], "#", 1)).otherwise(udfs.clear_udf("hash")(F.when(~plain, url), once=once).getField("href"))
+    plain, numeric = native.is_plain(url), native.is_numeric(url)
+    cut = lambda parts: F.substring_index(parts["href"], "#", 1)
+    return F.when(plain, cut(native.plain_parts(url))).when(numeric, native.of_numeric(url, cut)).otherwise(udfs.clear_udf("hash")(F.when(~plain & ~numeric, url), once=once).getField("href"))
 
 
 # -- predicates over the struct ----------------------------------------------------------------------

@@ -34,6 +34,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores: a table of short rows may be a single row group, which one task reads however many rows it has."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -99,7 +104,7 @@ def invalid_urls(spark, sf_dir):
 def normalize_mixed(spark, sf_dir):
     k = F.col("c_custkey")
     t = text("  HTTP://Us er:P@w@Shop", k % 50, ".Example.COM:80/a/./b/../c\\", k, "/%2E%2e/é?q=a b'#x y`  ")
-    return table(spark, sf_dir, "customer").select("c_custkey", urls.url_part(t, "href").alias("href"))
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", urls.url_part(t, "href").alias("href"))
 
 
 @query
@@ -270,7 +275,7 @@ def percent_codecs(spark, sf_dir):
 def ipv4_normalize(spark, sf_dir):
     """Addresses as one decimal, hexadecimal or octal number, and in two parts."""
     v = F.pmod(F.col("c_custkey") * 2654435761, F.lit(2**32)).cast("long")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", v.alias("v"))
+    rows = spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", v.alias("v"))
     shown = {"decimal": v.cast("string"), "hexadecimal": F.concat(F.lit("0x"), F.lower(F.hex("v"))), "octal": F.concat(F.lit("0"), F.conv(F.col("v").cast("string"), 10, 8)), "two_parts": F.concat_ws(".", F.shiftright("v", 24).cast("string"), F.pmod(F.col("v"), F.lit(2**24)).cast("string"))}
     shown["decimal"] = F.col("v").cast("string")
     return rows.select("c_custkey", *[urls.url_part(F.concat(F.lit("http://"), s, F.lit("/")), "hostname").alias(n) for n, s in shown.items()], codecs.ipv4_text("v").alias("direct"), codecs.ipv4_value(codecs.ipv4_text("v")).alias("back"))
@@ -280,7 +285,7 @@ def ipv4_normalize(spark, sf_dir):
 def ipv6_hosts(spark, sf_dir):
     k = F.col("s_suppkey")
     h = F.lower(F.hex(k))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", codecs.parse_host(text("[2001:DB8:0:0:", h, ":0:0:1]")).alias("short"), codecs.parse_host(text("[::ffff:1.2.3.", k % 256, "]")).alias("mapped"), codecs.parse_host(text("[1:2:3:", h, "::5::6]")).alias("wrong"))
+    return spread(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", codecs.parse_host(text("[2001:DB8:0:0:", h, ":0:0:1]")).alias("short"), codecs.parse_host(text("[::ffff:1.2.3.", k % 256, "]")).alias("mapped"), codecs.parse_host(text("[1:2:3:", h, "::5::6]")).alias("wrong"))
 
 
 DOMAINS = ["Bücher.Example", "faß.de", "xn--mnchen-3ya.de", "日本語。jp", "EXAMPLE.com", "ab­c.de", "a≠b.com", "̀a.de", "xn--a", "%41.com"]
@@ -302,13 +307,13 @@ def dns_lengths(spark, sf_dir):
 
 @query
 def file_urls(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", codecs.url_from_file(text("/data/./", F.col("p_name"), "/../", F.col("p_brand"), "\\x?", F.col("p_partkey"), "#")).alias("href"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", codecs.url_from_file(text("/data/./", F.col("p_name"), "/../", F.col("p_brand"), "\\x?", F.col("p_partkey"), "#")).alias("href"))
 
 
 @query
 def opaque_urls(spark, sf_dir):
     t = text("data:text/plain, ", F.col("c_mktsegment"), "  ?q#", F.col("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", urls.url_part(t, "href").alias("href"), urls.url_part(t, "pathname").alias("pathname"), urls.url_part(t, "origin").alias("origin"), urls.url_part(t, "has_opaque_path").alias("opaque"))
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", urls.url_part(t, "href").alias("href"), urls.url_part(t, "pathname").alias("pathname"), urls.url_part(t, "origin").alias("origin"), urls.url_part(t, "has_opaque_path").alias("opaque"))
 
 
 @query
@@ -410,7 +415,7 @@ def dumped_lines(spark, sf_dir):
 def url_credentials(spark, sf_dir):
     k = F.col("c_custkey")
     who = F.when(k % 5 == 0, "").when(k % 5 == 1, "u@").when(k % 5 == 2, "u:p@").when(k % 5 == 3, ":p@").otherwise("@")
-    u = table(spark, sf_dir, "customer").select("c_custkey", urls.url_parse(text("https://", who, "h", k, "/")).alias("u"))
+    u = spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", urls.url_parse(text("https://", who, "h", k, "/")).alias("u"))
     tests = {"any_of_them": urls.has_credentials, "name": urls.has_non_empty_username, "password": urls.has_non_empty_password, "with_password": urls.has_password}
     return u.select("c_custkey", F.col("u.href").alias("href"), *[f(F.col("u")).alias(n) for n, f in tests.items()])
 
@@ -420,7 +425,7 @@ def opaque_edits(spark, sf_dir):
     """Blanks at the end of an opaque path when what follows it goes."""
     k = F.col("c_custkey")
     t = text("data:x", k, "  ", F.when(k % 2 == 0, "#f").otherwise("?q"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", t.alias("t"))
+    rows = spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", t.alias("t"))
     return rows.select("c_custkey", urls.url_part("t", "pathname").alias("pathname"), urls.url_clear("t", "hash").getField("href").alias("no_hash"), urls.url_clear("t", "search").getField("href").alias("no_search"), urls.url_with("t", "hash", "").alias("empty_hash"))
 
 
